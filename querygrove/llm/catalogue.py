@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import neardup, quality
+from . import hosts, mixing, neardup, quality, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op2_systematic_mix": mixing.op2_systematic_mix,
     "op6_quality_rules": quality.op6_quality_rules,
     "op8_superminhash": neardup.op8_superminhash,
+    "op10_host_reputation": hosts.op10_host_reputation,
 }
 ORACLES = {
+    "op1_warc": warc.ORACLE,
+    "op2_systematic_mix": mixing.ORACLE,
     "op6_quality_rules": quality.ORACLE,
     "op8_superminhash": neardup.ORACLE,
+    "op10_host_reputation": hosts.ORACLE,
 }
