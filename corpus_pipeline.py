@@ -1,23 +1,52 @@
-"""From raw documents to packed training sequences, stage by stage."""
+"""From raw documents to packed training sequences, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the docs of the next. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from querygrove.llm.neardup import Params, deduplicate
-from querygrove.llm.quality import annotate
+from querygrove.llm import mixing, neardup, packing, private, quality
 from querygrove.llm.shared import materialise, read
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return annotate(docs, into="__quality").where("__quality.kept").select(docs.columns)
+    """Documents that the base rule and the cascade keep."""
+    return quality.annotate(docs, into="__quality").where("__quality.kept").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return deduplicate(docs, Params(words=5, percent=80))
+    """One document of each group: five words a shingle, similarity of 0.8 or more."""
+    return neardup.deduplicate(docs, neardup.Params(words=5, percent=80))
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with surrogates; n_chars follows the text."""
+    new = private.pseudonymise(docs, into="__private")
+    changed = {"text": F.col("__private.text"), "n_chars": F.when(F.col("__private.n_entities") > 0, F.char_length("__private.text").cast("long")).otherwise(F.col("n_chars"))}
+    return new.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
+
+
+def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: a row for each copy of a document."""
+    return mixing.emit(docs)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document in a sequence."""
+    return packing.pack_documents(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates)]
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("private_data", private_data),
+    ("source_weights", source_weights),
+    ("packed_sequences", packed_sequences),
+]
 
 #: Signatures, surrogates and packing have no SQL form; the tests hold run() against brute force.
 ORACLE_SQL = None

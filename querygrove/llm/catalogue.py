@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import hosts, mixing, neardup, packing, quality, warc
+from . import hosts, mixing, neardup, packing, private, quality, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_systematic_mix": mixing.op2_systematic_mix,
     "op4_ffd_packing": packing.op4_ffd_packing,
     "op6_quality_rules": quality.op6_quality_rules,
+    "op7_surrogates": private.op7_surrogates,
     "op8_superminhash": neardup.op8_superminhash,
     "op10_host_reputation": hosts.op10_host_reputation,
 }
