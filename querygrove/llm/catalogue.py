@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import hosts, mixing, neardup, packing, private, quality, warc
+from . import hosts, language, mixing, neardup, packing, private, quality, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_systematic_mix": mixing.op2_systematic_mix,
     "op4_ffd_packing": packing.op4_ffd_packing,
+    "op5_string_kernel_language": language.op5_string_kernel_language,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_surrogates": private.op7_surrogates,
     "op8_superminhash": neardup.op8_superminhash,
