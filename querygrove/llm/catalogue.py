@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import hosts, language, mixing, neardup, packing, private, quality, warc
+from . import hosts, language, mixing, neardup, packing, private, quality, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_systematic_mix": mixing.op2_systematic_mix,
+    "op3_recurrent_toxicity": toxicity.op3_recurrent_toxicity,
     "op4_ffd_packing": packing.op4_ffd_packing,
     "op5_string_kernel_language": language.op5_string_kernel_language,
     "op6_quality_rules": quality.op6_quality_rules,
