@@ -24,6 +24,9 @@ from .shared import crc_mod, read
 _BREAK = np.ones(256, bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
     _BREAK[_a:_b] = False
+#: All digits are one: which number it is says nothing.
+_DIGIT = np.arange(256, dtype=np.uint8)
+_DIGIT[48:58] = 48
 U64 = K.U64
 
 
@@ -39,13 +42,15 @@ class Params:
     char_dim: int = 16
     hidden: int = 12
     attention: int = 8
-    grams: tuple[int, ...] = (3, 4, 5)
+    grams: tuple[int, ...] = (3, 4)
     toxic_docs: int = 1500
     clean_docs: int = 3000
     train_words: int = 1500
     epochs: int = 7
     batch: int = 256
     rate: float = 6e-3
+    decay: float = 3e-3
+    clean_windows: int = 3
     seed: int = 7
 
 
@@ -54,6 +59,7 @@ class Batch:
 
     def __init__(self, texts: pa.Array, p: Params) -> None:
         buf = K.lowered(K.buffer_of(texts))
+        buf = buf._replace(data=_DIGIT[buf.data])
         tok = K.spans(buf, _BREAK)
         h = K.span_hash(buf.data, tok.start, tok.end)
         key, at, self.ids = np.unique(h, return_index=True, return_inverse=True)
@@ -224,8 +230,8 @@ class Network:
 
 
 class Adam:
-    def __init__(self, w: dict[str, np.ndarray], rate: float) -> None:
-        self.w, self.rate, self.n = w, rate, 0
+    def __init__(self, w: dict[str, np.ndarray], rate: float, decay: float) -> None:
+        self.w, self.rate, self.decay, self.n = w, rate, decay, 0
         self.m = {k: np.zeros_like(v) for k, v in w.items()}
         self.v = {k: np.zeros_like(v) for k, v in w.items()}
 
@@ -239,6 +245,8 @@ class Adam:
             self.m[k] += np.float32(0.1) * (x - self.m[k])
             self.v[k] += np.float32(0.001) * (x * x - self.v[k])
             self.w[k] -= (rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)).astype(np.float32)
+            if k in ("word", "char"):  # buckets that few windows touched go back to saying nothing
+                self.w[k] *= np.float32(1 - self.decay)
 
 
 def fit(texts: list[str], labels: list[int], p: Params = Params()) -> Network | None:
@@ -250,7 +258,7 @@ def fit(texts: list[str], labels: list[int], p: Params = Params()) -> Network |
     batch = Batch(pa.array(texts, pa.string()), p)
     keep = batch.count[np.arange(len(texts))] > 0
     net = Network(p, init(p))
-    adam = Adam(net.w, p.rate)
+    adam = Adam(net.w, p.rate, p.decay)
     row, begin = batch.windows(p)
     ids = batch.cut(row, begin, p)
     n = np.bincount(row, minlength=len(texts))
@@ -264,7 +272,7 @@ def fit(texts: list[str], labels: list[int], p: Params = Params()) -> Network |
             logit = net.score(batch)[2]
             order = np.lexsort((-logit, row))
             place = np.arange(len(row)) - (np.cumsum(n) - n)[row[order]]
-            worst = order[place < np.where(y[row[order]] == 1, 1, 2)]  # one window of a toxic document, two of a clean one
+            worst = order[place < np.where(y[row[order]] == 1, 1, p.clean_windows)]  # one window of a toxic document, a few of a clean one
             pick, weight = worst, balance[row]
         pick = rng.permutation(pick)
         for i in range(0, len(pick), p.batch):
