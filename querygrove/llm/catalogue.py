@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import hosts, language, mixing, neardup, packing, private, quality, toxicity, warc
+from . import hosts, language, mixing, neardup, neighbours, packing, private, quality, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_surrogates": private.op7_surrogates,
     "op8_superminhash": neardup.op8_superminhash,
+    "op9_nn_descent": neighbours.op9_nn_descent,
     "op10_host_reputation": hosts.op10_host_reputation,
 }
 ORACLES = {
