@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import build, network  # noqa: F401
+from .plans import build, network, selection  # noqa: F401
 from .plans.registry import ORACLES, QUERIES  # noqa: F401
+from .sources.star import Star
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return selection.flagship(Star(spark, sf_dir))
