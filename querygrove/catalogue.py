@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import build, network, selection  # noqa: F401
+from .plans import build, calibration, linking, measures, network, selection  # noqa: F401
 from .plans.registry import ORACLES, QUERIES  # noqa: F401
 from .sources.star import Star
 

@@ -60,7 +60,7 @@ def recall_curve(added: DataFrame, hidden: DataFrame, by: list[str]) -> DataFram
     h = added.join(hidden.withColumn("hit", F.lit(1)), [*by, "node"], "left")
     n = hidden.groupBy(*by).agg(F.count("*").alias("n"))
     run = F.sum(F.coalesce("hit", F.lit(0))).over(W.partitionBy(*by).orderBy("rank"))
-    return h.select(*by, "rank", run.alias("run")).join(n, by).select(*by, "rank", (F.col("run") / F.col("n")).alias("recall"))
+    return h.select(*by, "rank", run.alias("__hits")).join(n, by).select(*by, "rank", (F.col("__hits") / F.col("n")).alias("recall"))
 
 
 def mean_curve(df: DataFrame, run: str, index: str, value: str, last: int, by: list[str] | None = None) -> DataFrame:
