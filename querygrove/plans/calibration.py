@@ -63,7 +63,7 @@ def roundrobin_sample(s: Star) -> DataFrame:
     return c.select("entity", "bin", F.col("place").cast("long").alias("place"))
 
 
-_ADDED = "x_add AS (SELECT l_suppkey AS run, 'P' || l_partkey AS node, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) AS rank FROM lineitem WHERE l_quantity >= 35), x_hid AS (SELECT DISTINCT l_suppkey AS run, 'P' || l_partkey AS node FROM lineitem WHERE l_quantity >= 47)"
+_ADDED = "x_add AS (SELECT l_suppkey AS run, 'P' || l_partkey AS node, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) AS rank FROM lineitem WHERE l_quantity >= 35), x_hid AS (SELECT DISTINCT l_suppkey AS run, 'P' || l_partkey AS node FROM lineitem WHERE l_quantity >= 47)"
 
 
 @query(_ADDED + ", x_h AS (SELECT a.run, rank, sum(CASE WHEN h.node IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY a.run ORDER BY rank) AS hits FROM x_add a LEFT JOIN x_hid h ON h.run = a.run AND h.node = a.node) SELECT run, rank, round(hits / n::DOUBLE, 9) AS recall FROM x_h JOIN (SELECT run, count(*) AS n FROM x_hid GROUP BY 1) USING (run)")
@@ -72,7 +72,7 @@ def recall_curve(s: Star) -> DataFrame:
     from pyspark.sql import Window as W
 
     li = s.table("lineitem").select(F.col("l_suppkey").alias("run"), F.concat(F.lit("P"), "l_partkey").alias("node"), "l_orderkey", "l_linenumber", "l_quantity")
-    added = li.where("l_quantity >= 35").select("run", "node", F.row_number().over(W.partitionBy("run").orderBy("l_orderkey", "l_linenumber")).alias("rank"))
+    added = li.where("l_quantity >= 35").select("run", "node", F.row_number().over(W.partitionBy("run").orderBy("l_orderkey", "l_linenumber", F.substring("node", 2, 20).cast("long"))).alias("rank"))
     out = K.recall_curve(added, li.where("l_quantity >= 47").select("run", "node").distinct(), ["run"])
     return out.select("run", F.col("rank").cast("long").alias("rank"), F.round("recall", 9).alias("recall"))
 
