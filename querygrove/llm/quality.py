@@ -162,8 +162,7 @@ def cascade(counts: dict[str, np.ndarray], rules: Sequence[Rule]) -> np.ndarray:
 def sample_texts(docs: DataFrame, rows: int) -> pa.Array:
     """At most `rows` texts from the first partitions. It only steers the order of the rules, so
     where they come from changes no result, and no whole scan is paid for them."""
-    got = docs.select(F.col("text").cast("string").alias("text")).limit(rows).toArrow()
-    return got.column("text").combine_chunks() if got.num_rows else pa.array([], pa.string())
+    return pa.array([r[0] for r in docs.select(F.col("text").cast("string")).take(rows)], pa.string())
 
 
 _SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import drop, materialise, shared_dir
+
+__all__ = ["LAST", "WORD", "crc_mod", "drop", "materialise", "read", "row_count", "scratch", "shared_dir"]
+
 #: Whitespace of the word definition: space and the five controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Stands in for a null number where a row needs an order; sorts after every real id.
@@ -18,44 +21,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir where the session
-    names one, else (a single machine, as in tests) a temporary folder set once per session."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        sc_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if sc_dir.isDefined():
-            return sc_dir.get()
-        where = f"file://{tempfile.mkdtemp(prefix='querygrove-')}"
-        spark.sparkContext.setCheckpointDir(where)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return where
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark)}/querygrove/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df to the shared folder and read it back. A lost executor only repeats
-    the tasks of the stage that reads it."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop(spark: SparkSession, df: DataFrame) -> None:
-    """Delete the files of a materialised table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    roots = {f.rpartition("/")[0] for f in df.inputFiles()}
-    for root in roots:
-        if "/querygrove/" in root:
-            path = jvm.org.apache.hadoop.fs.Path(root)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def crc_mod(column: str, m: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % m
 
