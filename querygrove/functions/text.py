@@ -8,9 +8,10 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalised(s: pd.Series) -> pd.Series:
     """Accents off, what isn't ASCII then gone without a space, lower case, other signs to a space."""
 

@@ -46,7 +46,7 @@ def responses(spark: SparkSession, glob: str, schema: T.StructType, pattern: str
 
 def log_usage(spark: SparkSession, glob: str, marker: str) -> DataFrame:
     """Calls and tokens in the last metrics block after a marker of each log."""
-    df = spark.read.option("wholetext", True).text(glob).select(F.col("_metadata.file_path").alias("path"), "value")
+    df = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     block = F.regexp_extract(F.substring_index("value", marker, -1), r"(?s)(\{.*?\n\})", 1)
     got = F.from_json(block, "calls long, prompt_tokens long, completion_tokens long")
     return df.select("path", got.alias("m")).select("path", "m.*")
