@@ -63,6 +63,7 @@ class Batch:
         tok = K.spans(buf, _BREAK)
         h = K.span_hash(buf.data, tok.start, tok.end)
         key, at, self.ids = np.unique(h, return_index=True, return_inverse=True)
+        self.key = key
         self.count = tok.count
         self.word = (key % U64(p.buckets)).astype(np.int64)
         start, end = tok.start[at], tok.end[at]
@@ -80,13 +81,32 @@ class Batch:
         self.gram = (np.concatenate(grams)[order] % U64(p.buckets)).astype(np.int64)
         self.grams = np.bincount(owner_all, minlength=len(at))
 
+    @classmethod
+    def of_many(cls, texts: pa.Array, p: Params) -> Batch:
+        """One batch of many texts, made from small ones, so that the byte passes stay small."""
+        parts = [cls(x, p) for x in K.slices(texts, 1 << 20)]
+        out = cls.__new__(cls)
+        out.key, at, back = np.unique(np.concatenate([x.key for x in parts]), return_index=True, return_inverse=True)
+        shift = np.cumsum([0, *(len(x.key) for x in parts)])
+        out.ids = np.concatenate([back[k + x.ids] for k, x in zip(shift, parts, strict=False)])
+        out.count = np.concatenate([x.count for x in parts])
+        out.word = np.concatenate([x.word for x in parts])[at]
+        grams, gram = np.concatenate([x.grams for x in parts]), np.concatenate([x.gram for x in parts])
+        begin, out.grams = np.cumsum(grams) - grams, grams[at]
+        n = out.grams
+        out.gram = gram[np.repeat(begin[at], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+        return out
+
     def embed(self, w: dict[str, np.ndarray]) -> np.ndarray:
         """Inputs of the distinct words."""
         if not len(self.word):
             return np.zeros((0, w["word"].shape[1] + w["char"].shape[1]), np.float32)
-        begin = np.cumsum(self.grams) - self.grams
-        chars = np.add.reduceat(w["char"][self.gram], begin, axis=0) / self.grams[:, None]
-        return np.concatenate([w["word"][self.word], chars.astype(np.float32)], axis=1)
+        begin = np.concatenate([[0], np.cumsum(self.grams)])
+        chars = np.empty((len(self.word), w["char"].shape[1]), w["char"].dtype)
+        for i in range(0, len(self.word), 20_000):
+            j = min(i + 20_000, len(self.word))
+            chars[i:j] = np.add.reduceat(w["char"][self.gram[begin[i] : begin[j]]], begin[i:j] - begin[i], axis=0) / self.grams[i:j, None]
+        return np.concatenate([w["word"][self.word], chars], axis=1)
 
     def windows(self, p: Params) -> tuple[np.ndarray, np.ndarray]:
         """(row, first word) of every window; the first word counts from the batch's start."""
@@ -255,7 +275,7 @@ def fit(texts: list[str], labels: list[int], p: Params = Params()) -> Network |
     if len(set(labels)) < 2:
         return None
     rng = np.random.default_rng(p.seed)
-    batch = Batch(pa.array(texts, pa.string()), p)
+    batch = Batch.of_many(pa.array(texts, pa.string()), p)
     keep = batch.count[np.arange(len(texts))] > 0
     net = Network(p, init(p))
     adam = Adam(net.w, p.rate, p.decay)
