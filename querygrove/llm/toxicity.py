@@ -1,6 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
-A word's input is an embedding of the word and the mean of embeddings of its byte n-grams. A GRU
+A word's input is an embedding of the word and the means of embeddings of its byte n-grams and of
+its beginnings. A GRU
 reads each window of words in both directions, attention pools its states, and a logistic unit
 scores the pool. Windows overlap and cover the whole text; a document's score is that of its worst
 window. The network is trained in numpy from document labels: at first every window carries its
@@ -28,6 +29,7 @@ for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
 _DIGIT = np.arange(256, dtype=np.uint8)
 _DIGIT[48:58] = 48
 U64 = K.U64
+TABLES = ("word", "char", "stem")
 
 
 @dataclass(frozen=True)
@@ -40,9 +42,11 @@ class Params:
     buckets: int = 1 << 14
     word_dim: int = 8
     char_dim: int = 16
+    stem_dim: int = 8
     hidden: int = 12
     attention: int = 8
     grams: tuple[int, ...] = (3, 4)
+    stems: tuple[int, ...] = (5, 6, 7, 8)
     toxic_docs: int = 1500
     clean_docs: int = 3000
     train_words: int = 1500
@@ -55,58 +59,66 @@ class Params:
 
 
 class Batch:
-    """Texts as word ids into the batch's distinct words, with each of these words' buckets."""
+    """Texts as word ids into the batch's distinct words, with each of these words' buckets in the
+    three tables: parts[table] has all words' buckets in a row and how many each word has."""
 
     def __init__(self, texts: pa.Array, p: Params) -> None:
         buf = K.lowered(K.buffer_of(texts))
         buf = buf._replace(data=_DIGIT[buf.data])
         tok = K.spans(buf, _BREAK)
         h = K.span_hash(buf.data, tok.start, tok.end)
-        key, at, self.ids = np.unique(h, return_index=True, return_inverse=True)
-        self.key = key
+        self.key, at, self.ids = np.unique(h, return_index=True, return_inverse=True)
         self.count = tok.count
-        self.word = (key % U64(p.buckets)).astype(np.int64)
         start, end = tok.start[at], tok.end[at]
+        one = np.ones(len(at), np.int64)
+        self.parts = {"word": ((self.key % U64(p.buckets)).astype(np.int64), one)}
         grams, owner = [], []
         for n in p.grams:
-            size = np.maximum(end - start - n + 1, (end > start).astype(np.int64) if n == p.grams[0] else 0)
+            size = np.maximum(end - start - n + 1, one if n == p.grams[0] else 0)
             who = np.repeat(np.arange(len(at)), size)
             begin = start[who] + np.arange(len(who)) - np.repeat(np.cumsum(size) - size, size)
-            stop = np.minimum(begin + n, end[who])
             first = (begin == start[who]).astype(U64)  # a gram at the start of its word is another one
-            grams.append(K.mix(K.span_hash(buf.data, begin, stop) + first * U64(977)))
+            grams.append(K.mix(K.span_hash(buf.data, begin, np.minimum(begin + n, end[who])) + first * U64(977)))
             owner.append(who)
-        owner_all = np.concatenate(owner)
-        order = np.argsort(owner_all, kind="stable")
-        self.gram = (np.concatenate(grams)[order] % U64(p.buckets)).astype(np.int64)
-        self.grams = np.bincount(owner_all, minlength=len(at))
+        self.parts["char"] = self._rows(grams, owner, len(at), p)
+        grams, owner = [], []
+        for n in p.stems:
+            who = np.flatnonzero((end - start >= n) | (n == p.stems[0]))
+            grams.append(K.mix(K.span_hash(buf.data, start[who], np.minimum(start[who] + n, end[who])) + U64(31337)))
+            owner.append(who)
+        self.parts["stem"] = self._rows(grams, owner, len(at), p)
+
+    @staticmethod
+    def _rows(grams: list[np.ndarray], owner: list[np.ndarray], n: int, p: Params) -> tuple[np.ndarray, np.ndarray]:
+        who = np.concatenate(owner)
+        order = np.argsort(who, kind="stable")
+        return (np.concatenate(grams)[order] % U64(p.buckets)).astype(np.int64), np.bincount(who, minlength=n)
 
     @classmethod
     def of_many(cls, texts: pa.Array, p: Params) -> Batch:
         """One batch of many texts, made from small ones, so that the byte passes stay small."""
-        parts = [cls(x, p) for x in K.slices(texts, 1 << 20)]
+        made = [cls(x, p) for x in K.slices(texts, 1 << 20)]
         out = cls.__new__(cls)
-        out.key, at, back = np.unique(np.concatenate([x.key for x in parts]), return_index=True, return_inverse=True)
-        shift = np.cumsum([0, *(len(x.key) for x in parts)])
-        out.ids = np.concatenate([back[k + x.ids] for k, x in zip(shift, parts, strict=False)])
-        out.count = np.concatenate([x.count for x in parts])
-        out.word = np.concatenate([x.word for x in parts])[at]
-        grams, gram = np.concatenate([x.grams for x in parts]), np.concatenate([x.gram for x in parts])
-        begin, out.grams = np.cumsum(grams) - grams, grams[at]
-        n = out.grams
-        out.gram = gram[np.repeat(begin[at], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+        out.key, at, back = np.unique(np.concatenate([x.key for x in made]), return_index=True, return_inverse=True)
+        shift = np.cumsum([0, *(len(x.key) for x in made)])
+        out.ids = np.concatenate([back[k + x.ids] for k, x in zip(shift, made, strict=False)])
+        out.count = np.concatenate([x.count for x in made])
+        out.parts = {}
+        for t in made[0].parts:
+            buckets, n = (np.concatenate([x.parts[t][k] for x in made]) for k in (0, 1))
+            out.parts[t] = (buckets[spread(np.cumsum(n) - n, n, at)], n[at])
         return out
 
     def embed(self, w: dict[str, np.ndarray]) -> np.ndarray:
-        """Inputs of the distinct words."""
-        if not len(self.word):
-            return np.zeros((0, w["word"].shape[1] + w["char"].shape[1]), np.float32)
-        begin = np.concatenate([[0], np.cumsum(self.grams)])
-        chars = np.empty((len(self.word), w["char"].shape[1]), w["char"].dtype)
-        for i in range(0, len(self.word), 20_000):
-            j = min(i + 20_000, len(self.word))
-            chars[i:j] = np.add.reduceat(w["char"][self.gram[begin[i] : begin[j]]], begin[i:j] - begin[i], axis=0) / self.grams[i:j, None]
-        return np.concatenate([w["word"][self.word], chars], axis=1)
+        """Inputs of the distinct words: the means of their buckets in each table, side by side."""
+        out = []
+        for t, (buckets, n) in self.parts.items():
+            mean, begin = np.empty((len(n), w[t].shape[1]), w[t].dtype), np.concatenate([[0], np.cumsum(n)])
+            for i in range(0, len(n), 20_000):
+                j = min(i + 20_000, len(n))
+                mean[i:j] = np.add.reduceat(w[t][buckets[begin[i] : begin[j]]], begin[i:j] - begin[i], axis=0) / n[i:j, None]
+            out.append(mean)
+        return np.concatenate(out, axis=1)
 
     def windows(self, p: Params) -> tuple[np.ndarray, np.ndarray]:
         """(row, first word) of every window; the first word counts from the batch's start."""
@@ -123,10 +135,16 @@ class Batch:
         return np.where(at < ends[:, None], self.ids[np.minimum(at, max(len(self.ids) - 1, 0))], -1)
 
 
+def spread(begin: np.ndarray, n: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Positions of all entries of some rows, in the rows' order."""
+    size = n[rows]
+    return np.repeat(begin[rows], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+
+
 def init(p: Params) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(p.seed)
-    d, h = p.word_dim + p.char_dim, p.hidden
-    w = {"word": rng.normal(0, 0.1, (p.buckets, p.word_dim)), "char": rng.normal(0, 0.3, (p.buckets, p.char_dim)), "wa": rng.normal(0, 0.3, (2 * h, p.attention)), "va": rng.normal(0, 0.3, p.attention), "out": rng.normal(0, 0.3, 2 * h), "bias": np.zeros(1)}
+    d, h = p.word_dim + p.char_dim + p.stem_dim, p.hidden
+    w = {"word": rng.normal(0, 0.1, (p.buckets, p.word_dim)), "char": rng.normal(0, 0.3, (p.buckets, p.char_dim)), "stem": rng.normal(0, 0.1, (p.buckets, p.stem_dim)), "wa": rng.normal(0, 0.3, (2 * h, p.attention)), "va": rng.normal(0, 0.3, p.attention), "out": rng.normal(0, 0.3, 2 * h), "bias": np.zeros(1)}
     for way in "fb":
         w[f"x{way}"], w[f"u{way}"], w[f"b{way}"] = rng.normal(0, 0.3, (d, 3 * h)), rng.normal(0, 0.3, (h, 3 * h)), np.zeros(3 * h)
     return {k: v.astype(np.float32) for k, v in w.items()}
@@ -234,24 +252,19 @@ class Network:
             g[f"x{way}"] = e[used].T @ per_word
             g[f"b{way}"] = per_word.sum(axis=0)
             de[used] += per_word @ w[f"x{way}"].T
-        g["word"], g["char"] = self._embedding_gradient(batch, de)
+        used, at = np.flatnonzero(np.abs(de).sum(axis=1) > 0), 0
+        for t, (buckets, n) in batch.parts.items():
+            g[t] = np.zeros_like(w[t])
+            share = de[used, at : at + w[t].shape[1]] / n[used][:, None]
+            np.add.at(g[t], buckets[spread(np.cumsum(n) - n, n, used)], np.repeat(share, n[used], axis=0))
+            at += w[t].shape[1]
         return g
 
-    def _embedding_gradient(self, batch: Batch, de: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        k = self.p.word_dim
-        word, char = np.zeros_like(self.w["word"]), np.zeros_like(self.w["char"])
-        used = np.flatnonzero(np.abs(de).sum(axis=1) > 0)
-        np.add.at(word, batch.word[used], de[used, :k])
-        begin = np.cumsum(batch.grams) - batch.grams
-        at = np.repeat(begin[used], batch.grams[used]) + np.arange(int(batch.grams[used].sum())) - np.repeat(np.cumsum(batch.grams[used]) - batch.grams[used], batch.grams[used])
-        share = de[used, k:] / batch.grams[used][:, None]
-        np.add.at(char, batch.gram[at], np.repeat(share, batch.grams[used], axis=0))
-        return word, char
-
 
 class Adam:
     def __init__(self, w: dict[str, np.ndarray], rate: float, decay: float) -> None:
         self.w, self.rate, self.decay, self.n = w, rate, decay, 0
+        self.start = {k: w[k].copy() for k in TABLES}
         self.m = {k: np.zeros_like(v) for k, v in w.items()}
         self.v = {k: np.zeros_like(v) for k, v in w.items()}
 
@@ -265,8 +278,26 @@ class Adam:
             self.m[k] += np.float32(0.1) * (x - self.m[k])
             self.v[k] += np.float32(0.001) * (x * x - self.v[k])
             self.w[k] -= (rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)).astype(np.float32)
-            if k in ("word", "char"):  # buckets that few windows touched go back to saying nothing
-                self.w[k] *= np.float32(1 - self.decay)
+            if k in self.start:  # buckets that few windows touched go back to where they were
+                self.w[k] -= np.float32(self.decay) * (self.w[k] - self.start[k])
+
+
+def prior(batch: Batch, y: np.ndarray, w: dict[str, np.ndarray]) -> None:
+    """Start the first embedding dimension of every word and gram bucket at its standardised log
+    odds between toxic and clean documents of the sample."""
+    toxic, clean = float(y.sum()), float(len(y) - y.sum())
+    pairs = np.unique(np.repeat(np.arange(len(batch.count)), batch.count) * len(batch.key) + batch.ids)
+    size = len(w["word"])
+    seen = {t: np.zeros((2, size)) for t in TABLES}
+    cuts = np.searchsorted(pairs, np.arange(0, len(batch.count) + 200, 200) * len(batch.key))
+    for i, j in zip(cuts[:-1], cuts[1:], strict=True):  # whole documents, 200 at a time
+        doc, word = np.divmod(pairs[i:j], len(batch.key))
+        for t, (buckets, n) in batch.parts.items():
+            once = np.unique(np.repeat(doc, n[word]) * size + buckets[spread(np.cumsum(n) - n, n, word)])
+            np.add.at(seen[t], (y[once // size].astype(np.int64), once % size), 1)
+    for k, (b, a) in seen.items():
+        odds = np.log((a + 0.5) / (toxic - a + 0.5)) - np.log((b + 0.5) / (clean - b + 0.5))
+        w[k][:, 0] = np.clip(odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) / 3, -2, 2).astype(np.float32)
 
 
 def fit(texts: list[str], labels: list[int], p: Params = Params()) -> Network | None:
@@ -278,6 +309,7 @@ def fit(texts: list[str], labels: list[int], p: Params = Params()) -> Network |
     batch = Batch.of_many(pa.array(texts, pa.string()), p)
     keep = batch.count[np.arange(len(texts))] > 0
     net = Network(p, init(p))
+    prior(batch, y, net.w)
     adam = Adam(net.w, p.rate, p.decay)
     row, begin = batch.windows(p)
     ids = batch.cut(row, begin, p)
@@ -295,17 +327,18 @@ def fit(texts: list[str], labels: list[int], p: Params = Params()) -> Network |
             worst = order[place < np.where(y[row[order]] == 1, 1, p.clean_windows)]  # one window of a toxic document, a few of a clean one
             pick, weight = worst, balance[row]
         pick = rng.permutation(pick)
-        for i in range(0, len(pick), p.batch):
-            j = pick[i : i + p.batch]
+        size = min(p.batch, max(32, len(pick) // 24))  # small samples take enough steps too
+        for i in range(0, len(pick), size):
+            j = pick[i : i + size]
             part, local = _restrict(batch, ids[j])
-            g = net.gradient(part, part.embed(net.w), local, y[row[j]], weight[j] / p.batch)
+            g = net.gradient(part, part.embed(net.w), local, y[row[j]], weight[j] / size)
             adam.step(g)
     return net
 
 
 class _Part(Batch):
-    def __init__(self, word: np.ndarray, gram: np.ndarray, grams: np.ndarray) -> None:
-        self.word, self.gram, self.grams = word, gram, grams
+    def __init__(self, parts: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
+        self.parts = parts
 
 
 def _restrict(batch: Batch, ids: np.ndarray) -> tuple[_Part, np.ndarray]:
@@ -314,10 +347,7 @@ def _restrict(batch: Batch, ids: np.ndarray) -> tuple[_Part, np.ndarray]:
     local = local.reshape(ids.shape)
     if len(used) and used[0] == -1:
         used, local = used[1:], local - 1
-    begin = np.cumsum(batch.grams) - batch.grams
-    n = batch.grams[used]
-    at = np.repeat(begin[used], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    return _Part(batch.word[used], batch.gram[at], n), local
+    return _Part({t: (buckets[spread(np.cumsum(n) - n, n, used)], n[used]) for t, (buckets, n) in batch.parts.items()}), local
 
 
 def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Network | None:
