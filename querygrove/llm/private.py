@@ -211,7 +211,7 @@ def redrawn(found: DataFrame, key: str = KEY) -> DataFrame:
     space = F.when(F.col("kind").startswith("name_"), "name").otherwise(F.col("kind"))
     start = found.select("kind", "canon", space.alias("space"), F.lit(0).alias("attempt"))
     state = materialise(start.withColumn("new", draw("kind", "canon", "attempt")), "draws")
-    taken = state.select("space", F.col("canon").alias("new")).distinct()
+    taken = materialise(start.select("space", F.col("canon").alias("new")).distinct(), "taken")
     for _ in range(MOST_ROUNDS):
         best = F.min(F.struct("attempt", "kind", "canon")).alias("best")
         first = state.groupBy("space", "new").agg(best, F.count("*").alias("n"))
