@@ -19,7 +19,7 @@ from .shared import WORD, materialise, read, row_count
 
 WEIGHTS = (3, 1, 2)
 #: Documents of a bin, on average.
-BIN_ROWS = 20_000
+BIN_ROWS = 2_000
 
 
 def size_of(text: Column) -> Column:
@@ -92,7 +92,7 @@ def op2_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
   coalesce('s' || source, 'n') AS key,
-  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % (SELECT greatest(1, (count(*) + 19999) // 20000) FROM documents) AS bin FROM documents),
+  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % (SELECT greatest(1, (count(*) + 1999) // 2000) FROM documents) AS bin FROM documents),
 s AS (SELECT key, any_value(source) AS source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY key),
 r AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rank FROM s),
 w AS (SELECT *, [3, 1, 2][(rank - 1) % 3 + 1] AS weight, 2 * source_size AS cap FROM r),
