@@ -27,6 +27,8 @@ SYMBOLS = 64
 LENGTHS = (1, 2, 3)
 #: Fitting reads about this many documents of each language, and as many landmarks.
 SAMPLE_DOCS, LANDMARKS = 600, 48
+#: The commonest languages that are learned; bounds what is counted on the driver and the model.
+MOST_CLASSES = 200
 BATCH = 256
 _is_letter: list[np.ndarray] = []
 
@@ -128,8 +130,8 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
 def sample(docs: DataFrame, column: str, per_class: int) -> list[tuple]:
     """About per_class rows (class, doc_id, text) of each class, picked by a hash of the id: the
     counts of the classes come from a scan of two columns, the texts from one scan that sends on
-    only what is picked. Sorted by that hash. The number of classes must be small."""
-    counts = {r[0]: r[1] for r in docs.groupBy(column).count().collect()}
+    only what is picked. Sorted by that hash. The MOST_CLASSES commonest classes count."""
+    counts = {r[0]: r[1] for r in docs.groupBy(column).count().orderBy(F.desc("count"), column).take(MOST_CLASSES)}
     if not counts:
         return []
     pick = None
