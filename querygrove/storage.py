@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -20,9 +22,27 @@ def shared_dir(spark: SparkSession) -> str:
     return held.get()
 
 
+_homes: set[str] = set()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in this application's part of the shared folder, which goes when Python ends."""
+    home = f"{shared_dir(spark)}/querygrove/{spark.sparkContext.applicationId}"
+    if home not in _homes:
+        _homes.add(home)
+        atexit.register(_delete, spark, home)
+    return f"{home}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended already
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, executors may be lost."""
-    path = f"{shared_dir(df.sparkSession)}/querygrove/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

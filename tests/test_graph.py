@@ -66,6 +66,15 @@ def test_stepwise_equals_kernel(spark):
     assert [r["node"] for r in steps.orderBy("iteration").collect()] == kernel
 
 
+def test_growth_by_joins_equals_kernel(spark):
+    rng = random.Random(15)
+    pairs = list({tuple(sorted(rng.sample([f"n{i:02d}" for i in range(30)], 2))) for _ in range(55)})
+    runs = spark.createDataFrame([("a", ["n01", "n02"], 3), ("b", ["n05", "n09", "zz"], 2), ("c", ["zz"], 2)], "run string, seeds array<string>, steps int")
+    cols = ["run", "iteration", "node", "k", "kb", F.round("p_value", 9).alias("p"), "method"]
+    a, b = expand.grow_many(plane_of(spark, pairs), runs), expand.run_all(net_of(pairs), runs)
+    assert sorted(map(tuple, a.select(*cols).collect())) == sorted(map(tuple, b.select(*cols).collect()))
+
+
 def test_pruning_keeps_the_best(spark):
     rng = random.Random(9)
     pairs = list({tuple(sorted(rng.sample([f"n{i:02d}" for i in range(25)], 2))) for _ in range(70)})
