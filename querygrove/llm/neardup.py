@@ -23,7 +23,7 @@ from pyspark.sql.pandas.functions import arrow_udf
 
 from . import textkernels as K
 from .components import connected_components
-from .shared import materialise, read
+from .shared import drop, materialise, read
 
 U64 = K.U64
 _OPEN = U64(0xFFFFFFFFFFFFFFFF)
@@ -231,6 +231,11 @@ def groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
     all that either text links to. A null doc_id takes no part: its component_id is null and it
     is kept. Other columns are not read.
     """
+    return _groups(docs, p)[0]
+
+
+def _groups(docs: DataFrame, p: Params) -> tuple[DataFrame, list[DataFrame]]:
+    """groups, and the tables in the shared folder that it reads."""
     signed = materialise(sign(docs, p), "signed")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialise(full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes")
@@ -246,17 +251,22 @@ def groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
     named = named.select("h1", "h2", "n_shingles", F.coalesce("root", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "h1", "h2").join(named, ["h1", "h2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out, [signed, classes, member]
 
 
 def deduplicate(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """docs without the rows of documents that are not the smallest of their group. Rows with a
     null doc_id stay; of rows that repeat a doc_id, one stays."""
-    marked = groups(docs, p)
+    marked, used = _groups(docs, p)
     kept = materialise(marked.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    once = docs.join(kept.where("n = 1 AND doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_semi")
-    again = docs.join(kept.where("n > 1 AND doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again).unionByName(docs.where("doc_id IS NULL")).select(docs.columns)
+    for t in used:
+        drop(docs.sparkSession, t)
+    out = docs.join(kept.where("n = 1 AND doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    repeated = kept.where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
+    if not repeated.isEmpty():  # else the texts would be shuffled once more to find nothing
+        out = out.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return out.select(docs.columns)
 
 
 def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
