@@ -10,11 +10,17 @@ from ..sources.schema import JUMP, PLANE_OF, RESTART, Plane
 from ..storage import drop, materialise
 
 
+def twice(df: DataFrame, keep: list[str], *ways: dict[str, str]) -> DataFrame:
+    """Each row once for each way of naming its columns, in one pass over what df is derived from."""
+    seen = F.explode(F.array(*(F.struct(*(F.col(old).alias(new) for new, old in w.items())) for w in ways)))
+    return df.select(*keep, seen.alias("__way")).select(*keep, *(F.col(f"__way.{c}").alias(c) for c in ways[0]))
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """Each edge in both directions; other columns stay."""
-    rest = [c for c in edges.columns if c not in ("label_a", "id_a", "label_b", "id_b")]
-    turned = edges.select(*rest, F.col("label_b").alias("label_a"), F.col("id_b").alias("id_a"), F.col("label_a").alias("label_b"), F.col("id_a").alias("id_b"))
-    return edges.select(*turned.columns).unionByName(turned)
+    ends = ("label_a", "id_a", "label_b", "id_b")
+    rest = [c for c in edges.columns if c not in ends]
+    return twice(edges, rest, {c: c for c in ends}, dict(zip(ends, (ends[2], ends[3], ends[0], ends[1]), strict=True)))
 
 
 def plane_edges(edges: DataFrame, nodes: DataFrame, plane: Plane) -> DataFrame:
@@ -26,8 +32,7 @@ def plane_edges(edges: DataFrame, nodes: DataFrame, plane: Plane) -> DataFrame:
         group = nodes.where("is_group").select("label", "id")
         for end in "ab":
             e = e.join(group.select(F.col("label").alias(f"label_{end}"), F.col("id").alias(f"id_{end}")), [f"label_{end}", f"id_{end}"], "left_anti")
-    e = e.where("id_a <> id_b").select(F.col("id_a").alias("src"), F.col("id_b").alias("dst"))
-    return e.unionAll(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    return twice(e.where("id_a <> id_b"), [], {"src": "id_a", "dst": "id_b"}, {"src": "id_b", "dst": "id_a"}).distinct()
 
 
 def edge_scan(edges: DataFrame, labels: tuple[str, ...], relations: tuple[str, ...], least_evidence: float | None = None, strict_pair: bool = False, extra: str | None = None) -> DataFrame:
@@ -60,8 +65,8 @@ def layer(edges: DataFrame, relation: str) -> DataFrame:
 
 def layer_degrees(layers: DataFrame) -> DataFrame:
     """Distinct partners of both sides of each layer."""
-    a = layers.groupBy("relation", F.col("type_a").alias("label"), F.col("a").alias("node")).agg(F.countDistinct("b").alias("degree"))
-    return a.unionByName(layers.groupBy("relation", F.col("type_b").alias("label"), F.col("b").alias("node")).agg(F.countDistinct("a").alias("degree")))
+    ends = twice(layers, ["relation"], {"label": "type_a", "node": "a", "other": "b"}, {"label": "type_b", "node": "b", "other": "a"})
+    return ends.groupBy("relation", "label", "node").agg(F.countDistinct("other").alias("degree"))
 
 
 def ccdf(df: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -73,8 +78,7 @@ def ccdf(df: DataFrame, value: str, by: list[str]) -> DataFrame:
 
 def heterogeneous(planes: dict[str, DataFrame], layers: DataFrame) -> DataFrame:
     """(src_label, src, dst_label, dst), both ways, each once: planes and the layers between them."""
-    out = layers.select(F.col("type_a").alias("src_label"), F.col("a").alias("src"), F.col("type_b").alias("dst_label"), F.col("b").alias("dst"))
-    out = out.unionByName(layers.select(F.col("type_b").alias("src_label"), F.col("b").alias("src"), F.col("type_a").alias("dst_label"), F.col("a").alias("dst")))
+    out = twice(layers, [], {"src_label": "type_a", "src": "a", "dst_label": "type_b", "dst": "b"}, {"src_label": "type_b", "src": "b", "dst_label": "type_a", "dst": "a"})
     for label, plane in planes.items():
         out = out.unionByName(plane.select(F.lit(label).alias("src_label"), "src", F.lit(label).alias("dst_label"), "dst"))
     return out.distinct()
@@ -132,12 +136,12 @@ def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 100) -> Da
     for _ in range(most_rounds):
         if not now[0]:
             break
-        sym = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        sym = twice(e, [], {"u": "u", "v": "v"}, {"u": "v", "v": "u"})
         low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         big = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = big.groupBy("u").agg(F.min("v").alias("m"))
         star = big.join(low, "u")
-        star = star.select("u", F.col("m").alias("v")).unionAll(star.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
+        star = twice(star, [], {"u": "u", "v": "m"}, {"u": "v", "v": "m"}).where("u <> v").distinct()
         after = materialise(star, "components")
         drop(e.sparkSession, e)
         e, before, now = after, now, state(after)

@@ -24,7 +24,7 @@ def relationships(edges: DataFrame, titled: DataFrame) -> DataFrame:
     by type and ends from 0 (edges is one question's subgraph)."""
     n = lambda end: titled.select(F.col("label").alias(f"label_{end}"), F.col("id").alias(f"id_{end}"), F.col("title").alias(f"title_{end}"))
     e = edges.join(n("a"), ["label_a", "id_a"]).join(n("b"), ["label_b", "id_b"])
-    ends = edges.select(F.col("id_a").alias("id")).unionAll(edges.select(F.col("id_b").alias("id")))
+    ends = edges.select(F.explode(F.array("id_a", "id_b")).alias("id"))
     d = ends.groupBy("id").agg(F.count("*").alias("degree"))
     e = e.join(d.select(F.col("id").alias("id_a"), F.col("degree").alias("d_a")), "id_a").join(d.select(F.col("id").alias("id_b"), F.col("degree").alias("d_b")), "id_b")
     r = F.row_number().over(W.orderBy("type", "id_a", "id_b")) - 1
@@ -34,7 +34,7 @@ def relationships(edges: DataFrame, titled: DataFrame) -> DataFrame:
 
 def entities(titled: DataFrame, edges: DataFrame, texts: DataFrame | None = None, most_words: int = 150) -> DataFrame:
     """(id, title, type, description, degree): the label, the title, and a shortened text if there is one."""
-    ends = edges.select(F.col("id_a").alias("id")).unionAll(edges.select(F.col("id_b").alias("id")))
+    ends = edges.select(F.explode(F.array("id_a", "id_b")).alias("id"))
     d = ends.groupBy("id").agg(F.count("*").alias("degree"))
     e = titled.join(d, "id", "left")
     e = e.join(texts.select("label", "id", X.shortened(F.col("text"), most_words).alias("text")), ["label", "id"], "left") if texts is not None else e.withColumn("text", F.lit(None).cast("string"))
@@ -45,7 +45,7 @@ def entities(titled: DataFrame, edges: DataFrame, texts: DataFrame | None = None
 def text_units(titled: DataFrame, relations: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """(id, text, n_tokens, relationship_ids): a node's text, if any, and the sentences of its edges in
     the order of the relationships; tokens are words."""
-    sent = relations.select(F.col("id_a").alias("id"), "r", "description").unionAll(relations.select(F.col("id_b").alias("id"), "r", "description"))
+    sent = relations.select(F.explode(F.array("id_a", "id_b")).alias("id"), "r", "description")
     s = sent.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("r", "description"))).alias("s"))
     u = titled.join(s, "id", "left")
     u = u.join(texts.select("label", "id", "text"), ["label", "id"], "left") if texts is not None else u.withColumn("text", F.lit(None).cast("string"))
