@@ -29,6 +29,8 @@ LENGTHS = (1, 2, 3)
 SAMPLE_DOCS, LANDMARKS = 600, 48
 #: The commonest languages that are learned; bounds what is counted on the driver and the model.
 MOST_CLASSES = 200
+#: Sampled documents and landmarks of all languages together, and characters of a sampled document.
+MOST_DOCS, MOST_LANDMARKS, MOST_CHARS = 4_000, 256, 200_000
 BATCH = 256
 _is_letter: list[np.ndarray] = []
 
@@ -106,6 +108,7 @@ def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: f
     if not texts:
         return None
     names = sorted(set(langs))
+    landmarks = max(1, min(landmarks, MOST_LANDMARKS // len(names)))
     table = alphabet(texts)
     chosen: list[int] = []
     for lang in names:
@@ -134,13 +137,14 @@ def sample(docs: DataFrame, column: str, per_class: int) -> list[tuple]:
     counts = {r[0]: r[1] for r in docs.groupBy(column).count().orderBy(F.desc("count"), column).take(MOST_CLASSES)}
     if not counts:
         return []
+    per_class = min(per_class, MOST_DOCS // len(counts))
     pick = None
     place = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30))
     for name, n in sorted(counts.items()):
         most = int((1 << 30) * min(1.0, per_class / n))
         one = (F.col(column) == F.lit(name)) & (place < most)
         pick = one if pick is None else pick | one
-    rows = docs.where(pick).select(column, "doc_id", F.col("text").cast("string").alias("text"), place.alias("place")).collect()
+    rows = docs.where(pick).where(F.length("text") <= MOST_CHARS).select(column, "doc_id", F.col("text").cast("string").alias("text"), place.alias("place")).collect()
     return [(r[0], r[1], r[2]) for r in sorted(rows, key=lambda r: (r["place"], str(r[0]), r[2]))]
 
 

@@ -77,10 +77,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = 150,
 
 
 def emit(docs: DataFrame, **kw) -> DataFrame:
-    """The mix itself: each row of docs(doc_id, text, source, ...) as often as it was drawn."""
-    sized = docs.withColumn("size", size_of(F.col("text"))) if "size" not in docs.columns else docs
-    out = mix(sized, **kw).where("copies > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    """The mix itself: each row of docs(doc_id, text, source, ...) as often as it was drawn, with all
+    of its columns, whatever they are called."""
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "source", size_of(F.col("text")).alias("size"))
+    out = mix(rows, **kw).where("copies > 0")
+    return out.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")
 
 
 def op2_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

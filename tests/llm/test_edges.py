@@ -12,11 +12,11 @@ from querygrove.llm.shared import scratch
 GOOD = "The house on the hill had a red door and a small green garden where old trees stood in the evening light, and nobody who walked by knew how long ago it had been built or who had lived there first, for all of the papers about it had been lost in a great fire long before. Mail a.b@example.org or call +1 (201) 555-0173 now."
 #: Names that operators use for columns of their own.
 CLASH = ["size", "target", "copies", "kept", "quality", "private", "language", "toxicity", "n", "bands", "node", "root", "component_id", "score", "group_id", "crcs", "rest", "source_size", "h1", "rep", "u", "v"]
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH if c not in ("size",))
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH)
 
 
 def rows():
-    extra = ["x"] * (len(CLASH) - 1)
+    extra = ["x"] * len(CLASH)
     texts = [
         (1, GOOD, "en", "a"), (2, GOOD + " It was.", "en", "a"), (3, None, "en", "a"), (4, "", None, None), (5, " \t\n", "de", "b"), (6, "word", "en", None), (7, "two words", "en", "b"),
         (None, GOOD, "en", "a"), (8, GOOD, None, "c"), (8, GOOD, None, "c"), (9, "ab " * 40_000, "en", "c"), (10, "z" * 300_000, "de", "c"), (11, "Éa ñ ß 日本 \U0001f600 " * 30, "fr", "d"), (12, "1234 %% !!", "en", "d"),
@@ -71,13 +71,14 @@ def test_private(docs, none):
 
 
 def test_mixing(docs, none):
-    mixed = mixing.mix(docs.drop("size").withColumn("size", mixing.size_of(F.col("text"))))
+    mixed = mixing.mix(docs.withColumn("size", mixing.size_of(F.col("text"))))
     got = mixed.collect()
     assert len(got) == 14 and all(0 <= r["copies"] <= 2 for r in got)
     assert {r["source"] for r in got} == {None, "a", "b", "c", "d"} and next(r for r in got if r["doc_id"] == 6)["source_size"] == 1
     out = mixing.emit(docs)
     assert out.columns == docs.columns
     assert out.count() == sum(r["copies"] for r in got)
+    assert {r[c] for r in out.collect() for c in CLASH} == {"x"}
     assert mixing.emit(none).count() == 0
 
 
@@ -178,6 +179,6 @@ def test_stages(spark, docs, none, k):
     _, stage = corpus_pipeline.STAGES[k]
     out = stage(spark, docs, "unused")
     if k < 4:
-        assert out.columns == docs.columns
+        assert out.columns == docs.columns and {r[c] for r in out.collect() for c in CLASH} == {"x"}
     out.count()
     assert stage(spark, none, "unused").count() == 0
