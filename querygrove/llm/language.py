@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from .shared import crc_mod, read
+from .shared import crc_mod, read, small_batches
 
 SYMBOLS = 64
 LENGTHS = (1, 2, 3)
@@ -158,6 +158,7 @@ def identify(docs: DataFrame, model: Model | None, into: str = "language") -> Da
     """docs(text, ...) with a struct column `into` of lang_pred and score. A null text, one without
     a letter, and every text if there is no model, is `und` with score 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
 
     @arrow_udf("lang_pred string, score double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

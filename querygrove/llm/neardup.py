@@ -23,7 +23,7 @@ from pyspark.sql.pandas.functions import arrow_udf
 
 from . import textkernels as K
 from .components import connected_components
-from .shared import drop, materialise, read
+from .shared import drop, materialise, read, small_batches
 
 U64 = K.U64
 _OPEN = U64(0xFFFFFFFFFFFFFFFF)
@@ -236,6 +236,7 @@ def groups(docs: DataFrame, p: Params = Params()) -> DataFrame:
 
 def _groups(docs: DataFrame, p: Params) -> tuple[DataFrame, list[DataFrame]]:
     """groups, and the tables in the shared folder that it reads."""
+    small_batches(docs.sparkSession)
     signed = materialise(sign(docs, p), "signed")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialise(full.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from .shared import read, row_count
+from .shared import read, row_count, small_batches
 
 LENGTH = 2048
 END = 1
@@ -222,6 +222,7 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, group_docs: int = GROU
     read. The group of a row follows from its id and ids, so a repeated task deals alike.
     """
     groups = max(1, -(-row_count(docs) // group_docs))
+    small_batches(docs.sparkSession)
     t = tokenised(docs, length, vocabulary)
     t = t.select(F.pmod(F.xxhash64("doc_id", "n", F.crc32("rest")), F.lit(groups)).alias("group_id"), "doc_id", "n", "crcs", "rest")
     return t.groupBy("group_id").applyInArrow(_pack_group(length), _PIECES)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from .shared import drop, materialise, read
+from .shared import drop, materialise, read, small_batches
 
 KEY = "surrogates-1"
 #: Redrawn entities up to this many are broadcast (under 50 MB of at most 500 bytes each).
@@ -254,6 +254,7 @@ def pseudonymise(docs: DataFrame, key: str = KEY, broadcast_rows: int = BROADCAS
     of any name stay, ids are not read, repeated rows become alike.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     found = materialise(entities(docs), "entities")
     again = materialise(redrawn(found, key), "redrawn")
     none = F.lit(None).cast("array<struct<kind:string,canon:string,attempt:int>>")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
 from . import textkernels as K
-from .shared import read
+from .shared import read, small_batches
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -176,6 +176,7 @@ def annotate(docs: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int =
     `sample_rows` bounds the sample from which the rule order is estimated.
     """
     names = [r.name for r in order_rules(sample_texts(docs, sample_rows), rules)]
+    small_batches(docs.sparkSession)
     by_name = {r.name: r for r in rules}
 
     @arrow_udf(_SCHEMA)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..storage import drop, materialise, shared_dir
 
-__all__ = ["LAST", "WORD", "crc_mod", "drop", "materialise", "read", "row_count", "scratch", "shared_dir"]
+__all__ = ["LAST", "WORD", "crc_mod", "drop", "materialise", "read", "row_count", "scratch", "shared_dir", "small_batches"]
 
 #: Whitespace of the word definition: space and the five controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,6 +26,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/querygrove/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Rows and bytes of an Arrow batch of texts, at most.
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to these bounds, where they are larger: texts are wide, and a
+    batch is held by the JVM and by Python at once."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int("".join(c for c in spark.conf.get(key, str(most)) if c in "-0123456789") or most)
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def crc_mod(column: str, m: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % m
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
 from . import textkernels as K
-from .shared import crc_mod, read
+from .shared import crc_mod, read, small_batches
 
 _BREAK = np.ones(256, bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
@@ -382,6 +382,7 @@ def score_texts(net: Network | None, texts: pa.Array) -> np.ndarray:
 def rate(docs: DataFrame, net: Network | None, into: str = "toxicity") -> DataFrame:
     """docs(text, ...) with a double column `into`. Null and empty texts score 0; other columns stay."""
     shared = docs.sparkSession.sparkContext.broadcast(net)
+    small_batches(docs.sparkSession)
 
     @arrow_udf("double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
