@@ -283,3 +283,19 @@ def resume_pending(s: Star) -> DataFrame:
     """Work without a result."""
     c = s.table("conversations")
     return io.pending(c.select("conv_id", "turn"), c.where("role = 'assistant'").select("conv_id", "turn"), ["conv_id", "turn"])
+
+
+@query("""SELECT p_partkey, p_name, doc_id, text FROM part JOIN documents ON doc_id = p_partkey AND lang = CASE p_size % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END WHERE trim(text) <> ''""", graph=False)
+def text_bridge(s: Star) -> DataFrame:
+    """Nodes with the text that a bridge of two keys leads to; those without one go."""
+    lang = F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "es"))), (F.col("p_size") % 4 + 1).cast("int"))
+    p = s.table("part").select("p_partkey", "p_name", F.col("p_partkey").alias("doc_id"), lang.alias("lang"))
+    d = s.table("documents").select("doc_id", "lang", "text")
+    return p.join(d, ["doc_id", "lang"], "left").where(F.trim("text") != "").select("p_partkey", "p_name", "doc_id", "text")
+
+
+@query("SELECT DISTINCT 'S' || l_suppkey AS compound, 'C' || o_custkey AS disease FROM g_sold JOIN supplier ON s_suppkey = l_suppkey WHERE l_quantity >= 48 AND l_linestatus = 'F' AND s_acctbal > 0")
+def indication_fanout(s: Star) -> DataFrame:
+    """Indications of drugs as indications of their compounds."""
+    d = s.edges("INDICATION").select(F.col("id_a").alias("compound"), F.col("id_b").alias("disease"))
+    return d.join(s.table("supplier").where("s_acctbal > 0").select(sid("s_suppkey").alias("compound")), "compound").distinct()

@@ -176,3 +176,28 @@ def has_layer_neighbours(s: Star) -> DataFrame:
     from ..operators import graph
 
     return graph.both_ways(s.edges("GDA", "INDICATION", "DRUG_TARGET")).select(F.col("label_a").alias("label"), F.col("id_a").alias("id")).distinct()
+
+
+_GOLD = "x_gs AS (SELECT c_custkey AS question, n_nationkey AS item, n_name AS synonym FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 20 = 1 UNION ALL SELECT c_custkey, 1000 + p_partkey, p_brand FROM customer JOIN part ON p_partkey = c_custkey WHERE c_custkey % 20 = 1 AND p_partkey % 2 = 1)"
+
+
+@query(f"{_DICT}, {_GOLD}, x_k(kind) AS (VALUES ('Gene'), ('Disease'), ('Drug')), x_hit AS (SELECT DISTINCT question, item FROM x_gs JOIN x_k ON true JOIN x_dict d ON d.kind = x_k.kind AND d.form = {_form('synonym')}) SELECT g.question, count(DISTINCT g.item) AS items, count(DISTINCT h.item) AS linked FROM x_gs g LEFT JOIN x_hit h ON h.question = g.question AND h.item = g.item GROUP BY 1")
+def gold_linking(s: Star) -> DataFrame:
+    """Gold items that some synonym, of any kind, links to a node."""
+    c = s.table("customer").where("c_custkey % 20 = 1")
+    a = c.join(s.table("nation"), F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("question"), F.col("n_nationkey").cast("long").alias("item"), F.col("n_name").alias("synonym"))
+    b = c.join(s.table("part").where("p_partkey % 2 = 1"), F.col("p_partkey") == F.col("c_custkey")).select(F.col("c_custkey").alias("question"), (F.col("p_partkey") + 1000).alias("item"), F.col("p_brand").alias("synonym"))
+    gold = a.unionByName(b)
+    tried = gold.select(F.to_json(F.struct("question", "item")).alias("mention"), F.explode(F.array(*map(F.lit, L.KINDS))).alias("kind"), F.lit(0).alias("place"), F.col("synonym").alias("name"))
+    hit = L.exact(tried, _dictionary(s), _named(s), ASCII).select(F.from_json("mention", "question long, item long").alias("m")).select("m.*").distinct().select("question", F.col("item").alias("hit"))
+    g = gold.select("question", "item").distinct().join(hit.withColumn("item", F.col("hit")), ["question", "item"], "left")
+    return g.groupBy("question").agg(F.countDistinct("item").alias("items"), F.countDistinct("hit").alias("linked"))
+
+
+@query(_EXACT + ", x_qm AS (SELECT CAST(substr(mention, 2) AS BIGINT) % 50 AS question, mention, kind FROM x_m WHERE kind = 'Gene') SELECT question, count(*) AS mentions, count(*) FILTER (mention IN (SELECT mention FROM x_res)) AS linked, bool_and(mention IN (SELECT mention FROM x_res)) AS all_linked FROM x_qm GROUP BY 1")
+def question_links(s: Star) -> DataFrame:
+    """Whether all mentions of a question link."""
+    m = _mentions(s).where("kind = 'Gene'")
+    hit = L.exact(m.withColumn("place", F.lit(0)), _dictionary(s), _named(s), ASCII).select("mention", F.lit(True).alias("hit")).distinct()
+    q = m.join(hit, "mention", "left").withColumn("question", F.substring("mention", 2, 20).cast("long") % 50).withColumn("hit", F.coalesce("hit", F.lit(False)))
+    return q.groupBy("question").agg(F.count("*").alias("mentions"), F.count_if("hit").alias("linked"), F.every("hit").alias("all_linked"))

@@ -285,3 +285,38 @@ def set_overlap(s: Star) -> DataFrame:
     n = li.select((F.col("l_orderkey") - 1).alias("l_orderkey"), F.col("v").alias("w"))
     j = li.join(n, "l_orderkey").where(F.arrays_overlap("v", "w"))
     return j.select(F.col("l_orderkey").alias("a"), (F.col("l_orderkey") + 1).alias("b"), F.size(F.array_intersect("v", "w")).cast("long").alias("shared"))
+
+
+@query("""SELECT l_suppkey AS item, l_partkey AS gold, string_agg(DISTINCT l_returnflag, ' ' ORDER BY l_returnflag) AS configurations FROM lineitem WHERE l_quantity >= 40 GROUP BY 1, 2""", graph=False)
+def dictionary_hits(s: Star) -> DataFrame:
+    """Pairs in joined texts, with the configurations that found them."""
+    from ..operators.joins import join_distinct
+
+    joined = s.table("lineitem").where("l_quantity >= 40").groupBy("l_returnflag", "l_suppkey").agg(F.array_join(F.collect_list(F.col("l_partkey").cast("string")), " | ").alias("pairs"))
+    one = joined.select("l_returnflag", F.col("l_suppkey").alias("item"), F.explode(F.split("pairs", r" \| ")).alias("gold")).withColumn("gold", F.col("gold").cast("long"))
+    return one.groupBy("item", "gold").agg(join_distinct("l_returnflag", " ").alias("configurations"))
+
+
+@query("""SELECT conv_id AS question, 'r' || (conv_id % 3) AS rep, count(*) AS claims, count(*) FILTER (length(text) % 3 = 0) AS contradictions FROM conversations GROUP BY 1, 2""", graph=False)
+def judged_labels(s: Star) -> DataFrame:
+    """Judged claims: a query id is taken apart and a label counted."""
+    label = F.when(F.length("text") % 3 == 0, "Contradiction").otherwise("Entailment")
+    j = s.table("conversations").groupBy(F.concat_ws("__", F.col("conv_id"), F.concat(F.lit("r"), (F.col("conv_id") % 3).cast("string"))).alias("query_id")).agg(F.collect_list(label).alias("labels"))
+    p = F.split("query_id", "__")
+    return j.select(p[0].cast("long").alias("question"), p[1].alias("rep"), F.size("labels").cast("long").alias("claims"), F.size(F.filter("labels", lambda x: x == "Contradiction")).cast("long").alias("contradictions"))
+
+
+@query(_FACTS + " SELECT a.configuration, printf('%.2f', round(avg(a.value), 4)) AS mean, printf('%+.1f', round(avg(a.value - b.value), 4)) AS difference FROM x_c a JOIN x_c b USING (question) WHERE b.configuration = (SELECT min(configuration) FROM x_f) GROUP BY 1")
+def summary_table(s: Star) -> DataFrame:
+    """Means and signed differences as text."""
+    low = facts(s).agg(F.min("configuration")).first()[0]
+    c = M.compare(_complete(s), [low])
+    return c.select("configuration", F.format_string("%.2f", F.round("mean", 4)).alias("mean"), F.format_string("%+.1f", F.round("difference", 4)).alias("difference"))
+
+
+@query(_FACTS + """, x_in AS (SELECT question, max(value) > 60 AS inside FROM x_c GROUP BY 1) SELECT inside, configuration, count(*) AS questions, round(avg(value), 6) AS mean FROM x_c JOIN x_in USING (question) GROUP BY 1, 2""")
+def gold_in_out(s: Star) -> DataFrame:
+    """Means by whether the gold is in the subgraph."""
+    c = _complete(s)
+    inside = c.groupBy("question").agg((F.max("value") > 60).alias("inside"))
+    return c.join(inside, "question").groupBy("inside", "configuration").agg(F.count("*").alias("questions"), F.round(F.avg("value"), 6).alias("mean"))

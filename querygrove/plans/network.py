@@ -290,3 +290,26 @@ FROM (SELECT DISTINCT l_linenumber AS kb, l_linenumber + l_suppkey % 9 AS k, 200
 def hypergeometric_tail(s: Star) -> DataFrame:
     q = s.table("lineitem").select(F.col("l_linenumber").alias("kb"), (F.col("l_linenumber") + F.col("l_suppkey") % 9).alias("k"), F.lit(200).alias("n"), (5 + F.col("l_partkey") % 40).alias("s")).distinct()
     return hypergeom.tail(q, s.spark, "kb", "k", "n", "s", 200).withColumn("p_value", F.round("p_value", 8))
+
+
+@query("SELECT x AS a, y AS b, count(*) AS n FROM (SELECT label_a AS x, label_b AS y FROM g_edges UNION ALL SELECT label_b, label_a FROM g_edges WHERE label_a <> label_b) GROUP BY 1, 2")
+def layer_crosstab(s: Star) -> DataFrame:
+    """Edges between labels, the same from both sides."""
+    e = s.edges().select("label_a", "label_b")
+    c = e.groupBy("label_a", "label_b").agg(F.count("*").alias("n"))
+    turned = c.where("label_a <> label_b").select(F.col("label_b").alias("label_a"), F.col("label_a").alias("label_b"), "n")
+    return c.unionAll(turned).groupBy(F.col("label_a").alias("a"), F.col("label_b").alias("b")).agg(F.sum("n").alias("n"))
+
+
+@query(_COMP + """, x_q AS (SELECT node, kb, degree - ks + kb AS k FROM x_t JOIN g_degree g USING (node) WHERE g.plane = 'gene'), x_m AS (SELECT *, min(k) OVER (PARTITION BY kb) AS mk FROM x_q), x_w AS (SELECT *, max(kb) OVER (PARTITION BY k) AS mb FROM x_m WHERE k = mk)
+SELECT node, kb, k FROM x_w WHERE kb = mb""")
+def c3_node_candidates(s: Star) -> DataFrame:
+    """Candidates by components touched, pruned."""
+    p = materialise(planes(s)["gene"], "plane")
+    return expand.pruned(expand.touches(p, _components(s, p)).select("node", "kb", "k")).select("node", "kb", "k")
+
+
+@query(_HET + " SELECT src_label AS label, src AS node, count(*) AS neighbours FROM x_h GROUP BY 1, 2")
+def heterogeneous_nodes(s: Star) -> DataFrame:
+    """Nodes of all planes and layers together."""
+    return hetero(s).groupBy(F.col("src_label").alias("label"), F.col("src").alias("node")).agg(F.count("*").alias("neighbours"))
