@@ -8,12 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.schema import JUMP, PLANE_OF, RESTART, Plane
 from ..storage import drop, materialise
-
-
-def twice(df: DataFrame, keep: list[str], *ways: dict[str, str]) -> DataFrame:
-    """Each row once for each way of naming its columns, in one pass over what df is derived from."""
-    seen = F.explode(F.array(*(F.struct(*(F.col(old).alias(new) for new, old in w.items())) for w in ways)))
-    return df.select(*keep, seen.alias("__way")).select(*keep, *(F.col(f"__way.{c}").alias(c) for c in ways[0]))
+from .components import connected_components, twice
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -126,28 +121,10 @@ def walk(matrix: DataFrame, restart: DataFrame, rounds: int = 20, r: float = RES
     return x.select("label", "node", (F.col("score") / F.lit(total)).alias("score"))
 
 
-def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(node, component): the smallest node reachable over edges(src, dst), for all nodes(node). Edges
-    are contracted to stars, so rounds grow with the logarithm of the longest path."""
-    e = edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct()
-    e = materialise(e, "components")
-    state = lambda t: tuple(t.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-    now = state(e)
-    for _ in range(most_rounds):
-        if not now[0]:
-            break
-        sym = twice(e, [], {"u": "u", "v": "v"}, {"u": "v", "v": "u"})
-        low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        big = sym.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = big.groupBy("u").agg(F.min("v").alias("m"))
-        star = big.join(low, "u")
-        star = twice(star, [], {"u": "u", "v": "m"}, {"u": "v", "v": "m"}).where("u <> v").distinct()
-        after = materialise(star, "components")
-        drop(e.sparkSession, e)
-        e, before, now = after, now, state(after)
-        if now == before:
-            break
-    return nodes.select("node").distinct().join(e.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component): the smallest node reachable over edges(src, dst), for all nodes(node)."""
+    found = connected_components(edges.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+    return nodes.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
 def reachable(plane: DataFrame, start: DataFrame) -> DataFrame:
