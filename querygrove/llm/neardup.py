@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
+from ..operators.components import connected_components
 from . import textkernels as K
-from .components import connected_components
 from .shared import drop, materialise, read, small_batches
 
 U64 = K.U64

@@ -13,8 +13,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from querygrove.llm import components, language, mixing, neardup, neighbours, packing, private, quality, toxicity
+from querygrove.llm import language, mixing, neardup, neighbours, packing, private, quality, toxicity
 from querygrove.llm import textkernels as K
+from querygrove.operators import components
 
 from ..conftest import DATA
 
