@@ -260,12 +260,14 @@ def deduplicate(docs: DataFrame, p: Params = Params()) -> DataFrame:
     """docs without the rows of documents that are not the smallest of their group. Rows with a
     null doc_id stay; of rows that repeat a doc_id, one stays."""
     marked, used = _groups(docs, p)
-    kept = materialise(marked.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
+    by_id = marked.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    apart = materialise(by_id.where("NOT kept OR n > 1"), "apart")
     for t in used:
         drop(docs.sparkSession, t)
-    out = docs.join(kept.where("n = 1 AND doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
-    repeated = kept.where("n > 1 AND doc_id IS NOT NULL").select("doc_id")
-    if not repeated.isEmpty():  # else the texts would be shuffled once more to find nothing
+    # what goes is less than what stays: an anti join lets its side be the small one
+    out = docs.join(apart.select("doc_id"), "doc_id", "left_anti")
+    repeated = apart.where("kept").select("doc_id")
+    if not repeated.isEmpty():  # else the texts would be read once more to find nothing
         out = out.unionByName(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return out.select(docs.columns)
 
