@@ -289,7 +289,7 @@ exp(lgamma(s + 1) - lgamma(x + 1) - lgamma(s - x + 1) + lgamma(n - s + 1) - lgam
 FROM (SELECT DISTINCT l_linenumber AS kb, l_linenumber + l_suppkey % 9 AS k, 200 AS n, 5 + l_partkey % 40 AS s FROM lineitem)""", graph=False)
 def hypergeometric_tail(s: Star) -> DataFrame:
     q = s.table("lineitem").select(F.col("l_linenumber").alias("kb"), (F.col("l_linenumber") + F.col("l_suppkey") % 9).alias("k"), F.lit(200).alias("n"), (5 + F.col("l_partkey") % 40).alias("s")).distinct()
-    return hypergeom.tail(q, s.spark, "kb", "k", "n", "s", 200).withColumn("p_value", F.round("p_value", 8))
+    return hypergeom.tail(q, "kb", "k", "n", "s").withColumn("p_value", F.round("p_value", 8))
 
 
 @query("SELECT x AS a, y AS b, count(*) AS n FROM (SELECT label_a AS x, label_b AS y FROM g_edges UNION ALL SELECT label_b, label_a FROM g_edges WHERE label_a <> label_b) GROUP BY 1, 2")

@@ -41,6 +41,12 @@ def test_tail_by_counting():
             assert hypergeom.p_value(kb, k, n, s) == pytest.approx(exact, abs=1e-12)
 
 
+def test_log_factorial(spark):
+    got = spark.createDataFrame([(n,) for n in (0, 1, 2, 10, 500, 100_000, 10**9)], "n long").select("n", hypergeom.log_factorial(F.col("n"))).collect()
+    for n, x in got:
+        assert x == pytest.approx(math.lgamma(n + 1), rel=1e-13, abs=1e-12)
+
+
 def test_growth_example(spark):
     net = net_of(PATH)
     first = expand.grow(net, net.positions(["a", "c"]), 1)[0]
