@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import drop, materialise, shared_dir
+from ..storage import drop, materialise, scratch
 
-__all__ = ["LAST", "WORD", "crc_mod", "drop", "materialise", "read", "row_count", "scratch", "shared_dir", "small_batches"]
+__all__ = ["LAST", "WORD", "crc_mod", "drop", "materialise", "read", "row_count", "scratch", "small_batches"]
 
 #: Whitespace of the word definition: space and the five controls from tab to carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,11 +19,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/querygrove/{name}-{uuid.uuid4().hex[:12]}"
-
-
 #: Rows and bytes of an Arrow batch of texts, at most.
 BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
 
@@ -34,8 +27,8 @@ def small_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batches to these bounds, where they are larger: texts are wide, and a
     batch is held by the JVM and by Python at once."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = int("".join(c for c in spark.conf.get(key, str(most)) if c in "-0123456789") or most)
-        if now <= 0 or now > most:
+        now = spark.conf.get(key, "0").removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:  # unlimited, larger, or with a unit
             spark.conf.set(key, str(most))
 
 
