@@ -27,7 +27,7 @@ def small_batches(spark: SparkSession) -> None:
     """Lower the session's Arrow batches to these bounds, where they are larger: texts are wide, and a
     batch is held by the JVM and by Python at once."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(key, str(most)).removesuffix("b")
+        now = (spark.conf.get(key) or "").removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= most:  # unlimited, larger, or with a unit
             spark.conf.set(key, str(most))
 
