@@ -53,13 +53,16 @@ def macro_f1(df: DataFrame, by: list[str], predicted: str, actual: str, classes:
     return df.groupBy(*by).agg((total / len(classes)).alias("macro_f1"))
 
 
+def gram_array(w: Column, skip: int, singles: bool = False) -> Column:
+    """Ordered pairs of words with up to skip words between them, and the words themselves if singles."""
+    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(skip + 1)), lambda d: F.when(F.size(w) > d, F.zip_with(F.slice(w, F.lit(1), F.size(w) - d), F.slice(w, d + 1, F.size(w) - d), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))))
+    return F.concat(pairs, w) if singles else pairs
+
+
 def grams(texts: DataFrame, key: list[str], words: str, skip: int, singles: bool = False) -> DataFrame:
     """(key, gram, n): ordered pairs of words with up to skip words between them, counted, and the
     words themselves if singles."""
-    w = F.col(words)
-    pairs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(skip + 1)), lambda d: F.when(F.size(w) > d, F.zip_with(F.slice(w, F.lit(1), F.size(w) - d), F.slice(w, d + 1, F.size(w) - d), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))))
-    g = F.concat(pairs, w) if singles else pairs
-    return texts.select(*key, F.explode(g).alias("gram")).groupBy(*key, "gram").agg(F.count("*").alias("n"))
+    return texts.select(*key, F.explode(gram_array(F.col(words), skip, singles)).alias("gram")).groupBy(*key, "gram").agg(F.count("*").alias("n"))
 
 
 def rouge(pairs: DataFrame, answer: DataFrame, ideal: DataFrame) -> DataFrame:
@@ -72,6 +75,22 @@ def rouge(pairs: DataFrame, answer: DataFrame, ideal: DataFrame) -> DataFrame:
     return m.select("question", "reference", "recall", f1(F.col("precision"), F.col("recall")).alias("f1"))
 
 
+def rouge_dealt(answers: DataFrame, references: DataFrame, skip: int, singles: bool = False, small: bool = False) -> DataFrame:
+    """rouge of answers(question, reference, w) against references(reference, w): grams that the
+    reference lacks are dropped before they are counted, their number follows from the words. With
+    small, the references are broadcast."""
+    w = F.size("w")
+    n = sum((F.greatest(w - d, F.lit(0)) for d in range(1, skip + 2)), F.greatest(w, F.lit(0)) if singles else F.lit(0))
+    ideal = grams(references, ["reference"], "w", skip, singles).withColumnRenamed("n", "b")
+    nb = ideal.groupBy("reference").agg(F.sum("b").alias("nb"))
+    shared = answers.select("question", "reference", F.explode(gram_array(F.col("w"), skip, singles)).alias("gram")).join(F.broadcast(ideal) if small else ideal, ["reference", "gram"])
+    shared = shared.groupBy("question", "reference", "gram").agg(F.least(F.count("*"), F.max("b")).alias("both"))
+    both = shared.groupBy("question", "reference").agg(F.sum("both").alias("both"))
+    m = answers.groupBy("question", "reference").agg(F.sum(n).alias("na")).join(nb, "reference", "left").join(both, ["question", "reference"], "left").na.fill(0)
+    precision, recall = F.when(F.col("na") > 0, F.col("both") / F.col("na")).otherwise(0.0), F.when(F.col("nb") > 0, F.col("both") / F.col("nb")).otherwise(0.0)
+    return m.select("question", "reference", recall.alias("recall"), f1(precision, recall).alias("f1"))
+
+
 def best_of(scores: DataFrame, measures: list[str]) -> DataFrame:
     """Each measure's largest over the references, on its own."""
     return scores.groupBy("question").agg(*(F.max(m).alias(m) for m in measures))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import measures as M
+from ..operators.joins import number_from
 from ..sources.star import Star
 from .registry import query
 
@@ -58,6 +59,10 @@ def yesno_macro_f1(s: Star) -> DataFrame:
     return M.macro_f1(d, ["lang"], "predicted", "quality", (1, 0)).withColumn("macro_f1", F.round("macro_f1", 9))
 
 
+#: Items of the benchmark up to which their grams are broadcast.
+SMALL = 2000
+
+
 def _rouge(skip: int, singles: bool) -> str:
     pairs = "SELECT {k}, ws[i] || ' ' || ws[j] AS gram FROM (SELECT {k}, ws, i, unnest(range(i + 1, least(i + 1 + {s}, len(ws)) + 1)) AS j FROM (SELECT {k}, ws, unnest(range(1, len(ws) + 1)) AS i FROM {t}))"
     extra = " UNION ALL SELECT {k}, unnest(ws) FROM {t}" if singles else ""
@@ -70,11 +75,13 @@ SELECT question, round(max(coalesce(r, 0)), 9) AS recall, round(max(CASE WHEN co
 
 
 def _rouge_scores(s: Star, skip: int, singles: bool) -> DataFrame:
-    a = s.table("conversations").where("conv_id <= 40").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question"), X.words(F.col("text")).alias("w"))
-    b = s.table("benchmark").where("item_id < 10").select(F.col("item_id").alias("reference"), X.words(F.col("text")).alias("w"))
-    pairs = a.select("question", (F.floor(F.col("question") / 1000) % 10).alias("reference")).join(b.select("reference"), "reference")
-    ideal = pairs.join(M.grams(b, ["reference"], "w", skip, singles), "reference").select("question", "reference", "gram", "n")
-    scores = M.best_of(M.rouge(pairs, M.grams(a, ["question"], "w", skip, singles), ideal), ["recall", "f1"])
+    """Every turn against one item of the benchmark, dealt in turn by conversation."""
+    a = s.table("conversations").select("conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("question"), X.words(F.col("text")).alias("w"))
+    b = s.table("benchmark").select(F.col("item_id").alias("reference"), X.words(F.col("text")).alias("w"))
+    n = max(b.count(), 1)
+    place = number_from(b.select("reference"), 0, "reference", "place").withColumn("place", F.col("place").cast("long"))
+    dealt = a.withColumn("place", F.pmod("conv_id", F.lit(n)).cast("long")).join(place, "place").select("question", "reference", "w")
+    scores = M.best_of(M.rouge_dealt(dealt, b, skip, singles, small=n <= SMALL), ["recall", "f1"])
     return scores.select("question", F.round("recall", 9).alias("recall"), F.round("f1", 9).alias("f1"))
 
 
