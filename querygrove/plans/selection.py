@@ -73,7 +73,7 @@ CASE WHEN l_linenumber <= 2 THEN NULL WHEN l_orderkey % 3 = 0 THEN 'diamond' WHE
 def _reasons(s: Star) -> DataFrame:
     n = F.col("l_linenumber")
     method = F.when(n <= 2, F.lit(None).cast("string")).when(F.col("l_orderkey") % 3 == 0, "diamond").when(F.col("l_orderkey") % 3 == 1, "c3").otherwise("rwr")
-    return s.table("lineitem").where("l_suppkey <= 5").select(
+    return s.table("lineitem").select(
         F.lit("Gene").alias("label"), F.concat(F.lit("P"), "l_partkey").alias("id"), F.lit("Drug").alias("entity_label"), F.concat(F.lit("S"), "l_suppkey").alias("entity_id"), F.lit("drug_a_gene").alias("step"),
         F.when(n <= 2, "semilla").otherwise("agregado").alias("role"), F.when(n > 2, n).alias("iteration"), F.lit(None).cast("double").alias("p_value"), method.alias("method"),
     )

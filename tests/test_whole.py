@@ -34,3 +34,10 @@ def test_rouge_scores_every_turn(spark, larger, same, name):
     df = QUERIES[name](spark, LARGER)
     assert df.count() == larger.execute("SELECT count(*) FROM conversations").fetchone()[0]
     same(df, sql, larger)
+
+
+@pytest.mark.parametrize("name", ["config_filter", "origin_of_node", "union_provenance", "provenance_json"])
+def test_reasons_of_every_supplier(spark, larger, same, name):
+    sql = lifted(name, (" WHERE l_suppkey <= 5", ""))
+    assert "<= 5" not in sql
+    same(QUERIES[name](spark, LARGER), sql, larger)
