@@ -50,11 +50,15 @@ def dictionary(named: DataFrame, level: int, normal=X.normalised) -> DataFrame:
 
 def exact(candidates: DataFrame, words: DataFrame, node_names: DataFrame, normal=X.normalised) -> DataFrame:
     """candidates(mention, kind, place, name) to (mention, kind, id): of the first level, and there the
-    first candidate, that has votes, the nodes that most vote for."""
+    first candidate, that has votes, the nodes that most vote for. Ties are untied once for each set of
+    forms, not for each mention that has it."""
     c = candidates.withColumn("form", X.form(normal(F.col("name")))).where("form <> ''")
-    hit = c.join(words, ["kind", "form"])
+    hit = c.join(words.select("kind", "form", "level").distinct(), ["kind", "form"])
     first = hit.withColumn("first", F.dense_rank().over(W.partitionBy("mention", "kind").orderBy("level", "place"))).where("first = 1")
-    return untied(first, node_names, normal).select("mention", "kind", "id")
+    first = first.groupBy("mention", "kind", "level").agg(F.array_sort(F.collect_set("form")).alias("forms")).withColumn("asked", F.to_json(F.struct("level", "forms")))
+    forms = first.select("kind", "level", "forms", "asked").distinct().select("kind", "level", F.col("asked").alias("mention"), F.explode("forms").alias("form"))
+    nodes = untied(forms.join(words, ["kind", "level", "form"]), node_names, normal).select(F.col("mention").alias("asked"), "kind", "id")
+    return first.select("mention", "kind", "asked").join(nodes, ["kind", "asked"]).select("mention", "kind", "id")
 
 
 def untied(votes: DataFrame, node_names: DataFrame, normal=X.normalised) -> DataFrame:

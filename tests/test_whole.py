@@ -41,3 +41,21 @@ def test_reasons_of_every_supplier(spark, larger, same, name):
     sql = lifted(name, (" WHERE l_suppkey <= 5", ""))
     assert "<= 5" not in sql
     same(QUERIES[name](spark, LARGER), sql, larger)
+
+
+UNBOUND = ((" WHERE p_partkey % 4 = 1", ""), (" WHERE c_custkey % 10 = 3", ""), (" WHERE l_orderkey <= 2000", ""), (" WHERE c_custkey % 20 = 1 AND p_partkey % 2 = 1", ""), (" WHERE c_custkey % 20 = 1", ""))
+
+
+@pytest.mark.parametrize("name", ["link_tiebreak", "link_exact", "link_segments", "question_links", "gold_linking"])
+def test_every_row_links(spark, larger, same, name):
+    sql = lifted(name, *UNBOUND)
+    assert not any(cut.strip() in sql for cut, _ in UNBOUND)
+    same(QUERIES[name](spark, LARGER), sql, larger)
+
+
+def test_link_mentions_is_exact_then_segments(spark, larger, same):
+    exact, segments = lifted("link_exact", *UNBOUND), lifted("link_segments", *UNBOUND)
+    larger.execute(f"CREATE TABLE exact_ AS {exact}")
+    larger.execute(f"CREATE TABLE segments_ AS {segments}")
+    sql = "SELECT *, 'diccionario' AS how FROM exact_ UNION ALL SELECT *, 'segmentos' FROM segments_ WHERE mention NOT IN (SELECT mention FROM exact_)"
+    same(QUERIES["link_mentions"](spark, LARGER), sql, larger)
