@@ -118,9 +118,9 @@ def test_components_by_brute_force(spark):
 def test_packing_round_trip(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     got = packing.pack_documents(docs, group_docs=64).toPandas()
-    slow = packing._slow(packing.VOCABULARY)
+    whole = plain_tokenizer()
     for i, text in docs.collect():
-        ids = np.array([*slow.encode(text, add_special_tokens=False).ids, 1], np.uint32)
+        ids = np.array([*whole.encode(text, add_special_tokens=False).ids, 1], np.uint32)
         mine = got[got.doc_id == i].sort_values("start")
         assert mine["length"].sum() == len(ids) and set(mine.doc_tokens) == {len(ids)}
         at = 0
@@ -134,13 +134,39 @@ def test_packing_round_trip(spark):
     assert (ordered.groupby("sequence_id")["length"].cumsum() - ordered["length"] == ordered["offset"]).all()
 
 
+def plain_tokenizer():
+    """The tokenizer of the contract: read from its file, with nothing set on it."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+
+
 def test_tokenizers_agree():
-    fast, slow = packing.tokenizer(), packing._slow(packing.VOCABULARY)
+    fast, whole = packing.tokenizer(), plain_tokenizer()
     rng = random.Random(1)
-    texts = ["", "a" * 100_000, " " * 5000, "\n\n \t\r\n x", "<|endoftext|> don't I'LL we've 12 345", "日本語 ελληνικά русский \U0001f600‍\U0001f525", "a b c　d"]
+    texts = ["", "a" * 100_000, " " * 5000, "\n\n \t\r\n x", "don't I'LL we've 12 345", "日本語 ελληνικά русский \U0001f600\u200d\U0001f525", "a\u00a0b\u2003c\u3000d"]
+    texts += ["<|endoftext|>", "a<|endoftext|>b", " <|endoftext|> <|endoftext|>\n", "<|endoftext|", "<|ENDOFTEXT|> <|startoftext|>", "x" * 3000 + "<|endoftext|>"]
     texts += ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(160, 1000), rng.randrange(0x3000, 0x3100)])) for _ in range(200)) for _ in range(50)]
     for t in texts:
-        assert fast(t) == slow.encode(t, add_special_tokens=False).ids
+        assert fast(t) == whole.encode(t, add_special_tokens=False).ids
+    assert fast("a<|endoftext|>b")[1] == 50256
+
+
+def test_packing_special_tokens_and_copies(spark):
+    """Ids, sizes and crcs with the file's own tokens in the texts; copies of one row don't share a group."""
+    docs = [(1, "a<|endoftext|>b"), (2, "<|endoftext|>" * 3000), (3, None)] + [(None, "same text <|endoftext|>")] * 400
+    got = packing.pack_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), group_docs=20).toPandas()
+    whole = plain_tokenizer()
+    for i, text in docs[:3]:
+        ids = np.array([*whole.encode(text or "", add_special_tokens=False).ids, 1], np.uint32)
+        mine = got[got.doc_id == i].sort_values("start")
+        assert mine["length"].sum() == len(ids) and set(mine.doc_tokens) == {len(ids)}
+        assert all(r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].astype("<u4").tobytes()) for r in mine.itertuples())
+    copies = got[got.doc_id.isna()]
+    assert copies["length"].sum() == 400 * len([*whole.encode(docs[-1][1], add_special_tokens=False).ids, 1])
+    groups = copies.assign(group=copies.sequence_id // (1 << 24)).groupby("group")["start"].apply(lambda s: (s == 0).sum())
+    assert len(groups) > 10 and groups.max() < 60
 
 
 def test_first_fit_by_brute_force():
