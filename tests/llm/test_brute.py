@@ -96,12 +96,63 @@ def test_kernels_by_brute_force():
     assert all((np.concatenate([p[k] for p in parts]) == got[k]).all() for k in quality.COUNTS)
 
 
+def test_rule_counts_by_brute_force():
+    rng = random.Random(4)
+    bits = ["- a", "* b", "• c", "d...", "e…", "the", "The", "of", "THE,", "word", "\n", "\n\n", " \t", "-", "...", "é!", "A!!", "und", "zz zz"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " ", "\n"]) for _ in range(rng.randint(0, 30))) if rng.random() > 0.1 else None for _ in range(300)]
+    a = pa.array(texts, pa.string())
+    got = quality.line_counts(a) | quality.function_counts(a) | quality.pair_counts(a) | quality.letter_counts(a) | quality.mark_counts(a)
+    for i, t in enumerate(texts):
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [re.findall(r"[^\x20\x09-\x0D]+", x) for x in t.split("\n")]
+        lines = [x for x in lines if x]
+        pairs = list(itertools.pairwise(w))
+        want = {
+            "n_lines": len(lines), "n_bullets": sum(x[0][0] in "-*•" for x in lines), "n_ellipses": sum(x[-1].endswith(("...", "…")) for x in lines),
+            "n_function": sum(x.lower() in quality.FUNCTION_WORDS for x in w), "n_top_pair": max((pairs.count(p) for p in pairs), default=0),
+            "n_letters": sum(c.isascii() and c.isalpha() or not c.isascii() for c in t), "n_upper": sum("A" <= c <= "Z" for c in t), "n_marks": t.count("!"),
+        }
+        assert {k: int(v[i]) for k, v in got.items()} == want
+
+
+CASCADE = ["a b c " * 30, "The A!! of B!! " * 30, "the word of it " * 3 + " ".join(f"w{i}" for i in range(90)), "x" * 900, " ".join(f"v{i}" for i in range(90)), "the of " + " ".join(f"#{i} %" for i in range(90)), None]
+
+
 def test_cascade_order_changes_no_verdict():
-    texts = pa.array(["a b c " * 30, "A!! B!! " * 30, "word " * 60, "x" * 900], pa.string())
-    c = quality.counts_of(texts)
-    verdicts = {tuple(quality.cascade(c, order)) for order in itertools.permutations(quality.RULES)}
-    assert len(verdicts) == 1
-    assert {r.name for r in quality.order_rules(texts)} == {r.name for r in quality.RULES}
+    texts = pa.array(CASCADE, pa.string())
+    rng = random.Random(2)
+    orders = [rng.sample(quality.RULES, len(quality.RULES)) for _ in range(40)]
+    assert len({tuple(quality.verdicts(texts, o)[2]) for o in orders}) == 1
+    assert quality.verdicts(texts, quality.RULES)[2].tolist() == [False, False, True, False, False, False, False]
+
+
+def test_cascade_gives_each_rule_what_is_left(monkeypatch):
+    """A rule is given, and its counts are taken of, the texts that all rules before it passed."""
+    texts = pa.array(CASCADE, pa.string())
+    rules = {r.name: r for r in quality.RULES}
+    order = [rules["symbols"], rules["function_words"], rules["top_pair"], rules["marks"]]
+    counted: dict[str, int] = {}
+    for name, f in list(quality.MEASURES.items()):
+        monkeypatch.setitem(quality.MEASURES, name, lambda t, f=f, name=name: (counted.__setitem__(name, counted.get(name, 0) + len(t)), f(t))[1])
+    tally: dict[str, int] = {}
+    quality.verdicts(texts, order, tally)
+    alive = int((~quality.verdicts(texts, order)[1]).sum())
+    assert alive == 3 and tally == {"symbols": 3, "function_words": 2, "top_pair": 1, "marks": 1}
+    assert counted == {"n_function": 4, "n_top_pair": 2, "n_marks": 2}  # two runs
+
+
+def test_rules_are_ordered_by_rejection_per_cost(spark):
+    measured = {"symbols": (9, 1, 1.0), "shouting": (9, 4, 1.0), "marks": (9, 4, 8.0), "bullets": (9, 0, 3.0), "ellipses": (9, 0, 2.0)}
+    some = [r for r in quality.RULES if r.name in measured]
+    assert [r.name for r in quality.order_rules(measured, some)] == ["shouting", "symbols", "marks", "ellipses", "bullets"]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    got = quality.measure(docs, quality.RULES, 10**6)
+    assert set(got) == {r.name for r in quality.RULES} and all(s > 0 for *_, s in got.values())
+    c, failed, _ = quality.verdicts(pa.array([r[0] for r in docs.select("text").collect()], pa.string()), ())
+    assert {n for n, *_ in got.values()} == {int((~failed).sum())}
+    free = 10 * c["n_symbols"] > 3 * c["n_words"]
+    assert got["symbols"][1] == int((free & ~failed).sum())
 
 
 def test_components_by_brute_force(spark):
