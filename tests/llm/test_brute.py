@@ -57,13 +57,63 @@ def copies(rng, n_groups=12, size=25):
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("p", [neardup.CONTRACT, neardup.Params(), neardup.Params(words=3, percent=85, rows=5, bands=21, chunk_docs=4)])
+@pytest.mark.parametrize("p", [neardup.CONTRACT, neardup.Params(), neardup.Params(words=3, percent=85, rows=5, bands=21, chunk_docs=4, star_docs=3), neardup.Params(words=3, percent=85, rows=1, bands=21, chunk_docs=3)])
 def test_groups_by_brute_force(spark, p):
     docs = copies(random.Random(p.chunk_docs + p.words))
     got = neardup.groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), p)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got.collect()} == brute_groups(docs, p.words, p.percent)
 
 
+def test_groups_by_brute_force_on_one_large_block(spark):
+    """10,000 near copies of one text, three variants of it that link with few of them, and repeated ids."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(5000)}" for _ in range(60)]
+    docs = []
+    for i in range(10_000):
+        t = list(base)
+        t[rng.randrange(60)] = f"x{i}"
+        docs.append((i, " ".join(t)))
+    for k in range(40):  # further and further from the base
+        t = list(base)
+        for j in range(k // 2):
+            t[j] = f"y{k}_{j}"
+        docs.append((20_000 + k, " ".join(t)))
+    docs += [(30_000, " ".join(base[30:])), (30_000, "quite another text"), (30_001, "quite another text"), (30_002, " ".join(base[30:]) + " end")]
+    got = {}
+    for r in neardup.groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(8), neardup.CONTRACT).collect():
+        got.setdefault(r["doc_id"], set()).add(r["component_id"])
+    assert all(len(v) == 1 for v in got.values())
+    sets = [(i, shingle_set(t, 3)) for i, t in docs]
+    link = lambda a, b: 100 * len(a & b) >= 85 * len(a | b)
+    near = [(i, s) for i, s in sets if i >= 20_000]
+    up = {i: i for i, _ in docs}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    def tie(a, b):
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+
+    tail = sets[10_000:]
+    for i, s in sets[:10_000]:
+        for j, t in [sets[0], *tail] if find(i) == i else tail:
+            if i != j and find(i) != find(j) and link(s, t):
+                tie(i, j)
+    first = sets[:10_000]
+    loose = [x for x in first if find(x[0]) != find(0)]
+    for i, s in loose:
+        for j, t in first:
+            if find(i) != find(j) and link(s, t):
+                tie(i, j)
+    for (i, s), (j, t) in itertools.combinations(near, 2):
+        if i != j and find(i) != find(j) and link(s, t):
+            tie(i, j)
+    assert {i: v.pop() for i, v in got.items()} == {i: find(i) for i in up}
+
+
 def test_signature_estimates(spark):
     rng = np.random.default_rng(0)
     for share in (0.2, 0.5, 0.85):
@@ -166,6 +216,16 @@ def test_components_by_brute_force(spark):
     assert got == {x: r for x, r in root.items() if any(a != b and x in (a, b) for a, b in edges)}
 
 
+def test_components_of_a_hub(spark):
+    """A star far above the bound for hubs, chained to others; and no answer short of convergence."""
+    edges = [(5, 1000 + i) for i in range(3000)] + [(1000 + i, 9000 - i) for i in range(3)] + [(9000, 1), (8000, 8001)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    got = {r["node"]: r["root"] for r in components.connected_components(df).collect()}
+    assert {v for k, v in got.items() if k not in (8000, 8001)} == {1} and got[8001] == 8000 and len(got) == 3007
+    with pytest.raises(RuntimeError):
+        components.connected_components(df, most_rounds=1)
+
+
 def test_packing_round_trip(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     got = packing.pack_documents(docs, group_docs=64).toPandas()
