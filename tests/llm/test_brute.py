@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 import itertools
 import random
 import re
@@ -356,14 +357,14 @@ def test_toxicity_held_out(spark):
 
 
 def test_surrogates(spark):
-    texts = ["Write to Jo.Doe@Example.org, jo.doe@example.org or x9@b.net.", "Mrs. Anna Karlsson and Mr Anna met Frau Karlsson.", "+1 (201) 555-0173 is +12015550173; 10.0.0.1 and 4111 1111 1111 1111.", 'token = "0123456789abcdef0123456789abcdef01234567"', "nothing here 3.5 2024-01-02"]
+    texts = ["Write to Jo.Doe@Example.org, jo.doe@example.org or x9@b.net.", "Mrs. Anna Karlsson and Mr Otto met Frau Karlsson.", "+1 (201) 555-0173 is +12015550173; 10.0.0.1 and 4111 1111 1111 1111.", 'token = "0123456789abcdef0123456789abcdef01234567"', "nothing here 3.5 2024-01-02"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for limit in (private.BROADCAST_ROWS, -1):
         got = {r["doc_id"]: r["private"] for r in private.pseudonymise(df, broadcast_rows=limit).collect()}
         mails = re.findall(r"\S+@\S+\w", got[0]["text"])
         assert len(mails) == 3 and mails[0].lower() == mails[1] != mails[2] and "doe" not in got[0]["text"].lower()
         m = re.match(r"Mrs\. (\w+) (\w+) and Mr (\w+) met Frau (\w+)\.", got[1]["text"])
-        assert m and m[2] == m[4] and not {"Anna", "Karlsson"} & set(m.groups())
+        assert m and m[2] == m[4] and not {"Anna", "Otto", "Karlsson"} & set(m.groups())
         digits = re.findall(r"\+1 ?\(?\d{3}\)? ?\d{3}-?\d{4}", got[2]["text"])
         assert len({re.sub(r"\D", "", d) for d in digits}) == 1 and "555-0173" not in got[2]["text"]
         card = re.search(r"\d{4} \d{4} \d{4} \d{4}", got[2]["text"])[0]
@@ -372,13 +373,114 @@ def test_surrogates(spark):
         assert got[4]["text"] == texts[4] and got[4]["n_entities"] == 0
 
 
-def test_surrogates_stay_distinct(spark, monkeypatch):
+LATIN = private.SYLLABLES["LATIN"][1]
+
+
+def ends(word, gender):
+    return word.lower().endswith(tuple(LATIN[gender]))
+
+
+def test_surrogates_of_names_numbers_and_addresses(spark):
+    texts = [
+        "Mrs. Anna Karlsson wrote. Later Anna Karlsson called; Anna and ANNA left, Annabel stayed.", "Dr. Anna Karlsson and Prof. Karlsson", "Mrs. Anna", "Mr. Sasha Berg", "Ms. Sasha Berg",
+        "+351 912 345 678 or 912345678 or +351912345678", "(201) 555-0173, 201-555-0173, 2015550173, +1 201 555 0173", "+44 20 7946 0958 and 020 7946 0958",
+        "2001:0db8:0000:0000:0000:ff00:0042:8329 is 2001:db8::ff00:42:8329 and 2001:DB8::FF00:42:8329, at 12:30:45, a::b", "1234567890 12345678901 3.1415926535 -1234567890",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = []
+    for limit in (private.BROADCAST_ROWS, -1):
+        got = {r["doc_id"]: r["private"]["text"] for r in private.pseudonymise(df, broadcast_rows=limit).collect()}
+        seen.append(got)
+        m = re.fullmatch(r"Mrs\. (\w+) (\w+) wrote\. Later (\w+) (\w+) called; (\w+) and ANNA left, Annabel stayed\.", got[0])
+        assert m and m[1] == m[3] == m[5] and m[2] == m[4] and "Anna " not in got[0] and ends(m[1], "f")
+        assert got[1] == f"Dr. {m[1]} {m[2]} and Prof. {m[2]}" and got[2] == f"Mrs. {m[1]}"
+        first, second = got[3].split()[1], got[4].split()[1]
+        assert first == second and ends(first, "n") and got[3].split()[2] == got[4].split()[2]
+        a, b, c = re.fullmatch(r"\+351 (\d{3} \d{3} \d{3}) or (\d{9}) or \+351(\d{9})", got[5]).groups()
+        assert a.replace(" ", "") == c != "912345678" and b == "912345678"  # nine bare digits aren't taken for a number
+        numbers = [re.sub(r"\D", "", x)[-10:] for x in got[6].split(", ")]
+        assert len(set(numbers)) == 1 and numbers[0] != "2015550173" and got[6].endswith(f"+1 {numbers[0][:3]} {numbers[0][3:6]} {numbers[0][6:]}")
+        m = re.fullmatch(r"\+44 (\d\d \d{4} \d{4}) and 0(\d\d \d{4} \d{4})", got[7])
+        assert m and m[1] == m[2] != "20 7946 0958"
+        m = re.fullmatch(r"(\S+) is (\S+) and (\S+), at 12:30:45, a::b", got[8])
+        full = [ipaddress.IPv6Address(x) for x in m.groups()]
+        assert len(set(full)) == 1 and full[0] != ipaddress.IPv6Address("2001:db8::ff00:42:8329") and len(m[1]) == 39 and "::" in m[2] and m[3] == m[2].upper()
+        parts = got[9].split()
+        assert parts[0] != "1234567890" and len(parts[0]) == 10 and parts[1:] == texts[9].split()[1:]
+    assert seen[0] == seen[1]
+
+
+def plain_entities(text):
+    """The digital entities of the tables, found plainly: token by token, without the module's patterns."""
+    out = set()
+    tokens = [(m.start(), m.group()) for m in re.finditer(r"\S+", text)]
+    for k, (at, tok) in enumerate(tokens):
+        bare = tok.strip('.,;"#%&$*!')
+        begin = at + tok.index(bare) if bare else at
+        span = (begin, begin + len(bare))
+        octets = bare.split(".")
+        if "@" in bare and "." in bare.split("@")[1]:
+            out.add((*span, "email", bare.lower()))
+        elif len(octets) == 4 and all(o.isdigit() and int(o) < 256 for o in octets):
+            out.add((*span, "ip", bare))
+        elif bare.isdigit() and bare.isascii() and 13 <= len(bare) <= 19:
+            out.add((*span, "card", bare))
+        elif bare.isdigit() and bare.isascii() and len(bare) == 10:
+            out.add((*span, "phone", bare.lstrip("0")))
+        elif len(bare) >= 32 and set(bare) <= set("0123456789abcdefABCDEF"):
+            out.add((*span, "secret", bare))
+        elif bare == "+1" and k + 2 < len(tokens) and re.fullmatch(r"\(\d{3}\)", tokens[k + 1][1]) and re.match(r"\d{3}-\d{4}", tokens[k + 2][1]):
+            end = tokens[k + 2][0] + 8
+            out.add((at, end, "phone", re.sub(r"\D", "", text[at + 2 : end]).lstrip("0")))
+    return out
+
+
+def shape(text):
+    return re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", re.sub(r"[0-9]", "9", text)))
+
+
+def test_surrogates_by_brute_force(spark):
+    """The query on a whole table against plain detection: the same places are replaced and nothing
+    else, equal entities alike, different ones differently, none by a real one, in the same format."""
+    where = DATA.replace("0.001", "0.1")
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{where}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r["doc_id"]: r for r in private.op7_surrogates(spark, where).collect()}
+    assert set(got) == set(docs)
+    to, real, n = {}, set(), 0
+    for i, text in docs.items():
+        found = sorted(plain_entities(text or ""))
+        assert got[i]["n_entities"] == len(found), (i, found)
+        new, at, back = got[i]["text"], 0, 0
+        for s, e, kind, canon in found:
+            assert text[at:s] == new[at + back : s + back]
+            after = new[s + back : e + back]
+            if kind == "ip":  # an octet's length may change
+                after = re.match(r"(?:\d+\.){3}\d+", new[s + back :])[0]
+                back += len(after) - (e - s)
+            elif kind == "secret" and text[s:e].islower():
+                assert re.fullmatch(r"[0-9a-f]+", after)
+            else:
+                assert shape(after) == shape(text[s:e])
+            if kind == "phone":
+                assert after.startswith("+1 ") == text[s:e].startswith("+1 ")
+                value = re.sub(r"\D", "", after.removeprefix("+1"))[-len(canon) :]
+            else:
+                value = after.lower() if kind == "email" else after
+            if kind == "card":
+                assert (private.luhn(after) == 0) == (private.luhn(text[s:e]) == 0) and after[0] == text[s]
+            assert to.setdefault((kind, canon), value) == value
+            real.add((kind, canon))
+            at, n = e, n + 1
+        assert text is None and new is None or text[at:] == new[at + back :]
+    assert n > 300 and len({(k, v) for (k, _), v in to.items()}) == len(to) and not {(k, v) for (k, _), v in to.items()} & real
+
+
+def test_surrogates_stay_distinct(spark):
     """A space so small that first draws collide: every entity still gets its own."""
-    real = private.surrogate
-    monkeypatch.setattr(private, "surrogate", real)
-    found = spark.createDataFrame([("ssn", f"{i:02d}") for i in range(40)], "kind string, canon string")
-    again = {(r["kind"], r["canon"]): r["attempt"] for r in private.redrawn(found).collect()}
-    new = [real(private.KEY, "ssn", f"{i:02d}", again.get(("ssn", f"{i:02d}"), 0)) for i in range(40)]
+    found = spark.createDataFrame([("ssn", f"{i:02d}", "n") for i in range(40)] + [("name", "ann", "f")], "kind string, canon string, gender string")
+    again = {(r["kind"], r["canon"]): (r["attempt"], r["gender"]) for r in private.redrawn(found).collect()}
+    assert again.pop(("name", "ann")) == (0, "f")
+    new = [private.surrogate(private.KEY, "ssn", f"{i:02d}", again.get(("ssn", f"{i:02d}"), (0,))[0]) for i in range(40)]
     assert again and len(set(new)) == 40 and not set(new) & {f"{i:02d}" for i in range(40)}
 
 
@@ -417,13 +519,13 @@ def test_pipeline_by_brute_force(spark, duck, tmp_path):
     docs = [(i, t, s) for i, t, s in duck.execute("SELECT doc_id, text, source FROM documents").fetchall() if i in kept]
     comp = brute_groups([(i, t) for i, t, _ in docs], 5, 80)
     docs = [(i, t, s) for i, t, s in docs if comp[i][1] == i]
-    found = {(k, c) for _, t, _ in docs for *_, k, c in private.find(t)}
-    again = {(r["kind"], r["canon"]): r["attempt"] for r in private.redrawn(spark.createDataFrame(sorted(found), "kind string, canon string")).collect()} if found else {}
-    docs = [(i, private.replace(t, private.KEY, again)[0], s) for i, t, s in docs]
+    private_texts = {r["doc_id"]: r["private"]["text"] for r in private.pseudonymise(spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id long, text string")).collect()}
+    assert all((private_texts[i] != t) == bool(plain_entities(t)) for i, t, _ in docs)
+    docs = [(i, private_texts[i], s) for i, t, s in docs]
     mixed = mixing.mix(spark.createDataFrame([(i, s, len(WORD.findall(t.encode()))) for i, t, s in docs], "doc_id long, source string, size long")).collect()
     copies_of = {r["doc_id"]: r["copies"] for r in mixed}
-    enc = packing.tokenizer()
-    want = {i: (copies_of[i] * (len(enc(t)) + 1)) for i, t, _ in docs if copies_of[i]}
+    whole = plain_tokenizer()
+    want = {i: (copies_of[i] * (len(whole.encode(t, add_special_tokens=False).ids) + 1)) for i, t, _ in docs if copies_of[i]}
     got = corpus_pipeline.run(spark, DATA).toPandas()
     assert got.groupby("doc_id")["length"].sum().to_dict() == want
     fill = got.groupby("sequence_id")["length"].sum()
