@@ -1,12 +1,13 @@
 """Approximate nearest neighbours by cosine: NN-descent and greedy graph search.
 
-Equal vectors are one node that keeps the smallest of its ids. A first graph comes from leaves of
-a few random hyperplane trees, compared within. Then, in each round, every node introduces its
-neighbours and reverse neighbours to each other, which is a join of neighbours of neighbours: the
-pairs of which one is new since the last round are compared, and what beats the worst neighbour of
-a side is sent to it. Rounds work on one byte per component. A query starts at its own node, opens
-the best unopened nodes of its beam in each round, and its final candidates are scored exactly, in
-double precision, on the original vectors.
+Equal vectors are one node that keeps the smallest of its ids. A first graph comes from leaves, of
+a few dozen nodes at any size of the table, of random hyperplane trees, compared within. Then, in
+each round, every node introduces its neighbours and reverse neighbours to each other, which is a
+join of neighbours of neighbours: the pairs of which one is new since the last round are compared,
+and what beats the worst neighbour of a side is sent to it. Rounds go on until few lists change.
+They work on one byte per component. A query starts at its own node and opens the best unopened
+nodes of its beam in each hop until all of the beam are opened; the beam grows with the logarithm
+of the table. The final candidates are scored exactly, in double precision, on the original vectors.
 """
 
 from __future__ import annotations
@@ -23,26 +24,31 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
-from .shared import drop, materialise, read
+from .shared import drop, materialise, read, small_batches
 
 
 @dataclass(frozen=True)
 class Params:
     """neighbours, reverse: of a node in the graph and, at most, taken up backwards in a round.
-    trees, leaf: of the first graph. beam, opened, hops: of the search. exact: candidates scored
-    on the original vectors."""
+    trees, leaf: of the first graph. Rounds end when less than `settled` of all list entries are
+    new; rounds, where given, fixes their number instead. beam: nodes that a search keeps for each
+    doubling of the table. opened: of a query in a hop. exact: candidates scored on the original
+    vectors."""
 
     neighbours: int = 32
     reverse: int = 16
     trees: int = 6
-    leaf: int = 2048
-    rounds: int = 2
-    beam: int = 224
-    opened: int = 28
-    hops: int = 9
+    leaf: int = 48
+    settled: float = 0.02
+    rounds: int | None = None
+    beam: int = 16
+    opened: int = 32
     exact: int = 64
     seed: int = 11
 
+    def width(self, n: int) -> int:
+        return self.beam * max(4, math.ceil(math.log2(max(n, 2))))
+
 
 def valid(vectors: DataFrame) -> DataFrame:
     """vectors(vec_id, embedding) without null, empty and zero vectors, such with a null or
@@ -204,19 +210,22 @@ def introduce(nodes: DataFrame, graph: DataFrame, p: Params) -> DataFrame:
     known = nodes.select(F.col("node").alias("m"), "code").join(graph.select(F.col("node").alias("m"), worst.alias("worst")), "m")
     met = edge.unionByName(back).join(known, "m").repartition("node").sortWithinPartitions("node")
 
-    def flush(found: list[tuple]) -> pa.RecordBatch:
-        u, c, s = (np.concatenate([f[k] for f in found]) for k in range(3))
-        return best(u, c, s, np.ones(len(u), bool), p.neighbours)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []
         held = 0
 
-        def pairs(group: list[pa.RecordBatch]) -> None:
+        def flush() -> pa.RecordBatch:
+            nonlocal held
+            u, c, s = (np.concatenate([f[k] for f in found]) for k in range(3))
+            found.clear()
+            held = 0
+            return best(u, c, s, np.ones(len(u), bool), p.neighbours)
+
+        def pairs(group: list[pa.RecordBatch]) -> pa.RecordBatch | None:
             nonlocal held
             m = np.concatenate([g.column("m").to_numpy() for g in group])
             if len(m) < 2:
-                return
+                return None
             fresh = np.concatenate([g.column("fresh").to_numpy(zero_copy_only=False) for g in group]).astype(bool)
             low = np.concatenate([g.column("worst").to_numpy() for g in group])
             x = decode([c for g in group for c in g.column("code").to_pylist()])
@@ -224,27 +233,13 @@ def introduce(nodes: DataFrame, graph: DataFrame, p: Params) -> DataFrame:
             i, j = np.nonzero((s > low[:, None]) & (fresh[:, None] | fresh[None, :]) & (m[:, None] != m[None, :]))
             found.append((m[i], m[j], s[i, j]))
             held += len(i)
+            return flush() if held > 1_000_000 else None
 
-        for _ in grouped(("node",), pairs)(batches):
-            pass  # pairs gives nothing back; what it found is kept until it is flushed
+        yield from grouped(("node",), pairs)(batches)
         if held:
-            yield flush(found)
+            yield flush()
 
-    def stepwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """run on stretches of about 100,000 rows, so what is held stays small. A node that is cut
-        in two by a stretch only loses a few introductions of this round."""
-        stretch: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            stretch.append(batch)
-            rows += batch.num_rows
-            if rows >= 100_000:
-                yield from run(iter(stretch))
-                stretch, rows = [], 0
-        if stretch:
-            yield from run(iter(stretch))
-
-    learned = met.select("node", "m", "fresh", "code", "worst").mapInArrow(stepwise, _LISTS)
+    learned = met.select("node", "m", "fresh", "code", "worst").mapInArrow(run, _LISTS)
     kept = graph.select("node", "nbrs", "sims", F.transform("fresh", lambda _: F.lit(False)).alias("fresh"))
     return merge(kept.unionByName(learned), p.neighbours)
 
@@ -252,42 +247,66 @@ def introduce(nodes: DataFrame, graph: DataFrame, p: Params) -> DataFrame:
 def build(nodes: DataFrame, p: Params = Params()) -> DataFrame:
     """(node, nbrs, sims, fresh): the neighbour graph."""
     graph = materialise(first_graph(nodes, p), "graph")
-    for _ in range(p.rounds):
+    done = 0
+    while p.rounds is None or done < p.rounds:
         after = materialise(introduce(nodes, graph, p), "graph")
         drop(nodes.sparkSession, graph)
-        graph = after
+        graph, done = after, done + 1
+        new, entries = graph.agg(F.sum(F.size(F.filter("fresh", lambda f: f))), F.sum(F.size("fresh"))).first()
+        if (new or 0) <= p.settled * (entries or 0):
+            break
     return graph
 
 
 _STATE = "q long, code binary, ids array<long>, sims array<float>, opened array<boolean>, front array<long>"
 
 
-def _advance(p: Params):
-    """Takes a round's candidates into the beams and chooses what to open next."""
+def _ragged(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Lengths of the lists of a column, null ones being empty, and all of their entries."""
+    return np.asarray(pc.fill_null(pc.list_value_length(column), 0)), column.flatten()
+
+
+def _advance(p: Params, width: int):
+    """Takes a hop's candidates into the beams and chooses what to open next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                ids, sims, opened = np.array(r["ids"], np.int64), np.array(r["sims"], np.float32), np.array(r["opened"], bool)
-                new = r["new"] or []
-                if new:
-                    x = decode([c["code"] for c in new]) @ decode([r["code"]])[0]
-                    ids = np.concatenate([ids, np.array([c["cand"] for c in new], np.int64)])
-                    sims, opened = np.concatenate([sims, x]), np.concatenate([opened, np.zeros(len(new), bool)])
-                    order = np.lexsort((ids, -sims))[: p.beam]
-                    ids, sims, opened = ids[order], sims[order], opened[order]
-                go = np.flatnonzero(~opened)[: p.opened]
-                opened[go] = True
-                out.append({"q": r["q"], "code": r["code"], "ids": ids.tolist(), "sims": sims.tolist(), "opened": opened.tolist(), "front": ids[go].tolist()})
-            yield pa.RecordBatch.from_pylist(out, pa.schema([("q", pa.int64()), ("code", pa.binary()), ("ids", pa.list_(pa.int64())), ("sims", pa.list_(pa.float32())), ("opened", pa.list_(pa.bool_())), ("front", pa.list_(pa.int64()))]))
+            rows = batch.num_rows
+            if not rows:
+                continue
+            size, ids = _ragged(batch.column("ids"))
+            more, new = _ragged(batch.column("new"))
+            row = np.repeat(np.arange(rows), size)
+            to = np.repeat(np.arange(rows), more)
+            x = np.einsum("ij,ij->i", decode(new.field("code").to_pylist()), decode(batch.column("code").to_pylist())[to]) if len(to) else np.zeros(0, np.float32)
+            row = np.concatenate([row, to])
+            ids = np.concatenate([ids.to_numpy(), new.field("cand").to_numpy() if len(to) else np.zeros(0, np.int64)])
+            sims = np.concatenate([batch.column("sims").flatten().to_numpy(), x]).astype(np.float32)
+            opened = np.concatenate([batch.column("opened").flatten().to_numpy(zero_copy_only=False).astype(bool), np.zeros(len(to), bool)])
+            order = np.lexsort((ids, -sims, row))
+            row, ids, sims, opened = row[order], ids[order], sims[order], opened[order]
+            keep = _place(row) < width
+            row, ids, sims, opened = row[keep], ids[keep], sims[keep], opened[keep]
+            shut = np.flatnonzero(~opened)
+            go = shut[_place(row[shut]) < p.opened]
+            opened[go] = True
+            ends = lambda r: pa.array(np.concatenate([[0], np.cumsum(np.bincount(r, minlength=rows))]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends(row), pa.array(v)) for v in (ids, sims, opened)]
+            yield pa.RecordBatch.from_arrays([batch.column("q"), batch.column("code"), *lists, pa.ListArray.from_arrays(ends(row[go]), pa.array(ids[go]))], ["q", "code", "ids", "sims", "opened", "front"])
 
     return run
 
 
+def _place(row: np.ndarray) -> np.ndarray:
+    """The how-manieth of its row each entry is; rows come in order."""
+    n = np.bincount(row) if len(row) else np.zeros(0, np.int64)
+    return np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+
+
 def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, p: Params = Params()) -> DataFrame:
     """queries(q), nodes of the graph, to (q, node) candidates by greedy search, best first within
     q. Edges are followed both ways."""
+    width = p.width(nodes.count())
     edge = graph.select("node", F.explode("nbrs").alias("m"))
     back = edge.select(F.col("m").alias("node"), F.col("node").alias("m"))
     place = F.row_number().over(W.partitionBy("node").orderBy(F.xxhash64("m", "node"), "m"))
@@ -299,16 +318,15 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, p: Params = P
     state = state.select("q", "code", one.alias("ids"), F.array(F.lit(1.0).cast("float")).alias("sims"), F.array(F.lit(True)).alias("opened"), one.alias("front"))
     state = materialise(state, "beams")
     seen = materialise(state.select("q", F.col("q").alias("cand")), "seen")
-    for _ in range(p.hops):
+    while True:  # a hop opens nodes that weren't open, so this ends
         reached = state.select("q", F.explode("front").alias("node")).join(adjacent, "node").select("q", F.explode("nbrs").alias("cand")).distinct()
         new = materialise(reached.join(seen, ["q", "cand"], "left_anti"), "reached")
-        if new.isEmpty():
-            break
         got = new.join(codes, "cand").groupBy("q").agg(F.collect_list(F.struct("cand", "code")).alias("new"))
-        after = materialise(state.join(got, "q", "left").mapInArrow(_advance(p), _STATE), "beams")
+        after = materialise(state.join(got, "q", "left").mapInArrow(_advance(p, width), _STATE), "beams")
         drop(nodes.sparkSession, state)
         state, seen = after, seen.unionByName(new)
-    return state.select("q", F.explode(F.slice("ids", 1, p.exact)).alias("node"))
+        if state.where("size(front) > 0").isEmpty():
+            return state.select("q", F.explode(F.slice("ids", 1, p.exact)).alias("node"))
 
 
 def cosine(a: str, b: str) -> Column:
@@ -325,6 +343,7 @@ def nearest(vectors: DataFrame, every: int = 50, answers: int = 5, p: Params = P
     one. Ties go to the smaller id. With fewer candidates than answers all are returned; an empty
     table gives none. Other columns are not read.
     """
+    small_batches(vectors.sparkSession)
     v = materialise(valid(vectors).distinct(), "vectors")
     nodes = materialise(nodes_of(v, answers), "nodes")
     graph = build(nodes, p)
@@ -338,4 +357,5 @@ def nearest(vectors: DataFrame, every: int = 50, answers: int = 5, p: Params = P
 
 
 def op9_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of every fiftieth vector; see nearest for invalid vectors and ties."""
     return nearest(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))

@@ -495,13 +495,15 @@ def test_mix_is_near_its_targets(spark):
 
 
 def test_neighbours_recall(spark):
+    """The registered settings on a table of some forty leaves a tree, every answer against brute
+    force; and what the rounds of NN-descent add to the lists of the first graph."""
     v = spark.read.parquet(f"{DATA.replace('0.001', '0.1')}/embeddings.parquet")
-    p = neighbours.Params(neighbours=20, reverse=10, trees=3, leaf=256)
-    got = neighbours.nearest(v, p=p).toPandas()
+    got = neighbours.op9_nn_descent(spark, DATA.replace("0.001", "0.1")).toPandas()
     rows = v.orderBy("vec_id").toPandas()
     x = np.stack(rows.embedding).astype(np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     ids, hits = rows.vec_id.to_numpy(), []
+    assert len(ids) > 40 * neighbours.Params().leaf
     for q in np.flatnonzero(ids % 50 == 0):
         s = x @ x[q]
         s[q] = -9
@@ -509,7 +511,16 @@ def test_neighbours_recall(spark):
         mine = got[got.query_id == ids[q]].sort_values("rank")
         hits.append(len(set(best) & set(mine.vec_id)) / 5)
         assert np.allclose(mine.score, s[np.searchsorted(ids, mine.vec_id)], atol=1e-12) and list(mine["rank"]) == [1, 2, 3, 4, 5]
-    assert np.mean(hits) >= 0.9
+    assert np.mean(hits) >= 0.95
+
+    nodes = neighbours.nodes_of(neighbours.valid(v).distinct(), 5).cache()
+    near = np.argsort(-(x @ x.T - 9 * np.eye(len(x))), axis=1)[:, :5]
+    share = {}
+    for rounds in (0, 1, None):
+        lists = {r["node"]: set(r["nbrs"]) for r in neighbours.build(nodes, neighbours.Params(rounds=rounds)).collect()}
+        share[rounds] = np.mean([len({int(ids[j]) for j in near[i]} & lists.get(int(ids[i]), set())) / 5 for i in range(len(ids))])
+    nodes.unpersist()
+    assert share[0] + 0.1 < share[1] < share[None] and share[None] > 0.95, share
 
 
 def test_pipeline_by_brute_force(spark, duck, tmp_path):
