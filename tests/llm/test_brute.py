@@ -303,12 +303,63 @@ def test_language_held_out(spark):
     assert np.mean([a == b for a, b in got]) > 0.97
 
 
-def test_kernel_by_definition():
-    texts = ["abc abd", "xyz xyy", "abd abe", "xzz"]
-    m = language.fit(texts, ["a", "x", "a", "x"], landmarks=1)
-    sets = lambda t, n: {t[i : i + n] for i in range(len(t) - n + 1)}
-    want = sum(len(sets(texts[2], n) & sets(texts[0], n)) / np.sqrt(len(sets(texts[2], n)) * len(sets(texts[0], n))) for n in language.LENGTHS)
-    assert float((m.features([texts[2]])[0] @ m.landmarks)[0, 0]) == pytest.approx(want, rel=1e-5)
+def plain_grams(text, n):
+    import unicodedata
+
+    t = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text.lower())
+    return {t[i : i + n] for i in range(len(t) - n + 1)}
+
+
+def plain_kernel(a, b):
+    return sum(len(plain_grams(a, n) & plain_grams(b, n)) / np.sqrt(max(len(plain_grams(a, n)), 1) * max(len(plain_grams(b, n)), 1)) for n in (1, 2, 3))
+
+
+SCRIPTS = {
+    "zh": "今天天气很好我们去公园散步他说这本书非常有意思学生们在图书馆里学习历史和文学", "ja": "今日は天気がとても良いので公園へ散歩に行きました彼はこの本が面白いと言った学生は図書館で勉強する",
+    "ko": "오늘은 날씨가 매우 좋아서 우리는 공원에 산책하러 갔다 그는 이 책이 재미있다고 말했다 학생들은 도서관에서 공부한다", "ar": "الطقس جميل اليوم ذهبنا إلى الحديقة للتنزه قال إن هذا الكتاب ممتع جدا يدرس الطلاب في المكتبة",
+    "fa": "امروز هوا خیلی خوب است ما برای قدم زدن به پارک رفتیم او گفت که این کتاب بسیار جالب است دانشجویان در کتابخانه", "ru": "сегодня очень хорошая погода мы пошли гулять в парк он сказал что эта книга очень интересная студенты учатся",
+    "bg": "днес времето е много хубаво отидохме на разходка в парка той каза че тази книга е много интересна студентите учат", "en": "the weather is very good today we went for a walk in the park he said that this book is interesting students",
+}
+
+
+def cut(text, rng, n=14):
+    at = rng.randrange(max(1, len(text) - n))
+    return text[at : at + n]
+
+
+def test_scripts_are_told_apart():
+    """Languages that share a script with thousands of letters, or an alphabet, and pieces of few letters."""
+    rng = random.Random(5)
+    rows = [(lang, cut(t, rng)) for lang, t in SCRIPTS.items() for _ in range(40)]
+    rng.shuffle(rows)
+    m = language.fit([t for _, t in rows], [x for x, _ in rows], landmarks=20)
+    held = [(lang, cut(t, rng)) for lang, t in SCRIPTS.items() for _ in range(25)]
+    got, score = m.predict([t for _, t in held])
+    right = {lang: np.mean([g == x for g, (x, _) in zip(got, held, strict=True) if x == lang]) for lang in SCRIPTS}
+    assert all(v >= 0.9 for v in right.values()), right
+    one, two = m.kernel(["今天天气很好", "他说这本书"])[0]
+    assert not np.allclose(one, two)
+
+
+@pytest.mark.parametrize("dense", [language.DENSE, 0])
+def test_ridge_by_definition(monkeypatch, dense):
+    """Kernel values and predictions against kernels over plain sets and a ridge solved plainly."""
+    monkeypatch.setattr(language, "DENSE", dense)
+    rng = random.Random(9)
+    rows = [(lang, cut(SCRIPTS[lang], rng, rng.choice([3, 9, 20]))) for lang in ("zh", "ja", "ru", "bg", "en") for _ in range(12)] + [("en", "a-b, c 12")]
+    texts, langs = [t for _, t in rows], [x for x, _ in rows]
+    m = language.fit(texts, langs, landmarks=4)
+    chosen = [i for lang in sorted(set(langs)) for i in [j for j, x in enumerate(langs) if x == lang][:4]]
+    k = np.array([[plain_kernel(a, texts[j]) for j in chosen] for a in texts])
+    assert np.allclose(m.kernel(texts)[0], k, atol=1e-5)
+    y = np.array([[1.0 if x == lang else -1.0 for lang in sorted(set(langs))] for x in langs])
+    alpha = np.linalg.solve(k.T @ k + 1e-3 * len(texts) * k[chosen] + 1e-6 * np.eye(len(chosen)), k.T @ y)
+    held = [cut(SCRIPTS[lang], rng, 10) for lang in ("zh", "ja", "ru", "bg", "en") for _ in range(10)]
+    s = np.array([[plain_kernel(a, texts[j]) for j in chosen] for a in held]) @ alpha
+    p = np.exp(8 * s)
+    p /= p.sum(axis=1, keepdims=True)
+    got, score = m.predict(held)
+    assert got == [sorted(set(langs))[i] for i in s.argmax(axis=1)] and np.allclose(score, p.max(axis=1), atol=2e-3)
 
 
 def test_gradient_by_differences():
