@@ -1,11 +1,12 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
 A word's input is an embedding of the word and the means of embeddings of its byte n-grams and of
-its beginnings. A GRU
-reads each window of words in both directions, attention pools its states, and a logistic unit
-scores the pool. Windows overlap and cover the whole text; a document's score is that of its worst
-window. The network is trained in numpy from document labels: at first every window carries its
-document's label, then only the window that scores highest (multiple-instance learning).
+its beginnings; what fewer than a few documents of the sample have shares one embedding, so single
+documents can't be learned by heart. A GRU reads each window of words in both directions, attention
+pools its states, and a logistic unit scores the pool. Windows overlap by half and cover the whole
+text, so every passage of up to half a window lies whole in one; a document's score is that of its
+worst window. The network is trained in numpy from document labels: at first every window carries
+its document's label, then only the window that scores highest (multiple-instance learning).
 """
 
 from __future__ import annotations
@@ -34,12 +35,16 @@ TABLES = ("word", "char", "stem")
 
 @dataclass(frozen=True)
 class Params:
-    """window, stride: in words. The labelled sample has at most toxic_docs and clean_docs rows,
-    of at most train_words words each."""
+    """window, stride, train_stride: in words. buckets: the most entries of an embedding table;
+    least_docs: documents of the sample that have what an entry stands for. The labelled sample has
+    about toxic_docs and clean_docs rows at most, picked by a hash, all of texts of train_chars
+    characters or fewer; longer texts teach nothing (they are scored whole)."""
 
     window: int = 40
-    stride: int = 32
-    buckets: int = 1 << 14
+    stride: int = 20
+    train_stride: int = 32
+    buckets: int = 1 << 13
+    least_docs: int = 5
     word_dim: int = 8
     char_dim: int = 16
     stem_dim: int = 8
@@ -49,8 +54,8 @@ class Params:
     stems: tuple[int, ...] = (5, 6, 7, 8)
     toxic_docs: int = 1500
     clean_docs: int = 3000
-    train_words: int = 1500
-    epochs: int = 7
+    train_chars: int = 12_000
+    epochs: int = 5
     batch: int = 256
     rate: float = 6e-3
     decay: float = 3e-3
@@ -59,10 +64,12 @@ class Params:
 
 
 class Batch:
-    """Texts as word ids into the batch's distinct words, with each of these words' buckets in the
-    three tables: parts[table] has all words' buckets in a row and how many each word has."""
+    """Texts as word ids into the batch's distinct words, with each of these words' entries in the
+    three tables: parts[table] has all words' entries in a row and how many each word has. Entries
+    are 64-bit hashes until a vocabulary, the sorted hashes of each table, makes them places in it;
+    place 0 is for all that it doesn't have."""
 
-    def __init__(self, texts: pa.Array, p: Params) -> None:
+    def __init__(self, texts: pa.Array, p: Params, vocab: dict[str, np.ndarray] | None = None) -> None:
         buf = K.lowered(K.buffer_of(texts))
         buf = buf._replace(data=_DIGIT[buf.data])
         tok = K.spans(buf, _BREAK)
@@ -71,7 +78,7 @@ class Batch:
         self.count = tok.count
         start, end = tok.start[at], tok.end[at]
         one = np.ones(len(at), np.int64)
-        self.parts = {"word": ((self.key % U64(p.buckets)).astype(np.int64), one)}
+        self.parts = {"word": (self.key, one)}
         grams, owner = [], []
         for n in p.grams:
             size = np.maximum(end - start - n + 1, one if n == p.grams[0] else 0)
@@ -80,19 +87,28 @@ class Batch:
             first = (begin == start[who]).astype(U64)  # a gram at the start of its word is another one
             grams.append(K.mix(K.span_hash(buf.data, begin, np.minimum(begin + n, end[who])) + first * U64(977)))
             owner.append(who)
-        self.parts["char"] = self._rows(grams, owner, len(at), p)
+        self.parts["char"] = self._rows(grams, owner, len(at))
         grams, owner = [], []
         for n in p.stems:
             who = np.flatnonzero((end - start >= n) | (n == p.stems[0]))
             grams.append(K.mix(K.span_hash(buf.data, start[who], np.minimum(start[who] + n, end[who])) + U64(31337)))
             owner.append(who)
-        self.parts["stem"] = self._rows(grams, owner, len(at), p)
+        self.parts["stem"] = self._rows(grams, owner, len(at))
+        if vocab is not None:
+            self.number(vocab)
 
     @staticmethod
-    def _rows(grams: list[np.ndarray], owner: list[np.ndarray], n: int, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    def _rows(grams: list[np.ndarray], owner: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
         who = np.concatenate(owner)
         order = np.argsort(who, kind="stable")
-        return (np.concatenate(grams)[order] % U64(p.buckets)).astype(np.int64), np.bincount(who, minlength=n)
+        return np.concatenate(grams)[order], np.bincount(who, minlength=n)
+
+    def number(self, vocab: dict[str, np.ndarray]) -> None:
+        for t, (keys, n) in self.parts.items():
+            known = vocab[t]
+            at = np.searchsorted(known, keys)
+            hit = known[np.minimum(at, len(known) - 1)] == keys if len(known) else np.zeros(len(keys), bool)
+            self.parts[t] = (np.where(hit, at + 1, 0), n)
 
     @classmethod
     def of_many(cls, texts: pa.Array, p: Params) -> Batch:
@@ -120,13 +136,14 @@ class Batch:
             out.append(mean)
         return np.concatenate(out, axis=1)
 
-    def windows(self, p: Params) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, p: Params, stride: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(row, first word) of every window; the first word counts from the batch's start."""
-        n = np.where(self.count > p.window, -(-(self.count - p.window) // p.stride) + 1, np.minimum(self.count, 1))
+        stride = stride or p.stride
+        n = np.where(self.count > p.window, -(-(self.count - p.window) // stride) + 1, np.minimum(self.count, 1))
         row = np.repeat(np.arange(len(n)), n)
         k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         begins = np.cumsum(self.count) - self.count
-        return row, begins[row] + k * p.stride
+        return row, begins[row] + k * stride
 
     def cut(self, row: np.ndarray, begin: np.ndarray, p: Params) -> np.ndarray:
         """Word ids of windows, -1 past the text's end."""
@@ -141,10 +158,11 @@ def spread(begin: np.ndarray, n: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.repeat(begin[rows], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
 
 
-def init(p: Params) -> dict[str, np.ndarray]:
+def init(p: Params, vocab: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(p.seed)
     d, h = p.word_dim + p.char_dim + p.stem_dim, p.hidden
-    w = {"word": rng.normal(0, 0.1, (p.buckets, p.word_dim)), "char": rng.normal(0, 0.3, (p.buckets, p.char_dim)), "stem": rng.normal(0, 0.1, (p.buckets, p.stem_dim)), "wa": rng.normal(0, 0.3, (2 * h, p.attention)), "va": rng.normal(0, 0.3, p.attention), "out": rng.normal(0, 0.3, 2 * h), "bias": np.zeros(1)}
+    rows = {t: len(vocab[t]) + 1 for t in TABLES}
+    w = {"word": rng.normal(0, 0.1, (rows["word"], p.word_dim)), "char": rng.normal(0, 0.3, (rows["char"], p.char_dim)), "stem": rng.normal(0, 0.1, (rows["stem"], p.stem_dim)), "wa": rng.normal(0, 0.3, (2 * h, p.attention)), "va": rng.normal(0, 0.3, p.attention), "out": rng.normal(0, 0.3, 2 * h), "bias": np.zeros(1)}
     for way in "fb":
         w[f"x{way}"], w[f"u{way}"], w[f"b{way}"] = rng.normal(0, 0.3, (d, 3 * h)), rng.normal(0, 0.3, (h, 3 * h)), np.zeros(3 * h)
     return {k: v.astype(np.float32) for k, v in w.items()}
@@ -179,8 +197,8 @@ def _gru(gates: np.ndarray, u: np.ndarray, ids: np.ndarray, mask: np.ndarray, ba
 
 
 class Network:
-    def __init__(self, p: Params, weights: dict[str, np.ndarray]) -> None:
-        self.p, self.w = p, weights
+    def __init__(self, p: Params, weights: dict[str, np.ndarray], vocab: dict[str, np.ndarray]) -> None:
+        self.p, self.w, self.vocab = p, weights, vocab
 
     def gates(self, e: np.ndarray) -> dict[str, np.ndarray]:
         zero = np.zeros((1, 3 * self.p.hidden), np.float32)
@@ -202,9 +220,9 @@ class Network:
         logit = pool @ w["out"] + w["bias"][0]
         return logit, ((live, states, a, s, pool, tf, tb) if keep else None)
 
-    def score(self, batch: Batch, most: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def score(self, batch: Batch, most: int = 2048, stride: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, first word, logit) of every window of a batch."""
-        row, begin = batch.windows(self.p)
+        row, begin = batch.windows(self.p, stride)
         gates = self.gates(batch.embed(self.w))
         out = [self.forward(gates, batch.cut(row[i : i + most], begin[i : i + most], self.p))[0] for i in range(0, len(row), most)]
         return row, begin, np.concatenate(out) if out else np.zeros(0, np.float32)
@@ -256,8 +274,14 @@ class Network:
         for t, (buckets, n) in batch.parts.items():
             g[t] = np.zeros_like(w[t])
             share = de[used, at : at + w[t].shape[1]] / n[used][:, None]
-            np.add.at(g[t], buckets[spread(np.cumsum(n) - n, n, used)], np.repeat(share, n[used], axis=0))
             at += w[t].shape[1]
+            to, of = buckets[spread(np.cumsum(n) - n, n, used)], np.repeat(np.arange(len(used)), n[used])
+            if not len(to):
+                continue
+            order = np.argsort(to, kind="stable")
+            to = to[order]
+            first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
+            g[t][to[first]] = np.add.reduceat(share[of[order]], first, axis=0)
         return g
 
 
@@ -282,36 +306,56 @@ class Adam:
                 self.w[k] -= np.float32(self.decay) * (self.w[k] - self.start[k])
 
 
-def prior(batch: Batch, y: np.ndarray, w: dict[str, np.ndarray]) -> None:
-    """Start the first embedding dimension of every word and gram bucket at its standardised log
-    odds between toxic and clean documents of the sample."""
+def learn_entries(batch: Batch, y: np.ndarray, p: Params) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """The vocabulary of each table, and each entry's standardised log odds between toxic and clean
+    documents. Entries are what least_docs documents have; of more than the table holds, those with
+    the largest odds, then the smallest hashes, stay."""
     toxic, clean = float(y.sum()), float(len(y) - y.sum())
     pairs = np.unique(np.repeat(np.arange(len(batch.count)), batch.count) * len(batch.key) + batch.ids)
-    size = len(w["word"])
-    seen = {t: np.zeros((2, size)) for t in TABLES}
     cuts = np.searchsorted(pairs, np.arange(0, len(batch.count) + 200, 200) * len(batch.key))
-    for i, j in zip(cuts[:-1], cuts[1:], strict=True):  # whole documents, 200 at a time
-        doc, word = np.divmod(pairs[i:j], len(batch.key))
-        for t, (buckets, n) in batch.parts.items():
-            once = np.unique(np.repeat(doc, n[word]) * size + buckets[spread(np.cumsum(n) - n, n, word)])
-            np.add.at(seen[t], (y[once // size].astype(np.int64), once % size), 1)
-    for k, (b, a) in seen.items():
-        odds = np.log((a + 0.5) / (toxic - a + 0.5)) - np.log((b + 0.5) / (clean - b + 0.5))
-        w[k][:, 0] = np.clip(odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) / 3, -2, 2).astype(np.float32)
-
-
-def fit(texts: list[str], labels: list[int], p: Params = Params()) -> Network | None:
+    vocab, odds = {}, {}
+    for t, (keys, n) in batch.parts.items():
+        known, place = np.unique(keys, return_inverse=True)
+        seen = np.zeros((2, len(known)))
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):  # whole documents, 200 at a time
+            doc, word = np.divmod(pairs[i:j], len(batch.key))
+            once = np.unique(np.repeat(doc, n[word]) * len(known) + place[spread(np.cumsum(n) - n, n, word)])
+            doc, entry = np.divmod(once, max(len(known), 1))
+            for k in (0, 1):
+                seen[k] += np.bincount(entry[y[doc] == k], minlength=len(known))
+        b, a = seen
+        z = (np.log((a + 0.5) / (toxic - a + 0.5)) - np.log((b + 0.5) / (clean - b + 0.5))) / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+        often = np.flatnonzero(a + b >= p.least_docs)
+        best = np.sort(often[np.lexsort((often, -np.abs(z[often])))[: p.buckets]])
+        vocab[t], odds[t] = known[best], z[best]
+    return vocab, odds
+
+
+def prior(w: dict[str, np.ndarray], odds: dict[str, np.ndarray]) -> None:
+    """Start the first embedding dimension of every entry at its standardised log odds, less what
+    chance alone gives."""
+    for t, z in odds.items():
+        w[t][:, 0] = 0
+        w[t][1:, 0] = np.clip(np.sign(z) * np.maximum(np.abs(z) - 1.5, 0) / 2, -2, 2)
+
+
+def fit(texts: list[str], labels: list[int], p: Params = Params(), with_prior: bool = True) -> Network | None:
     """A network for labelled texts; None unless both labels occur."""
     y = np.array(labels, np.float32)
     if len(set(labels)) < 2:
         return None
     rng = np.random.default_rng(p.seed)
     batch = Batch.of_many(pa.array(texts, pa.string()), p)
-    keep = batch.count[np.arange(len(texts))] > 0
-    net = Network(p, init(p))
-    prior(batch, y, net.w)
+    keep = batch.count > 0
+    if len(set(y[keep].tolist())) < 2:
+        return None
+    vocab, odds = learn_entries(batch, y, p)
+    batch.number(vocab)
+    net = Network(p, init(p, vocab), vocab)
+    if with_prior:
+        prior(net.w, odds)
     adam = Adam(net.w, p.rate, p.decay)
-    row, begin = batch.windows(p)
+    row, begin = batch.windows(p, p.train_stride)
     ids = batch.cut(row, begin, p)
     n = np.bincount(row, minlength=len(texts))
     balance = np.where(y == 1, 0.5 / max(y[keep].mean(), 1e-6), 0.5 / max(1 - y[keep].mean(), 1e-6)).astype(np.float32)
@@ -321,7 +365,7 @@ def fit(texts: list[str], labels: list[int], p: Params = Params()) -> Network |
             weight = balance[row] / np.sqrt(n[row])
             pick = np.flatnonzero(rng.random(len(row)) < np.minimum(1, 4 / n[row]))
         else:
-            logit = net.score(batch)[2]
+            logit = net.score(batch, stride=p.train_stride)[2]
             order = np.lexsort((-logit, row))
             place = np.arange(len(row)) - (np.cumsum(n) - n)[row[order]]
             worst = order[place < np.where(y[row[order]] == 1, 1, p.clean_windows)]  # one window of a toxic document, a few of a clean one
@@ -352,8 +396,9 @@ def _restrict(batch: Batch, ids: np.ndarray) -> tuple[_Part, np.ndarray]:
 
 def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Network | None:
     """Fit on docs(doc_id, text) and labels(doc_id, toxic 0/1). A hash of the id picks about
-    toxic_docs and clean_docs labelled rows; rows with nulls teach nothing, and of labels that
-    repeat an id the largest counts."""
+    toxic_docs and clean_docs labelled rows; rows with nulls, and texts longer than train_chars,
+    teach nothing. Of labels that repeat an id the largest counts; repeated documents count as often
+    as they stand. None without texts of both labels."""
     one = labels.where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in one.groupBy("toxic").count().collect()}
     if len(counts) < 2:
@@ -362,7 +407,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Network |
     share = lambda k, most: int((1 << 30) * min(1.0, most / counts[k]))
     picked = one.where(((F.col("toxic") == 1) & (place < share(1, p.toxic_docs))) | ((F.col("toxic") == 0) & (place < share(0, p.clean_docs))))
     text = F.col("text").cast("string")
-    rows = docs.where("text IS NOT NULL").join(F.broadcast(picked), "doc_id").where(F.length("text") <= 8 * p.train_words).select("doc_id", "toxic", text.alias("text")).collect()
+    rows = docs.where("text IS NOT NULL").join(F.broadcast(picked), "doc_id").where(F.length("text") <= p.train_chars).select("doc_id", "toxic", text.alias("text")).collect()
     rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"]))
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows], p)
 
@@ -373,14 +418,20 @@ def score_texts(net: Network | None, texts: pa.Array) -> np.ndarray:
     for part in K.slices(texts, 1 << 20):
         best = np.full(len(part), -np.inf, np.float32)
         if net is not None:
-            row, _, logit = net.score(Batch(part, net.p))
+            row, _, logit = net.score(Batch(part, net.p, net.vocab))
             np.maximum.at(best, row, logit)
         out.append(np.where(np.isfinite(best), 1 / (1 + np.exp(-best.astype(np.float64))), 0.0))
     return np.concatenate(out)
 
 
 def rate(docs: DataFrame, net: Network | None, into: str = "toxicity") -> DataFrame:
-    """docs(text, ...) with a double column `into`. Null and empty texts score 0; other columns stay."""
+    """docs(text, ...) with a double column `into`.
+
+    Null and empty texts, texts without a word, and all texts if there is no network, score 0. Very
+    long texts are scored in all of their windows; of equal windows it doesn't matter which. Repeated
+    rows score alike. An empty table stays empty. Other columns stay, and one that is called like
+    `into` gives way.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(net)
     small_batches(docs.sparkSession)
 
@@ -393,6 +444,8 @@ def rate(docs: DataFrame, net: Network | None, into: str = "toxicity") -> DataFr
 
 
 def op3_recurrent_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score, learned from the labels of those that aren't held out; rows with a
+    null id are not held out and teach nothing."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
     net = train(docs.where(~held), read(spark, sf_dir, "labels").where(~held))

@@ -362,11 +362,18 @@ def test_ridge_by_definition(monkeypatch, dense):
     assert got == [sorted(set(langs))[i] for i in s.argmax(axis=1)] and np.allclose(score, p.max(axis=1), atol=2e-3)
 
 
+def small_network(texts, **kw):
+    """A network of random weights over the entries of some texts, but for every third of them."""
+    p = toxicity.Params(window=5, stride=2, hidden=3, word_dim=2, char_dim=3, stem_dim=2, attention=2, **kw)
+    vocab = {t: np.unique(k)[np.arange(len(np.unique(k))) % 3 > 0] for t, (k, _) in toxicity.Batch(pa.array(texts), p).parts.items()}
+    return toxicity.Network(p, {k: v.astype(np.float64) for k, v in toxicity.init(p, vocab).items()}, vocab)
+
+
 def test_gradient_by_differences():
-    p = toxicity.Params(buckets=64, window=5, stride=4, hidden=3, word_dim=2, char_dim=3, stem_dim=2, attention=2)
-    b = toxicity.Batch(pa.array(["a bad dog runs away now again", "hi there", "x"]), p)
-    w = {k: v.astype(np.float64) for k, v in toxicity.init(p).items()}
-    net = toxicity.Network(p, w)
+    texts = ["a bad dog runs away now again", "hi there", "x"]
+    net = small_network(texts)
+    p, w = net.p, net.w
+    b = toxicity.Batch(pa.array(texts), p, net.vocab)
     row, begin = b.windows(p)
     ids, y, weight = b.cut(row, begin, p), np.array([1.0, 0, 1])[row], np.ones(len(row))
 
@@ -385,9 +392,69 @@ def test_gradient_by_differences():
         assert (up - down) / 2e-2 == pytest.approx(float(g[k][i]), rel=0.05, abs=5e-3)
 
 
+def plain_score(net, text):
+    """The score of a text with one loop for each sum: words, entries, windows, gates, attention."""
+    p, w = net.p, net.w
+
+    def h(data):
+        raw = np.frombuffer(data, np.uint8)
+        return int(K.span_hash(raw, np.array([0]), np.array([len(raw)]))[0])
+
+    def mixed(x):
+        return int(K.mix(np.array([x & (2**64 - 1)], np.uint64))[0])
+
+    def entry(table, key):
+        at = [int(k) for k in net.vocab[table]]
+        return w[table][at.index(key) + 1] if key in at else w[table][0]
+
+    def vector(word):
+        grams = [word[i : i + n] for n in p.grams for i in range(len(word) - n + 1)] or [word]
+        starts = [i == 0 for n in p.grams for i in range(len(word) - n + 1)] or [True]
+        stems = [word[:n] for n in p.stems if len(word) >= n] or [word[: p.stems[0]]]
+        chars = [entry("char", mixed(h(x) + 977 * s)) for x, s in zip(grams, starts, strict=True)]
+        return np.concatenate([entry("word", h(word)), sum(chars) / len(chars), sum(entry("stem", mixed(h(x) + 31337)) for x in stems) / len(stems)])
+
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    data = (text or "").encode().translate(bytes(b + 32 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256)))
+    words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", data)
+    if not words:
+        return 0.0
+    d, best = p.hidden, -np.inf
+    begins = [0]
+    while begins[-1] + p.window < len(words):
+        begins.append(begins[-1] + p.stride)
+    for begin in begins:
+        xs = [vector(x) for x in words[begin : begin + p.window]]
+        states = [np.zeros(2 * d) for _ in xs]
+        for way, order, half in (("f", range(len(xs)), 0), ("b", range(len(xs) - 1, -1, -1), d)):
+            s = np.zeros(d)
+            for k in order:
+                x, g = xs[k] @ w[f"x{way}"] + w[f"b{way}"], s @ w[f"u{way}"]
+                z, r = sig(x[:d] + g[:d]), sig(x[d : 2 * d] + g[d : 2 * d])
+                new = np.tanh(x[2 * d :] + r * g[2 * d :])
+                s = (1 - z) * new + z * s
+                states[k][half : half + d] = s
+        e = np.exp([np.tanh(s @ w["wa"]) @ w["va"] for s in states])
+        best = max(best, float(sum(a * s for a, s in zip(e / e.sum(), states, strict=True)) @ w["out"] + w["bias"][0]))
+    return float(sig(best))
+
+
+def test_scores_by_plain_loops():
+    rng = random.Random(7)
+    vocab = ["bad", "idiots", "Éa", "x", "12a", "worthless", "日本", "of", "then", "B-c"]
+    texts = [" ".join(rng.choice(vocab) for _ in range(n)) for n in (1, 4, 5, 6, 7, 8, 23)] + ["", " .,", None, "new Words that none has"]
+    net = small_network([t or "" for t in texts[:7]])
+    got = toxicity.score_texts(net, pa.array(texts, pa.string()))
+    assert np.allclose(got, [plain_score(net, t) for t in texts], atol=1e-5)
+    assert got[7] == got[8] == got[9] == 0
+
+
 def test_windows_cover_the_text():
     p = toxicity.Params(window=7, stride=5)
-    for n in (0, 1, 6, 7, 8, 12, 13, 40):
+    for n in (0, 1, 6, 7, 8, 12, 13, 40):  # and no passage of 20 words falls between two windows of the registered settings
+        registered = toxicity.Params()
+        long = toxicity.Batch(pa.array([" ".join(["w"] * (50 + n))]), registered).windows(registered)[1]
+        assert all(any(x <= at and at + 20 <= x + registered.window for x in long) for at in range(50 + n - 20 + 1))
         b = toxicity.Batch(pa.array([" ".join(["w"] * n), "q r"]), p)
         row, begin = b.windows(p)
         seen = {int(x) + j for r, x in zip(row, begin, strict=True) if r == 0 for j in range(p.window)}
@@ -397,14 +464,19 @@ def test_windows_cover_the_text():
     assert (many.key == one.key).all() and (many.ids == one.ids).all() and all((many.parts[t][k] == one.parts[t][k]).all() for t in toxicity.TABLES for k in (0, 1)) and (many.count == one.count).all()
 
 
+def ranking(score, label):
+    """Area under the curve: how often a toxic text scores above a clean one, ties half."""
+    a, b = score[label == 1][:, None], score[label == 0][None, :]
+    return float(((a > b) + 0.5 * (a == b)).mean())
+
+
 def test_toxicity_held_out(spark):
     base = DATA.replace("0.001", "0.1")
-    docs, labels = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    net = toxicity.train(docs.where(~held), labels.where(~held), toxicity.Params(clean_docs=1500))
-    got = toxicity.rate(docs.where(held).join(labels, "doc_id").select("text", "toxic"), net).toPandas()
-    hit = got.toxicity >= 0.5
-    assert hit[got.toxic == 1].mean() > 0.75 and hit[got.toxic == 0].mean() < 0.03
+    got = toxicity.op3_recurrent_toxicity(spark, base).where("held_out").join(spark.read.parquet(f"{base}/labels.parquet").where("toxic IS NOT NULL"), "doc_id").toPandas()
+    hit = got.score >= 0.5
+    assert (hit.astype(int) == got.predicted).all()
+    assert hit[got.toxic == 1].mean() > 0.85 and hit[got.toxic == 0].mean() < 0.03
+    assert ranking(got.score.to_numpy(), got.toxic.to_numpy()) > 0.95
 
 
 def test_surrogates(spark):
