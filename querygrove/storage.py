@@ -11,14 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where the session names one; else a folder set once for the session."""
+    """spark.checkpoint.dir where the session names one; else a folder set once for the session: a
+    temporary one where driver and executors are one process, or one in the user's folder of the
+    default file system, which has to be a shared one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    sc = spark.sparkContext
+    held = sc._jsc.sc().getCheckpointDir()
     if not held.isDefined():
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='querygrove-')}")
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if sc.master.split("[")[0] == "local":
+            sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='querygrove-')}")
+        else:
+            fs = sc._jvm.org.apache.hadoop.fs.FileSystem.get(sc._jsc.hadoopConfiguration())
+            if fs.getScheme() == "file":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            sc.setCheckpointDir(f"{fs.getHomeDirectory().toString()}/querygrove-checkpoints")
+        held = sc._jsc.sc().getCheckpointDir()
     return held.get()
 
 
