@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import join_groups
 from .shared import materialise, read
 
 
@@ -35,8 +36,10 @@ RULES = (
     Rule("block", "example.net", "/de/8"),
     Rule("block", "org", "/es/"),
 )
-#: Suffixes of two labels under which names are registered; others have one.
-LONG_SUFFIXES = ("ac.uk", "co.jp", "co.uk", "com.au", "com.br", "gov.uk", "org.uk")
+#: Under a country's two letters, names are registered below these labels; elsewhere below the last.
+SECOND_LEVELS = ("ac", "co", "com", "edu", "go", "gob", "gov", "gouv", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
+_LONG = r"(^|\.)(" + "|".join(SECOND_LEVELS) + r")\.[a-z]{2}$"
+_ADDRESS = r"^([0-9.]*|\[.*)$"
 #: Standard deviations below the mean, and the share of bad pages that the bound must exceed.
 Z, LIMIT = 1.6448536269514722, 0.5
 #: A rule list up to this length is one expression; longer ones are refused.
@@ -69,11 +72,14 @@ def match(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> tuple[
 
 
 def levels(host: Column) -> tuple[Column, Column]:
-    """Registered domain and suffix of a host; a host of one label is both."""
-    n = F.when(F.substring_index(host, ".", -2).isin(*LONG_SUFFIXES), 2).otherwise(1)
-    suffix = F.when(n == 2, F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
-    domain = F.when(n == 2, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
-    return domain, suffix
+    """Registered domain and suffix of a host, without its port. A host of one label is both; an
+    address is its own domain, and all addresses are under one suffix, the empty one."""
+    name = F.regexp_replace(host, ":[0-9]*$", "")
+    n = F.when(name.rlike(_LONG), 2).otherwise(1)
+    suffix = F.when(n == 2, F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
+    domain = F.when(n == 2, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+    address = name.rlike(_ADDRESS)
+    return F.when(address, name).otherwise(domain), F.when(address, "").otherwise(suffix)
 
 
 def _strength(groups: DataFrame, parent: str) -> Column:
@@ -89,11 +95,11 @@ def _strength(groups: DataFrame, parent: str) -> Column:
 
 
 def reputation(outcomes: DataFrame, z: float = Z, limit: float = LIMIT) -> DataFrame:
-    """outcomes(host string, bad int or null where unlabelled) to one row per host: n, bad, mean,
+    """outcomes(host string, bad int or null where unlabelled) to one row per host: rows, n, bad, mean,
     bound and blocked. Hosts without a label take the mean of their domain; with no label at all
     every mean is a half. A null host counts as empty."""
     domain, suffix = levels(F.col("host"))
-    h = outcomes.groupBy(F.coalesce("host", F.lit("")).alias("host")).agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"))
+    h = outcomes.groupBy(F.coalesce("host", F.lit("")).alias("host")).agg(F.count("bad").alias("n"), F.coalesce(F.sum(F.col("bad").cast("long")), F.lit(0)).alias("bad"), F.count("*").alias("rows"))
     h = materialise(h.withColumn("domain", domain).withColumn("suffix", suffix), "hosts")
     total = h.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     top = ((total["bad"] or 0) + 0.5) / ((total["n"] or 0) + 1)
@@ -106,7 +112,7 @@ def reputation(outcomes: DataFrame, z: float = Z, limit: float = LIMIT) -> DataF
     a, b = F.col("bad") + k * F.col("up"), F.col("n") - F.col("bad") + k * (1 - F.col("up"))
     mean = a / (a + b)
     bound = mean - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return h.select("host", "domain", "suffix", "n", "bad", mean.alias("mean"), bound.alias("bound"), (bound > limit).alias("blocked"))
+    return h.select("host", "domain", "suffix", "rows", "n", "bad", mean.alias("mean"), bound.alias("bound"), (bound > limit).alias("blocked"))
 
 
 def _shrunk(groups: DataFrame, into: str) -> DataFrame:
@@ -116,15 +122,21 @@ def _shrunk(groups: DataFrame, into: str) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """pages(page_id, url, ...) to page_id, host, path, rule and verdict, a row per row. Null and
-    malformed urls have the empty host and are judged as it is."""
+    """pages(page_id, url, ...) to page_id, host, path, rule and verdict, a row per row.
+
+    Null, empty and malformed urls have the empty host and are judged as it is; very long ones are
+    read whole. Null ids pass through; repeated rows are judged, and count, one by one. Of rules of
+    equal length the smaller name wins. An empty table gives none. Other columns, whatever their
+    names, are not read. A very common host is looked up from a bounded broadcast list.
+    """
     host, path = parts(F.col("url"))
     p = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, said = match(F.col("host"), F.col("path"), rules)
     p = materialise(p.select("*", rule.alias("rule"), said.alias("said")), "urls")
-    known = reputation(p.select("host", (F.col("said") == "block").cast("int").alias("bad"))).select("host", "blocked")
+    known = reputation(p.select("host", (F.col("said") == "block").cast("int").alias("bad")))
+    known = materialise(known.select("host", "rows", "blocked"), "known")
     verdict = F.coalesce("said", F.when(F.col("blocked"), "block").otherwise("allow"))
-    return p.join(known, "host").select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+    return join_groups(p, known, "host", size="rows").select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
 
 def op10_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,9 +155,9 @@ p AS (SELECT page_id, CASE WHEN pos > 0 THEN translate(regexp_extract(tail, '^([
 r(said, rhost, rpath) AS (VALUES {", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in RULES)}),
 m AS (SELECT page_id, host, path, rhost || rpath AS rule, said FROM p LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)),
 b AS (SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(said, length(rule)) AS said FROM m GROUP BY ALL),
-h0 AS (SELECT host, count(said) AS n, count(*) FILTER (said = 'block') AS bad, string_split(host, '.') AS l FROM b GROUP BY host),
-h1 AS (SELECT host, n, bad, l, CASE WHEN array_to_string(l[-2:], '.') IN ({", ".join(f"'{x}'" for x in LONG_SUFFIXES)}) THEN 2 ELSE 1 END AS k FROM h0),
-h AS (SELECT host, n, bad, array_to_string(l[-(k + 1):], '.') AS domain, array_to_string(l[-k:], '.') AS suffix FROM h1),
+h0 AS (SELECT host, count(said) AS n, count(*) FILTER (said = 'block') AS bad, regexp_replace(host, ':[0-9]*$', '') AS name FROM b GROUP BY host),
+h1 AS (SELECT host, n, bad, name, string_split(name, '.') AS l, CASE WHEN regexp_matches(name, '{_LONG}') THEN 2 ELSE 1 END AS k, regexp_matches(name, '{_ADDRESS}') AS address FROM h0),
+h AS (SELECT host, n, bad, CASE WHEN address THEN name ELSE array_to_string(l[-(k + 1):], '.') END AS domain, CASE WHEN address THEN '' ELSE array_to_string(l[-k:], '.') END AS suffix FROM h1),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (sum(bad) + 0.5) / (sum(n) + 1) FROM h) AS up FROM h GROUP BY suffix),
 sm AS (SELECT suffix, (bad + {_strength_sql("s")} * up) / (n + {_strength_sql("s")}) AS up FROM s),
 d AS (SELECT domain, suffix, n, bad, up FROM (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix) JOIN sm USING (suffix)),

@@ -50,24 +50,28 @@ def targets(by_source: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: i
     return s.withColumn("target", F.least(F.col("cap").cast("double"), F.col("weight") * F.col("level"))).select("key", "source_size", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = 150, ceiling: int = 2, seed: str = "mix", bin_rows: int = BIN_ROWS) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = 150, ceiling: int = 2, seed: str = "mix", bin_rows: int = BIN_ROWS, tie: str | None = None) -> DataFrame:
     """docs(doc_id, source, size long, ...) with source_size, target and copies.
 
     Rows with a null source form a source of their own; null ids are one more id. Repeated rows
-    are mixed one by one. An empty source, or one without words, has target 0 and no copies.
-    Columns named source_size, target or copies give way; others stay.
+    are mixed one by one. Null and empty texts have size 0 and are drawn at their source's rate;
+    very long ones count all of their words. Rows of equal size in a bin go by id, then by the
+    column `tie`, which tells apart what must not be swapped when a task is repeated. An empty
+    source, or one without words, has target 0 and no copies; an empty table stays empty. Columns
+    named source_size, target or copies give way, as does `tie`; others stay.
     """
     bins = max(1, -(-row_count(docs) // bin_rows))
-    names = [c for c in docs.columns if c not in ("source_size", "target", "copies")]
+    names = [c for c in docs.columns if c not in ("source_size", "target", "copies", tie)]
+    order = ["size", "doc_id", *([tie] if tie else [])]
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    d = docs.select(*names, key.alias("__key"), (_hex(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 8) % bins).alias("__bin"))
+    d = docs.select(*names, *order[2:], key.alias("__key"), (_hex(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 8) % bins).alias("__bin"))
     per_bin = d.groupBy("__key", "__bin").agg(F.first("source").alias("source"), F.count("*").alias("n"), F.sum("size").alias("s"))
     per_bin = materialise(per_bin, "bins")
     per_source = per_bin.groupBy("__key").agg(F.first("source").alias("source"), F.sum("s").alias("source_size"))
     t = targets(per_source.withColumnRenamed("__key", "key"), weights, percent, ceiling).withColumnRenamed("key", "__key")
     ahead = F.coalesce(F.sum("n").over(W.partitionBy("__key").orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = per_bin.select("__key", "__bin", ahead.alias("__ahead")).join(t, "__key")
-    place = F.col("__ahead") + F.row_number().over(W.partitionBy("__key", "__bin").orderBy("size", "doc_id"))
+    place = F.col("__ahead") + F.row_number().over(W.partitionBy("__key", "__bin").orderBy(*order))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = _hex(F.concat(F.lit(seed), F.col("__key")), 3) / 4096.0
     passed = lambda k: F.floor(k * F.col("__rate") + F.col("__offset"))
@@ -78,13 +82,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = 150,
 
 def emit(docs: DataFrame, **kw) -> DataFrame:
     """The mix itself: each row of docs(doc_id, text, source, ...) as often as it was drawn, with all
-    of its columns, whatever they are called."""
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "source", size_of(F.col("text")).alias("size"))
-    out = mix(rows, **kw).where("copies > 0")
+    of its columns, whatever they are called. See mix for nulls, repeats and empty tables."""
+    told = F.xxhash64(*(c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()))
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "source", size_of(F.col("text")).alias("size"), told.alias("__tie"))
+    out = mix(rows, tie="__tie", **kw).where("copies > 0")
     return out.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")
 
 
 def op2_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document; see mix for nulls, repeats and ties. Rows of one id and
+    size take alike in number, whichever of them a repeated task takes first."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", size_of(F.col("text")).alias("size"))
     mixed = mix(materialise(docs, "sizes"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))

@@ -213,6 +213,20 @@ def test_hosts(pages):
     assert hosts.judge(pages, rules=()).where("verdict = 'block'").count() == 0
 
 
+def test_hosts_with_names_of_its_columns(spark, pages):
+    """Columns called like the operator's own, and one host with most of the rows."""
+    own = pages
+    for c in ("host", "path", "rule", "verdict", "rows", "bad", "said", "blocked", "domain", "suffix"):
+        own = own.withColumn(c, F.lit("x"))
+    assert sorted(map(str, hosts.judge(own).collect())) == sorted(map(str, hosts.judge(pages).collect()))
+    many = spark.range(2000).select(F.col("id").alias("page_id"), F.when(F.col("id") < 1500, "http://hot.org/es/1").otherwise(F.concat(F.lit("http://h"), F.col("id") % 7, F.lit(".co.uk:8080/x"))).alias("url"))
+    got = hosts.judge(many).groupBy("host", "verdict").count().collect()
+    assert {(r["host"], r["verdict"]): r["count"] for r in got}[("hot.org", "block")] == 1500 and sum(r["count"] for r in got) == 2000
+    h = spark.createDataFrame([("a.b.co.uk:80",), ("co.uk",), ("x.y.de",), ("10.0.0.1:99",), ("[::1]:80",), ("",), ("local",)], "host string")
+    domain, suffix = hosts.levels(F.col("host"))
+    assert [tuple(r) for r in h.select(domain, suffix).collect()] == [("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("y.de", "de"), ("10.0.0.1", ""), ("[::1]", ""), ("", ""), ("local", "local")]
+
+
 def test_neighbours(spark):
     nan, inf = float("nan"), float("inf")
     v = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []), (9, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [1.0, 0.0]), (None, [1.0, 0.0]), (100, [-1.0, 0.0]), (11, [1.0, 2.0, 3.0])]
