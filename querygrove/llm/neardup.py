@@ -46,7 +46,7 @@ class Params:
     rows: int = 4
     bands: int = 24
     star_docs: int = 500
-    chunk_docs: int = 1024
+    chunk_docs: int = 512
     chunk_shingles: int = 1_500_000
 
     @property
@@ -282,9 +282,9 @@ def _stars(texts: DataFrame, members: DataFrame, p: Params) -> DataFrame:
 
 def _left_over(texts: DataFrame, members: DataFrame, sizes: DataFrame, joined: DataFrame, p: Params) -> DataFrame | None:
     """Links within the bands of which joined(node, root) doesn't have all members in one component;
-    None where there are no such bands."""
+    None where there are no such bands. The smallest class of a band was compared with all others."""
     label = F.coalesce("root", "rep").alias("label")
-    at = members.select("rep", "band").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "band", label)
+    at = members.where("rep <> c").select("rep", "band").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "band", label)
     at = materialise(at, "labelled")
     per = at.groupBy("band", "label").agg(F.count("*").alias("n"))
     open_bands = per.groupBy("band").agg(F.sum("n").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"), F.max_by("label", F.struct("n", "label")).alias("main")).where("low < high")
