@@ -283,6 +283,10 @@ def _advance(p: Params, width: int):
             ids = np.concatenate([ids.to_numpy(), new.field("cand").to_numpy() if len(to) else np.zeros(0, np.int64)])
             sims = np.concatenate([batch.column("sims").flatten().to_numpy(), x]).astype(np.float32)
             opened = np.concatenate([batch.column("opened").flatten().to_numpy(zero_copy_only=False).astype(bool), np.zeros(len(to), bool)])
+            order = np.lexsort((~opened, ids, row))  # what the beam has already is not new
+            row, ids, sims, opened = row[order], ids[order], sims[order], opened[order]
+            one = np.concatenate([[True], (row[1:] != row[:-1]) | (ids[1:] != ids[:-1])])
+            row, ids, sims, opened = row[one], ids[one], sims[one], opened[one]
             order = np.lexsort((ids, -sims, row))
             row, ids, sims, opened = row[order], ids[order], sims[order], opened[order]
             keep = _place(row) < width
@@ -317,14 +321,12 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, p: Params = P
     state = queries.join(nodes.select(F.col("node").alias("q"), "code"), "q")
     state = state.select("q", "code", one.alias("ids"), F.array(F.lit(1.0).cast("float")).alias("sims"), F.array(F.lit(True)).alias("opened"), one.alias("front"))
     state = materialise(state, "beams")
-    seen = materialise(state.select("q", F.col("q").alias("cand")), "seen")
-    while True:  # a hop opens nodes that weren't open, so this ends
+    while True:  # what fell off a beam can't come back, so a hop opens nodes that never were open, and this ends
         reached = state.select("q", F.explode("front").alias("node")).join(adjacent, "node").select("q", F.explode("nbrs").alias("cand")).distinct()
-        new = materialise(reached.join(seen, ["q", "cand"], "left_anti"), "reached")
-        got = new.join(codes, "cand").groupBy("q").agg(F.collect_list(F.struct("cand", "code")).alias("new"))
+        got = reached.join(codes, "cand").groupBy("q").agg(F.collect_list(F.struct("cand", "code")).alias("new"))
         after = materialise(state.join(got, "q", "left").mapInArrow(_advance(p, width), _STATE), "beams")
         drop(nodes.sparkSession, state)
-        state, seen = after, seen.unionByName(new)
+        state = after
         if state.where("size(front) > 0").isEmpty():
             return state.select("q", F.explode(F.slice("ids", 1, p.exact)).alias("node"))
 
