@@ -15,6 +15,8 @@ from . import expand
 #: Names of the three bins.
 BINS = ("bajo", "medio", "alto")
 RUNS = 20
+#: Cases of a bin.
+CASES = 50
 
 
 def buildable(seeds: DataFrame, population: int) -> tuple[DataFrame, DataFrame]:
@@ -189,8 +191,24 @@ def run_cases(cases: DataFrame, net: expand.Network, budget: int = 100, draws: i
     return cases.repartition("cell", "entity").mapInPandas(go, TRACE)
 
 
-def hidden_recall(cases: DataFrame, net: expand.Network, share: float = 0.3, budget: int = 100, n: int = 5, seed: int = 42) -> DataFrame:
-    """(cell, entity, fold, rank, recall) with a share of the seeds hidden."""
+def reach(net: expand.Network, seeds: list[int]) -> int:
+    """Nodes that the seeds reach, without the seeds."""
+    seen, queue = set(seeds), list(seeds)
+    while queue:
+        for j in net.near(queue.pop()).tolist():
+            if j not in seen:
+                seen.add(j)
+                queue.append(j)
+    return len(seen) - len(set(seeds))
+
+
+RECALL = "cell string, entity string, source string, draw int, share double, fold int, rank int, recall double, hidden long, universe long"
+
+
+def hidden_recall(cases: DataFrame, net: expand.Network, shares: tuple[float, ...] = (0.1, 0.2, 0.3), budget: int = 100, n: int = 5, nulls: int = 5, seed: int = 42) -> DataFrame:
+    """Recall of hidden seeds by rank: n folds of the real seeds for each share, from one generator of
+    the case, smaller shares first; and, as what chance gives, n folds of the largest share of each
+    of the first `nulls` matched control sets of the traces. universe: nodes that the visible seeds can reach."""
     shared = cases.sparkSession.sparkContext.broadcast(net)
 
     def go(batches):
@@ -199,12 +217,29 @@ def hidden_recall(cases: DataFrame, net: expand.Network, share: float = 0.3, bud
             g = shared.value
             for c in pdf.itertuples(index=False):
                 seeds = g.positions(sorted(c.seeds))
-                rng = np.random.default_rng(zlib.crc32(f"{c.cell}|{c.entity}".encode()) ^ seed)
-                for f, hidden in enumerate(folds(rng, seeds, share, n) if len(seeds) > 1 else []):
-                    got = 0
-                    for rank, x in enumerate(expand.grow(g, [s for s in seeds if s not in set(hidden)], budget), 1):
-                        got += x[0] in set(hidden)
-                        rows.append((c.cell, c.entity, f, rank, got / len(hidden)))
-            yield pd.DataFrame(rows, columns=["cell", "entity", "fold", "rank", "recall"])
-
-    return cases.repartition("cell", "entity").mapInPandas(go, "cell string, entity string, fold int, rank int, recall double")
+                case = zlib.crc32(f"{c.cell}|{c.entity}".encode()) ^ seed
+                rng = np.random.default_rng(case)
+                todo = [("real", 0, s, f, seeds, hidden) for s in shares for f, hidden in enumerate(folds(rng, seeds, s, n) if len(seeds) > 1 else [])]
+                pool = np.setdiff1d(np.arange(len(g)), seeds)
+                for d in range(nulls if 1 < len(seeds) <= len(pool) else 0):
+                    draw = np.random.default_rng([case, d])
+                    uniform_controls(draw, pool, len(seeds))  # as in the traces, whose matched set comes second
+                    own = sorted(matched_controls(draw, g, seeds, pool)[0])
+                    todo += [("matched", d, max(shares), f, own, hidden) for f, hidden in enumerate(folds(np.random.default_rng([case, d, 1]), own, max(shares), n))]
+                for source, d, share, f, own, hidden in todo:
+                    gone, got = set(hidden), 0
+                    visible = [s for s in own if s not in gone]
+                    universe = reach(g, visible)
+                    for rank, x in enumerate(expand.grow(g, visible, budget), 1):
+                        got += x[0] in gone
+                        rows.append((c.cell, c.entity, source, d, share, f, rank, got / len(hidden), len(hidden), universe))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in RECALL.split(", ")])
+
+    return cases.repartition("cell", "entity").mapInPandas(go, RECALL)
+
+
+def mean_of_means(df: DataFrame, case: str, by: list[str], value: str) -> DataFrame:
+    """(by, value, cases): the mean over cases of each case's own mean, so a case with many runs
+    counts once."""
+    one = df.groupBy(*by, case).agg(F.avg(value).alias(value))
+    return one.groupBy(*by).agg(F.avg(value).alias(value), F.count("*").alias("cases"))

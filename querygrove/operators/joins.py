@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.schema import RELATION_OF
+
 
 def band_pairs(df: DataFrame, key: str, same: list[str], value: str, width: float) -> DataFrame:
     """(a, b), a < b, of rows that agree in `same` and differ by width at most in value. A row meets
@@ -93,3 +95,32 @@ def stack(*families: DataFrame) -> DataFrame:
 def not_one_to_one(df: DataFrame, key: str) -> DataFrame:
     """Keys that occur more than once."""
     return df.groupBy(key).count().where("count > 1")
+
+
+def relations(edges: DataFrame, star: DataFrame, group: str = "DISEASE_BERT") -> DataFrame:
+    """edges(x, y, edge_type) with relation: by the registry of types, or group for a pair that
+    star(x, y) has in either direction. A type that the registry lacks is an error where the rows
+    are read."""
+    known = F.create_map(*(F.lit(v) for kv in RELATION_OF.items() for v in kv))
+    mapped = F.coalesce(known[F.col("edge_type")], F.raise_error(F.concat(F.lit("no relation for the edge type "), F.col("edge_type"))))
+    lo, hi = F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")
+    pairs = star.select(lo, hi).distinct().withColumn("star", F.lit(True))
+    e = edges.select("*", lo, hi).join(pairs, ["lo", "hi"], "left")
+    return e.select(*edges.columns, F.when(F.col("star"), group).otherwise(mapped).alias("relation"))
+
+
+def accession_join(compounds: DataFrame, genes: DataFrame, graph_genes: DataFrame, sep: str = ",") -> DataFrame:
+    """(drug, gene, tag): compounds(drug, targets, tag) and genes(accession, gene_ids), both with
+    several ids in one text, taken apart, trimmed and joined on the accession; only genes(id) of the
+    graph stay, each pair and tag once."""
+    t = compounds.select("drug", F.explode(F.split("targets", sep)).alias("accession"), "tag").withColumn("accession", F.trim("accession"))
+    g = genes.select(F.trim("accession").alias("accession"), F.explode(F.split("gene_ids", ";")).alias("gene")).withColumn("gene", F.trim("gene")).where("gene <> ''")
+    return t.join(g, "accession").join(graph_genes.select(F.col("id").alias("gene")), "gene", "left_semi").select("drug", "gene", "tag").distinct()
+
+
+def project_ids(df: DataFrame, ids: list[str], rest: list[str]) -> DataFrame:
+    """df with all of the columns named, in order: optional ids that it lacks are null, and those that
+    are empty or a text for none become null."""
+    there = set(df.columns)
+    clean = lambda c: F.when(F.trim(F.col(c).cast("string")).isin("", "nan", "None"), None).otherwise(F.trim(F.col(c).cast("string")))
+    return df.select(*((clean(c) if c in there else F.lit(None).cast("string")).alias(c) for c in ids), *rest)

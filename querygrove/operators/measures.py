@@ -136,26 +136,33 @@ def bootstrap(df: DataFrame, by: list[str], value: str, draws: int = 10_000, see
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        x, rng = pdf[value].to_numpy(np.float64), np.random.default_rng(seed)
+        x, rng = np.sort(pdf[value].to_numpy(np.float64)), np.random.default_rng(seed)
         means = np.concatenate([x[rng.integers(0, len(x), (min(500, draws - i), len(x)))].mean(axis=1) for i in range(0, draws, 500)])
         low, high = np.percentile(means, [2.5, 97.5])
         return pd.DataFrame([[*key, x.mean(), low, high]], columns=[*by, "mean", "low", "high"])
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", mean double, low double, high double"
-    return df.select(*by, value).where(F.col(value).isNotNull()).orderBy(*by, value).groupBy(*by).applyInPandas(one, schema)
+    return df.select(*by, value).where(F.col(value).isNotNull()).groupBy(*by).applyInPandas(one, schema)
 
 
 def interaction(df: DataFrame, value: str, inside: str, draws: int = 10_000, seed: int = 42) -> DataFrame:
-    """(difference, low, high) between the means of two groups, resampled apart from one generator."""
+    """(difference, low, high) between the means of two groups, from one generator: all resamples of
+    the first, then all of the second. Each group, the questions of one comparison, is sorted first,
+    so it doesn't matter in which order its rows come. Null values take no part."""
+
+    def means(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        return np.concatenate([x[rng.integers(0, len(x), (min(500, draws - i), len(x)))].mean(axis=1) for i in range(0, draws, 500)])
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = (np.sort(pdf.loc[pdf[inside] == k, value].to_numpy(np.float64)) for k in (True, False))
+        if not len(a) or not len(b):
+            return pd.DataFrame([], columns=["difference", "low", "high"])
         rng = np.random.default_rng(seed)
-        d = np.array([a[rng.integers(0, len(a), len(a))].mean() - b[rng.integers(0, len(b), len(b))].mean() for _ in range(draws)])
-        low, high = np.percentile(d, [2.5, 97.5])
+        first = means(a, rng)
+        low, high = np.percentile(first - means(b, rng), [2.5, 97.5])
         return pd.DataFrame([[a.mean() - b.mean(), low, high]], columns=["difference", "low", "high"])
 
-    return df.select(F.lit(1).alias("one"), value, inside).groupBy("one").applyInPandas(one, "difference double, low double, high double")
+    return df.select(F.lit(1).alias("one"), value, inside).where(F.col(value).isNotNull()).groupBy("one").applyInPandas(one, "difference double, low double, high double")
 
 
 def hash_bootstrap(df: DataFrame, key: str, value: str, draws: int = 200) -> DataFrame:

@@ -73,9 +73,7 @@ def project(edges: DataFrame, entities: DataFrame, step: Step, plane: DataFrame,
     seeds = out.where(F.col("role") == SEED).groupBy("entity_label", "entity_id").agg(F.array_sort(F.collect_set("id")).alias("seeds"))
     seeds = seeds.where(F.size("seeds") >= least_seeds)
     runs = seeds.select(F.concat_ws("\0", "entity_label", "entity_id").alias("run"), "seeds", F.lit(steps).alias("steps"))
-    if net is None and method != "diamond":
-        raise ValueError(f"a plane of more than {expand.BROADCAST_EDGES} edges grows by diamond alone")
-    grown = expand.grow_many(plane, runs) if net is None else expand.run_all(net, runs, method)
+    grown = expand.run_by_joins(plane, runs, method) if net is None else expand.run_all(net, runs, method)
     added = grown.select("*", F.split("run", "\0")[0].alias("entity_label"), F.split("run", "\0")[1].alias("entity_id"))
     return out.unionByName(added.select(*_reason(F.lit(step.target), F.col("node"), step.name, F.lit(ADDED), F.col("iteration"), F.col("p_value"), F.col("method"))))
 

@@ -39,15 +39,13 @@ def node_flags(s: Star) -> DataFrame:
     return s.nodes.select("id", ((F.col("label") == "Disease") & (F.col("source") == "nation")).alias("is_group_node"), F.col("id").startswith("P1").alias("is_complex"))
 
 
-@query("""x_star AS (SELECT least(id_a, id_b) AS a, greatest(id_a, id_b) AS b FROM g_edges WHERE type = 'DISEASE_DISEASE' AND ends_with(id_a, '7'))
-SELECT e.id_a AS a, e.id_b AS b, CASE WHEN x.a IS NOT NULL THEN 'DISEASE_BERT' ELSE e.type END AS relation FROM g_edges e LEFT JOIN x_star x ON x.a = least(e.id_a, e.id_b) AND x.b = greatest(e.id_a, e.id_b) WHERE e.type IN ('PPI', 'DISEASE_DISEASE')""")
+@query("""SELECT 'P' || a AS a, 'P' || b AS b, 'PPI' AS relation FROM g_ppi
+UNION ALL SELECT 'C' || a, 'C' || b, CASE WHEN a % 10 = 7 THEN 'DISEASE_BERT' ELSE 'DISEASE_DISEASE' END FROM g_dd""")
 def relation_mapping(s: Star) -> DataFrame:
     """Edge types as relations; pairs of the star table, in either direction, become group edges."""
-    e = s.edges("PPI", "DISEASE_DISEASE")
-    lo, hi = F.least("id_a", "id_b"), F.greatest("id_a", "id_b")
-    star = e.where((F.col("type") == "DISEASE_DISEASE") & F.col("id_a").endswith("7")).select(lo.alias("lo"), hi.alias("hi"), F.lit(True).alias("star"))
-    m = e.withColumn("lo", lo).withColumn("hi", hi).join(star, ["lo", "hi"], "left")
-    return m.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.when(F.col("star"), "DISEASE_BERT").otherwise(F.col("type")).alias("relation"))
+    e = s.edges("PPI", "DISEASE_DISEASE").withColumn("edge_type", F.lower("type"))
+    star = e.where((F.col("type") == "DISEASE_DISEASE") & F.col("id_a").endswith("7")).select(F.col("id_b").alias("x"), F.col("id_a").alias("y"))
+    return joins.relations(e.select(F.col("id_a").alias("x"), F.col("id_b").alias("y"), "edge_type"), star).select(F.col("x").alias("a"), F.col("y").alias("b"), "relation")
 
 
 @query("SELECT id_a AS a, id_b AS b, weight FROM g_edges WHERE type = 'DRUG_DRUG' AND weight >= 0.04")

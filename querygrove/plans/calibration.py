@@ -10,7 +10,6 @@ from ..operators import calibrate as K
 from ..operators import expand, graph, select
 from ..sources.schema import STEPS
 from ..sources.star import Star
-from ..storage import materialise
 from .network import planes
 from .registry import query
 
@@ -102,18 +101,18 @@ def first_reach(s: Star) -> DataFrame:
 @query()
 def growth_traces(s: Star) -> DataFrame:
     """Traces of real seeds and controls for a sample of cases."""
-    p = materialise(planes(s)["gene"], "plane")
+    p = planes(s)["gene"]
     sd = seeds(s)
-    cases = K.sample(K.bins(sd, least=5), ["bin"], "entity", 2).select(F.lit("disease_a_gene").alias("cell"), "entity", "seeds")
-    return K.run_cases(cases, expand.network(p), budget=10, draws=3)
+    cases = K.sample(K.bins(sd, least=5), ["bin"], "entity", K.CASES).select(F.lit("disease_a_gene").alias("cell"), "entity", "seeds")
+    return K.run_cases(cases, expand.small_network(p))
 
 
 @query()
 def hidden_seed_recall(s: Star) -> DataFrame:
     """Recall of hidden seeds for a sample of cases."""
-    p = materialise(planes(s)["gene"], "plane")
-    cases = K.sample(K.bins(seeds(s), least=5), ["bin"], "entity", 2).select(F.lit("disease_a_gene").alias("cell"), "entity", "seeds")
-    return K.hidden_recall(cases, expand.network(p), budget=20)
+    p = planes(s)["gene"]
+    cases = K.sample(K.bins(seeds(s), least=5), ["bin"], "entity", K.CASES).select(F.lit("disease_a_gene").alias("cell"), "entity", "seeds")
+    return K.hidden_recall(cases, expand.small_network(p))
 
 
 @query("SELECT x AS half, CAST(round_even(x, 0) AS BIGINT) AS rounded FROM (SELECT DISTINCT l_linenumber + 0.5::DOUBLE AS x FROM lineitem)", graph=False)

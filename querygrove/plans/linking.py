@@ -55,13 +55,13 @@ def node_names(s: Star) -> DataFrame:
     return _named(s)
 
 
-_SYN = "x_syn AS (SELECT 'Gene' AS kind, 'P' || p_partkey AS id, 'symbol' AS source, p_brand || '|' || p_type || ' (old)|x' AS forms FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT 'Gene', 'Q' || p_partkey, 'name', p_name FROM part WHERE p_partkey % 5 = 0)"
+_SYN = "x_syn AS (SELECT 'Gene' AS kind, 'P' || p_partkey AS id, 'symbol' AS source, p_brand || '|' || p_type || ' (old)|x' AS forms FROM part UNION ALL SELECT 'Gene', 'Q' || p_partkey, 'name', p_name FROM part)"
 
 
 def _synonyms(s: Star) -> DataFrame:
     p = s.table("part")
-    a = p.where("p_partkey % 2 = 0").select(F.lit("Gene").alias("kind"), pid("p_partkey").alias("id"), F.lit("symbol").alias("source"), F.concat("p_brand", F.lit("|"), "p_type", F.lit(" (old)|x")).alias("forms"))
-    return L.synonyms(a.unionByName(p.where("p_partkey % 5 = 0").select(F.lit("Gene").alias("kind"), F.concat(F.lit("Q"), "p_partkey").alias("id"), F.lit("name").alias("source"), F.col("p_name").alias("forms"))), _named(s))
+    a = p.select(F.lit("Gene").alias("kind"), pid("p_partkey").alias("id"), F.lit("symbol").alias("source"), F.concat("p_brand", F.lit("|"), "p_type", F.lit(" (old)|x")).alias("forms"))
+    return L.synonyms(a.unionByName(p.select(F.lit("Gene").alias("kind"), F.concat(F.lit("Q"), "p_partkey").alias("id"), F.lit("name").alias("source"), F.col("p_name").alias("forms"))), _named(s))
 
 
 @query(rf"""{_NAMED}, {_SYN} SELECT kind, id, regexp_replace(name, '\([^)]*\)', ' ', 'g') AS name FROM (SELECT kind, id, source, unnest(string_split(forms, '|')) AS name FROM x_syn) WHERE (source = 'name' OR length(name) >= 3) AND id IN (SELECT id FROM x_named)""")
@@ -84,8 +84,8 @@ def vote_dictionary(s: Star) -> DataFrame:
 
 
 #: Mentions: words of part names turned round, brands, and names with more around them.
-_MENTIONS = """x_m AS (SELECT 'm' || p_partkey AS mention, 'Gene' AS kind, CASE p_partkey % 3 WHEN 0 THEN string_split(p_name, ' ')[2] || ' ' || string_split(p_name, ' ')[1] WHEN 1 THEN 'the ' || p_brand ELSE p_brand END AS name FROM part WHERE p_partkey % 4 = 1
-UNION ALL SELECT 'd' || c_custkey, 'Disease', 'severe ' || c_name || ' type' FROM customer WHERE c_custkey % 10 = 3)"""
+_MENTIONS = """x_m AS (SELECT 'm' || p_partkey AS mention, 'Gene' AS kind, CASE p_partkey % 3 WHEN 0 THEN string_split(p_name, ' ')[2] || ' ' || string_split(p_name, ' ')[1] WHEN 1 THEN 'the ' || p_brand ELSE p_brand END AS name FROM part
+UNION ALL SELECT 'd' || c_custkey, 'Disease', 'severe ' || c_name || ' type' FROM customer)"""
 
 
 def _mentions(s: Star) -> DataFrame:
@@ -112,7 +112,7 @@ def link_exact(s: Star) -> DataFrame:
     return L.exact(_mentions(s).withColumn("place", F.lit(0)), _dictionary(s), _named(s), ASCII)
 
 
-@query(f"""{_NAMED}, x_v AS (SELECT DISTINCT 'o' || l_orderkey AS mention, 'Gene' AS kind, 'P' || l_partkey AS id, l_linenumber % 2 AS votes FROM lineitem WHERE l_orderkey <= 2000), {_untie('x_v')} SELECT mention, kind, id FROM x_res""")
+@query(f"""{_NAMED}, x_v AS (SELECT DISTINCT 'o' || l_orderkey AS mention, 'Gene' AS kind, 'P' || l_partkey AS id, l_linenumber % 2 AS votes FROM lineitem), {_untie('x_v')} SELECT mention, kind, id FROM x_res""")
 def link_tiebreak(s: Star) -> DataFrame:
     """Two tied nodes at most, else the one of the shortest name."""
     v = s.table("lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("mention"), F.lit("Gene").alias("kind"), pid("l_partkey").alias("id"), (F.col("l_linenumber") % 2).alias("votes"))
@@ -130,7 +130,11 @@ def link_segments(s: Star) -> DataFrame:
     return L.segments(_mentions(s), _dictionary(s), _named(s), ASCII).select("mention", "kind", "id")
 
 
-@query()
+@query(f"""{_DICT}, {_MENTIONS}, x_hit AS (SELECT mention, m.kind, id, votes, dense_rank() OVER (PARTITION BY mention, m.kind ORDER BY level) AS f FROM x_m m JOIN x_dict d ON d.kind = m.kind AND d.form = {_form('m.name')}), x_first AS (SELECT * FROM x_hit WHERE f = 1), {_untie('x_first')},
+x_w AS (SELECT mention, kind, string_split({_norm('name')}, ' ') AS w FROM x_m WHERE kind = 'Disease' AND mention NOT IN (SELECT mention FROM x_res)), x_spans AS (SELECT mention, kind, w, n, unnest(range(1, len(w) - n + 2)) AS st FROM (SELECT mention, kind, w, unnest(range(1, len(w) + 1)) AS n FROM x_w)),
+x_seg AS (SELECT mention, kind, n, st, list_slice(w, st, st + n - 1) AS ws FROM x_spans), x_sh AS (SELECT mention, x_seg.kind, id, votes, dense_rank() OVER (PARTITION BY mention ORDER BY n DESC, st DESC, level) AS f FROM x_seg JOIN x_dict d ON d.kind = x_seg.kind AND d.form = array_to_string(list_sort(ws), ' ') WHERE len(list_filter(ws, lambda x: x NOT IN ({_STOP}))) > 0),
+x_first2 AS (SELECT * FROM x_sh WHERE f = 1), {_untie('x_first2').replace('x_top', 'x_top2').replace('x_tied', 'x_tied2').replace('x_res', 'x_res2')}
+SELECT mention, kind, id, 'diccionario' AS how FROM x_res UNION ALL SELECT mention, kind, id, 'segmentos' FROM x_res2""")
 def link_mentions(s: Star) -> DataFrame:
     """Both ways, in order."""
     m = _mentions(s).select("mention", "kind", F.col("name").alias("text"), F.col("name").alias("english"))
@@ -160,12 +164,12 @@ def set_key(s: Star) -> DataFrame:
     return g.select("l_suppkey", X.set_key(F.col("e")).alias("key"))
 
 
-@query("""x_links AS (SELECT DISTINCT l_orderkey AS question, 'P' || l_partkey AS node FROM lineitem WHERE l_linenumber <= 2), x_gold AS (SELECT DISTINCT l_orderkey AS question, 'P' || l_partkey AS node FROM lineitem WHERE l_quantity >= 48)
+@query("""x_links AS (SELECT DISTINCT l_orderkey AS question, 'P' || l_partkey AS node FROM lineitem WHERE l_returnflag <> 'R'), x_gold AS (SELECT DISTINCT l_orderkey AS question, 'P' || l_partkey AS node FROM lineitem WHERE l_quantity >= 48)
 SELECT DISTINCT question FROM x_links WHERE question NOT IN (SELECT l.question FROM x_links l JOIN x_gold g ON g.question = l.question AND g.node = l.node)""")
 def answer_not_entity(s: Star) -> DataFrame:
     """Questions whose entities hold no gold node."""
-    li = s.table("lineitem").select(F.col("l_orderkey").alias("question"), pid("l_partkey").alias("node"), "l_linenumber", "l_quantity")
-    links, gold = li.where("l_linenumber <= 2").select("question", "node").distinct(), li.where("l_quantity >= 48").select("question", "node").distinct()
+    li = s.table("lineitem").select(F.col("l_orderkey").alias("question"), pid("l_partkey").alias("node"), "l_returnflag", "l_quantity")
+    links, gold = li.where("l_returnflag <> 'R'").select("question", "node").distinct(), li.where("l_quantity >= 48").select("question", "node").distinct()
     return links.select("question").distinct().join(links.join(gold, ["question", "node"]).select("question"), "question", "left_anti")
 
 
@@ -177,7 +181,7 @@ def has_layer_neighbours(s: Star) -> DataFrame:
     return graph.both_ways(s.edges("GDA", "INDICATION", "DRUG_TARGET")).select(F.col("label_a").alias("label"), F.col("id_a").alias("id")).distinct()
 
 
-_GOLD = "x_gs AS (SELECT c_custkey AS question, n_nationkey AS item, n_name AS synonym FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 20 = 1 UNION ALL SELECT c_custkey, 1000 + p_partkey, p_brand FROM customer JOIN part ON p_partkey = c_custkey WHERE c_custkey % 20 = 1 AND p_partkey % 2 = 1)"
+_GOLD = "x_gs AS (SELECT c_custkey AS question, n_nationkey AS item, n_name AS synonym FROM customer JOIN nation ON n_nationkey = c_nationkey UNION ALL SELECT c_custkey, 1000 + p_partkey, p_brand FROM customer JOIN part ON p_partkey = c_custkey)"
 
 
 @query(f"{_DICT}, {_GOLD}, x_k(kind) AS (VALUES ('Gene'), ('Disease'), ('Drug')), x_hit AS (SELECT DISTINCT question, item FROM x_gs JOIN x_k ON true JOIN x_dict d ON d.kind = x_k.kind AND d.form = {_form('synonym')}) SELECT g.question, count(DISTINCT g.item) AS items, count(DISTINCT h.item) AS linked FROM x_gs g LEFT JOIN x_hit h ON h.question = g.question AND h.item = g.item GROUP BY 1")

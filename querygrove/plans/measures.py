@@ -67,10 +67,10 @@ def _rouge(skip: int, singles: bool) -> str:
     pairs = "SELECT {k}, ws[i] || ' ' || ws[j] AS gram FROM (SELECT {k}, ws, i, unnest(range(i + 1, least(i + 1 + {s}, len(ws)) + 1)) AS j FROM (SELECT {k}, ws, unnest(range(1, len(ws) + 1)) AS i FROM {t}))"
     extra = " UNION ALL SELECT {k}, unnest(ws) FROM {t}" if singles else ""
     grams = lambda k, t: (pairs + extra).format(k=k, t=t, s=skip)
-    return f"""x_w AS (SELECT conv_id * 1000 + turn AS question, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM conversations WHERE conv_id <= 40), x_b AS (SELECT item_id AS reference, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM benchmark WHERE item_id < 10),
+    return f"""x_w AS (SELECT conv_id * 1000 + turn AS question, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM conversations), x_b AS (SELECT item_id AS reference, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM benchmark),
 x_ga AS (SELECT question, gram, count(*) AS a FROM ({grams("question", "x_w")}) GROUP BY 1, 2), x_gb AS (SELECT reference, gram, count(*) AS b FROM ({grams("reference", "x_b")}) GROUP BY 1, 2),
 x_na AS (SELECT question, sum(a) AS na FROM x_ga GROUP BY 1), x_nb AS (SELECT reference, sum(b) AS nb FROM x_gb GROUP BY 1), x_both AS (SELECT question, reference, sum(least(a, b)) AS both_ FROM x_ga JOIN x_gb USING (gram) GROUP BY 1, 2),
-x_s AS (SELECT w.question, x.reference, coalesce(both_, 0) / nullif(na, 0)::DOUBLE AS p, coalesce(both_, 0) / nullif(nb, 0)::DOUBLE AS r FROM x_w w JOIN x_b x ON (w.question // 1000) % 10 = x.reference LEFT JOIN x_na USING (question) LEFT JOIN x_nb ON x_nb.reference = x.reference LEFT JOIN x_both o ON o.question = w.question AND o.reference = x.reference)
+x_s AS (SELECT w.question, x.reference, coalesce(both_, 0) / nullif(na, 0)::DOUBLE AS p, coalesce(both_, 0) / nullif(nb, 0)::DOUBLE AS r FROM x_w w JOIN x_b x ON (w.question // 1000) % (SELECT count(*) FROM benchmark) = x.reference LEFT JOIN x_na USING (question) LEFT JOIN x_nb ON x_nb.reference = x.reference LEFT JOIN x_both o ON o.question = w.question AND o.reference = x.reference)
 SELECT question, round(max(coalesce(r, 0)), 9) AS recall, round(max(CASE WHEN coalesce(p, 0) + coalesce(r, 0) > 0 THEN 2 * p * r / (p + r) ELSE 0 END), 9) AS f1 FROM x_s GROUP BY 1"""
 
 
@@ -97,13 +97,13 @@ def rouge_su4(s: Star) -> DataFrame:
     return _rouge_scores(s, 4, True)
 
 
-@query("""x_gold AS (SELECT DISTINCT o_custkey AS question, l_suppkey AS gold, l_partkey AS node FROM g_sold WHERE l_quantity >= 40), x_ch AS (SELECT DISTINCT o_custkey AS question, l_returnflag AS configuration, l_partkey AS node FROM g_sold WHERE l_linenumber <= 3)
+@query("""x_gold AS (SELECT DISTINCT o_custkey AS question, l_suppkey AS gold, l_partkey AS node FROM g_sold WHERE l_quantity >= 40), x_ch AS (SELECT DISTINCT o_custkey AS question, l_returnflag AS configuration, l_partkey AS node FROM g_sold)
 SELECT c.question, configuration, round(coalesce(found, 0) / golds::DOUBLE, 9) AS share FROM (SELECT DISTINCT question, configuration FROM x_ch) c JOIN (SELECT question, count(DISTINCT gold) AS golds FROM x_gold GROUP BY 1) USING (question)
 LEFT JOIN (SELECT question, configuration, count(DISTINCT gold) AS found FROM x_gold JOIN x_ch USING (question, node) GROUP BY 1, 2) USING (question, configuration)""")
 def gold_coverage(s: Star) -> DataFrame:
     """Share of the gold items that a subgraph holds."""
     gold = s.sold.where("l_quantity >= 40").select(F.col("o_custkey").alias("question"), F.col("l_suppkey").alias("gold"), F.col("l_partkey").alias("node")).distinct()
-    chosen = s.sold.where("l_linenumber <= 3").select(F.col("o_custkey").alias("question"), F.col("l_returnflag").alias("configuration"), F.col("l_partkey").alias("node")).distinct()
+    chosen = s.sold.select(F.col("o_custkey").alias("question"), F.col("l_returnflag").alias("configuration"), F.col("l_partkey").alias("node")).distinct()
     return M.coverage(gold, chosen).withColumn("share", F.round("share", 9))
 
 
@@ -285,10 +285,10 @@ def ordered_distinct(s: Star) -> DataFrame:
     return p.groupBy("l_orderkey").agg(join_ordered(F.col("l_partkey").cast("string"), "pos", "|").alias("parts"))
 
 
-@query("""x_s AS (SELECT DISTINCT l_orderkey, unnest([l_partkey % 10, l_suppkey % 10]) AS v FROM lineitem WHERE l_linenumber <= 2) SELECT a.l_orderkey AS a, a.l_orderkey + 1 AS b, count(*) AS shared FROM x_s a JOIN x_s b ON b.l_orderkey = a.l_orderkey + 1 AND a.v = b.v GROUP BY 1, 2""")
+@query("""x_s AS (SELECT DISTINCT l_orderkey, unnest([l_partkey % 10, l_suppkey % 10]) AS v FROM lineitem) SELECT a.l_orderkey AS a, a.l_orderkey + 1 AS b, count(*) AS shared FROM x_s a JOIN x_s b ON b.l_orderkey = a.l_orderkey + 1 AND a.v = b.v GROUP BY 1, 2""")
 def set_overlap(s: Star) -> DataFrame:
     """Sets of neighbouring questions that overlap."""
-    li = s.table("lineitem").where("l_linenumber <= 2").groupBy("l_orderkey").agg(F.array_union(F.collect_set(F.col("l_partkey") % 10), F.collect_set(F.col("l_suppkey") % 10)).alias("v"))
+    li = s.table("lineitem").groupBy("l_orderkey").agg(F.array_union(F.collect_set(F.col("l_partkey") % 10), F.collect_set(F.col("l_suppkey") % 10)).alias("v"))
     n = li.select((F.col("l_orderkey") - 1).alias("l_orderkey"), F.col("v").alias("w"))
     j = li.join(n, "l_orderkey").where(F.arrays_overlap("v", "w"))
     return j.select(F.col("l_orderkey").alias("a"), (F.col("l_orderkey") + 1).alias("b"), F.size(F.array_intersect("v", "w")).cast("long").alias("shared"))

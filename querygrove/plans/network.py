@@ -2,35 +2,56 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hypergeom
 from ..operators import expand, graph, select
 from ..sources.schema import PLANES, STEPS, Plane
-from ..sources.star import DRUG_THRESHOLD, Star
+from ..sources.star import DRUG_THRESHOLD, RELATIONS, Star
 from ..storage import materialise
 from .registry import query
 
 
-def planes(s: Star) -> dict[str, DataFrame]:
-    e, n = s.edges("PPI", "DISEASE_DISEASE", "DRUG_DRUG"), s.nodes
-    drug = Plane("drug", "Drug", ("DRUG_DRUG",), least_weight=DRUG_THRESHOLD)
-    return {k: graph.plane_edges(e, n, drug if k == "drug" else p) for k, p in PLANES.items()}
+class Planes(Mapping):
+    """The planes of a star by name, each derived when it is asked for."""
+
+    def __init__(self, s: Star) -> None:
+        self.s = s
+
+    def __getitem__(self, name: str) -> DataFrame:
+        p = Plane("drug", "Drug", ("DRUG_DRUG",), least_weight=DRUG_THRESHOLD) if name == "drug" else PLANES[name]
+        return self.s.kept(f"plane {name}", lambda: graph.plane_edges(self.s.edges(*(r for r in p.relations if r in RELATIONS)), self.s.nodes, p))
+
+    def __iter__(self):
+        return iter(PLANES)
+
+    def __len__(self) -> int:
+        return len(PLANES)
+
+
+def planes(s: Star) -> Planes:
+    return Planes(s)
 
 
 def layers(s: Star) -> DataFrame:
-    e = s.edges("GDA", "INDICATION", "DRUG_TARGET")
-    out = None
-    for r in ("GDA", "INDICATION", "DRUG_TARGET"):
-        one = graph.layer(e, r)
-        out = one if out is None else out.unionByName(one)
-    return out
+    def make() -> DataFrame:
+        e = s.edges("GDA", "INDICATION", "DRUG_TARGET")
+        a, b, c = (graph.layer(e, r) for r in ("GDA", "INDICATION", "DRUG_TARGET"))
+        return a.unionByName(b).unionByName(c)
+
+    return s.kept("layers", make)
 
 
 def hetero(s: Star) -> DataFrame:
     label = {"gene": "Gene", "disease": "Disease", "drug": "Drug"}
-    return graph.heterogeneous({label[k]: p for k, p in planes(s).items()}, layers(s))
+    return s.kept("hetero", lambda: graph.heterogeneous({label[k]: p for k, p in planes(s).items()}, layers(s)))
+
+
+def transition(s: Star) -> DataFrame:
+    return s.kept("transition", lambda: graph.transition(hetero(s)))
 
 
 _LAYERS = "x_l AS (SELECT DISTINCT type AS relation, label_a AS type_a, id_a AS a, label_b AS type_b, id_b AS b FROM g_edges WHERE type IN ('GDA', 'INDICATION', 'DRUG_TARGET'))"
@@ -118,7 +139,7 @@ def layer_coverage(s: Star) -> DataFrame:
 
 @query(_HET + " SELECT src_label, src, dst_label, dst, round(p, 9) AS p FROM x_p")
 def transition_matrix(s: Star) -> DataFrame:
-    return graph.transition(hetero(s)).withColumn("p", F.round("p", 9))
+    return transition(s).withColumn("p", F.round("p", 9))
 
 
 _SEEDS = "x_e AS (SELECT src_label AS label, src AS node, 1.0::DOUBLE / count(*) OVER () AS e FROM (SELECT DISTINCT src_label, src FROM x_h WHERE src IN ('S1', 'S2', 'P1')))"
@@ -135,7 +156,7 @@ _WALK = f"{_HET}, {_SEEDS}, {_rounds(6)}, x_s AS (SELECT label, node, x / (SELEC
 
 
 def _walk(s: Star) -> DataFrame:
-    m = materialise(graph.transition(hetero(s)), "matrix")
+    m = transition(s)
     start = m.where("src IN ('S1', 'S2', 'P1')").select(F.col("src_label").alias("label"), F.col("src").alias("node")).distinct()
     return graph.walk(m, start, rounds=6)
 
@@ -155,7 +176,7 @@ def rwr_topk_per_type(s: Star) -> DataFrame:
 @query()
 def rwr_converged(s: Star) -> DataFrame:
     """The walk until it stands."""
-    m = materialise(graph.transition(hetero(s)), "matrix")
+    m = transition(s)
     start = m.where("src IN ('S1', 'S2')").select(F.col("src_label").alias("label"), F.col("src").alias("node")).distinct()
     return graph.walk(m, start, rounds=60, tolerance=1e-10)
 
@@ -179,7 +200,7 @@ def plane_components(s: Star) -> DataFrame:
 @query()
 def plane_communities(s: Star) -> DataFrame:
     """Label propagation on the gene plane."""
-    return graph.communities(materialise(planes(s)["gene"], "plane"), rounds=5)
+    return graph.communities(planes(s)["gene"], rounds=5)
 
 
 _CL = "x_c AS (SELECT DISTINCT id_b AS node FROM g_edges WHERE type = 'DRUG_TARGET' AND id_a IN ('S1', 'S2') AND id_b IN (SELECT src FROM g_plane WHERE plane = 'gene'))"
@@ -202,13 +223,13 @@ def _cluster(s: Star, plane: DataFrame) -> DataFrame:
 SELECT node, kb, k FROM x_q WHERE kb = mb""")
 def diamond_candidates(s: Star) -> DataFrame:
     """Candidates left after pruning."""
-    p = materialise(planes(s)["gene"], "plane")
+    p = planes(s)["gene"]
     return expand.pruned(expand.candidates(p, _cluster(s, p))).select("node", "kb", "k")
 
 
 @query(f"{_CL}, {_tail_sql('x_t', 'x_c')} SELECT node, kb, k, round(p, 8) AS p_value FROM x_t")
 def diamond_pvalues(s: Star) -> DataFrame:
-    p = materialise(planes(s)["gene"], "plane")
+    p = planes(s)["gene"]
     return expand.scored(p, _cluster(s, p)).select("node", "kb", "k", F.round("p_value", 8).alias("p_value"))
 
 
@@ -224,24 +245,24 @@ def _grown(n: int) -> str:
 @query(_grown(3))
 def diamond_k3(s: Star) -> DataFrame:
     """Three nodes added one by one, by joins."""
-    p = materialise(planes(s)["gene"], "plane")
+    p = planes(s)["gene"]
     return expand.grow_stepwise(p, _cluster(s, p), 3).withColumn("p_value", F.round("p_value", 8))
 
 
 @query(_grown(3))
 def diamond_kernel(s: Star) -> DataFrame:
     """The same by the kernel that runs side by side."""
-    p = materialise(planes(s)["gene"], "plane")
+    p = planes(s)["gene"]
     runs = _cluster(s, p).groupBy().agg(F.lit("r").alias("run"), F.array_sort(F.collect_set("node")).alias("seeds"), F.lit(3).alias("steps"))
-    return expand.run_all(expand.network(p), runs).select("iteration", "node", "k", "kb", F.round("p_value", 8).alias("p_value"))
+    return expand.run_all(p, runs).select("iteration", "node", "k", "kb", F.round("p_value", 8).alias("p_value"))
 
 
 @query()
 def diamond_all_suppliers(s: Star) -> DataFrame:
     """Ten nodes for every supplier with enough targets, side by side."""
-    p = materialise(planes(s)["gene"], "plane")
+    p = planes(s)["gene"]
     seeds = select.all_seeds(s.edges("DRUG_TARGET"), s.nodes, STEPS["drug_a_gene"], p).where("n_seeds >= 5")
-    return expand.run_all(expand.network(p), seeds.select(F.col("entity").alias("run"), "seeds", F.lit(10).alias("steps")))
+    return expand.run_all(p, seeds.select(F.col("entity").alias("run"), "seeds", F.lit(10).alias("steps")))
 
 
 _COMP = f"""{_CL}, x_i AS (SELECT src, dst FROM g_plane WHERE plane = 'gene' AND src IN (SELECT node FROM x_c) AND dst IN (SELECT node FROM x_c)),
@@ -257,13 +278,13 @@ def _components(s: Star, p: DataFrame) -> DataFrame:
 
 @query(_COMP + " SELECT node, component FROM x_k")
 def cluster_components(s: Star) -> DataFrame:
-    p = materialise(planes(s)["gene"], "plane")
+    p = planes(s)["gene"]
     return _components(s, p)
 
 
 @query(_COMP + " SELECT node, ks, kb, degree - ks + kb AS k FROM x_t JOIN g_degree g USING (node) WHERE g.plane = 'gene'")
 def c3_touched_components(s: Star) -> DataFrame:
-    p = materialise(planes(s)["gene"], "plane")
+    p = planes(s)["gene"]
     return expand.touches(p, _components(s, p))
 
 
@@ -272,16 +293,16 @@ x_l AS (SELECT dst AS node, component FROM g_plane JOIN x_k ON x_k.node = src WH
 SELECT a, b, (SELECT count(DISTINCT component) FROM x_l WHERE node IN (a, b)) AS kb, p.degree + q.degree - 2 - coalesce(ta.ks, 0) - coalesce(tb.ks, 0) + (SELECT count(DISTINCT component) FROM x_l WHERE node IN (a, b)) AS k
 FROM x_o JOIN g_degree p ON p.plane = 'gene' AND p.node = a JOIN g_degree q ON q.plane = 'gene' AND q.node = b LEFT JOIN x_t ta ON ta.node = a LEFT JOIN x_t tb ON tb.node = b""")
 def c3_edge_candidates(s: Star) -> DataFrame:
-    p = materialise(planes(s)["gene"], "plane")
+    p = planes(s)["gene"]
     return expand.edge_touches(p, _components(s, p))
 
 
 @query()
 def c3_expansion(s: Star) -> DataFrame:
     """Growth, then joining of components, for every supplier with enough targets."""
-    p = materialise(planes(s)["gene"], "plane")
+    p = planes(s)["gene"]
     seeds = select.all_seeds(s.edges("DRUG_TARGET"), s.nodes, STEPS["drug_a_gene"], p).where("n_seeds >= 5")
-    return expand.run_all(expand.network(p), seeds.select(F.col("entity").alias("run"), "seeds", F.lit(5).alias("steps")), "diamond_c3")
+    return expand.run_all(p, seeds.select(F.col("entity").alias("run"), "seeds", F.lit(5).alias("steps")), "diamond_c3")
 
 
 @query("""SELECT kb, k, n, s, round(least(1.0::DOUBLE, coalesce(list_sum(list_transform(range(greatest(kb, k - (n - s)), least(k, s) + 1), lambda x:
@@ -305,7 +326,7 @@ def layer_crosstab(s: Star) -> DataFrame:
 SELECT node, kb, k FROM x_w WHERE kb = mb""")
 def c3_node_candidates(s: Star) -> DataFrame:
     """Candidates by components touched, pruned."""
-    p = materialise(planes(s)["gene"], "plane")
+    p = planes(s)["gene"]
     return expand.pruned(expand.touches(p, _components(s, p)).select("node", "kb", "k")).select("node", "kb", "k")
 
 

@@ -10,7 +10,7 @@ from ..operators import expand, graph, select, units
 from ..sources.schema import STEPS
 from ..sources.star import Star
 from ..storage import materialise
-from .network import hetero, planes
+from .network import planes, transition
 from .registry import query
 
 _ENT = "x_ent AS (SELECT label, id FROM g_nodes WHERE id IN ('S1', 'C7', 'P3'))"
@@ -27,7 +27,7 @@ def entities(s: Star) -> DataFrame:
 
 
 def _edges(s: Star) -> DataFrame:
-    return materialise(s.edges(), "edges")
+    return s.edges()
 
 
 @query(_HARVEST + " SELECT step, entity_label, entity_id, seed FROM x_harvest")
@@ -67,7 +67,7 @@ def entity_validation(s: Star) -> DataFrame:
 #: A made-up long table of reasons, by arithmetic on suppliers and parts, for the set operations.
 _REASONS = """x_reasons AS (SELECT 'Gene' AS label, 'P' || l_partkey AS id, 'Drug' AS entity_label, 'S' || l_suppkey AS entity_id, 'drug_a_gene' AS step,
 CASE WHEN l_linenumber <= 2 THEN 'semilla' ELSE 'agregado' END AS role, CASE WHEN l_linenumber > 2 THEN l_linenumber END AS iteration,
-CASE WHEN l_linenumber <= 2 THEN NULL WHEN l_orderkey % 3 = 0 THEN 'diamond' WHEN l_orderkey % 3 = 1 THEN 'c3' ELSE 'rwr' END AS method FROM lineitem WHERE l_suppkey <= 5)"""
+CASE WHEN l_linenumber <= 2 THEN NULL WHEN l_orderkey % 3 = 0 THEN 'diamond' WHEN l_orderkey % 3 = 1 THEN 'c3' ELSE 'rwr' END AS method FROM lineitem)"""
 
 
 def _reasons(s: Star) -> DataFrame:
@@ -188,28 +188,28 @@ def text_units(s: Star) -> DataFrame:
     return u.select("id", "text", F.col("n_tokens").cast("long").alias("n_tokens"), F.size("relationship_ids").cast("long").alias("n_relationships"))
 
 
-@query(r"""x_s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), 1) AS i FROM documents WHERE lang = 'en'),
+@query(r"""x_s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), 1) AS i FROM documents),
 x_n AS (SELECT *, sum(len(regexp_extract_all(s, '[^ \t\n\r\f\v]+'))) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM x_s),
 x_f AS (SELECT doc_id, string_agg(s, ' ' ORDER BY i) FILTER (run <= 60) AS t FROM x_n GROUP BY 1)
 SELECT doc_id, coalesce(t, array_to_string(list_slice(regexp_extract_all(text, '[^ \t\n\r\f\v]+'), 1, 60), ' ')) AS short FROM x_f JOIN documents USING (doc_id)""")
 def truncate_text(s: Star) -> DataFrame:
     """Whole sentences within a budget of words."""
-    return s.table("documents").where("lang = 'en'").select("doc_id", X.shortened(F.col("text"), 60).alias("short"))
+    return s.table("documents").select("doc_id", X.shortened(F.col("text"), 60).alias("short"))
 
 
-@query(r"""SELECT doc_id, len(string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS sentences FROM documents WHERE lang = 'en'""", graph=False)
+@query(r"""SELECT doc_id, len(string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS sentences FROM documents""", graph=False)
 def sentence_count(s: Star) -> DataFrame:
-    return s.table("documents").where("lang = 'en'").select("doc_id", F.size(X.sentences(F.col("text"))).cast("long").alias("sentences"))
+    return s.table("documents").select("doc_id", F.size(X.sentences(F.col("text"))).cast("long").alias("sentences"))
 
 
 def select_subgraph(s: Star, asked: DataFrame, method: str = "diamond_c3", rwr: bool = True, steps: dict[str, int] | None = None) -> DataFrame:
     """The selection of some entities, in the long form."""
-    p = {k: materialise(v, "plane") for k, v in planes(s).items()}
+    p = planes(s)
     nets = {k: expand.network(v) for k, v in p.items()}
     got = materialise(select.project_all(_edges(s), asked, p, nets, method=method, steps=steps), "selection")
     if not rwr:
         return got
-    matrix = materialise(graph.transition(hetero(s)), "matrix")
+    matrix = transition(s)
     return materialise(select.refine(got, matrix, rounds=20, digits=10), "selection")
 
 

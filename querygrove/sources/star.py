@@ -6,12 +6,14 @@ pathways. Ids are texts that start with a letter of their label.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import band_pairs, jaccard_pairs
+from ..storage import materialise
 
 
 def pid(col: str) -> Column:
@@ -30,12 +32,36 @@ def gid(col: str) -> Column:
     return F.concat(F.lit("N"), F.col(col).cast("string"))
 
 
+#: What was derived from tables of a folder, by application, place, state of the tables and name.
+_kept: dict[tuple, DataFrame] = {}
+TABLES = ("customer", "lineitem", "nation", "orders", "part", "supplier")
+
+
 class Star:
-    """The tables of a folder, and the graph's views over them."""
+    """The tables of a folder, and the graph's views over them. Edges, planes, layers and the
+    transition matrix are derived once for an application and kept in the shared folder; tables
+    that have changed since are read anew."""
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir
 
+    @cached_property
+    def state(self) -> tuple:
+        """When the tables were last written, and how long they are."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        out = []
+        for t in TABLES:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.dir}/{t}.parquet")
+            fs = path.getFileSystem(conf)
+            out.append((fs.getFileStatus(path).getModificationTime(), fs.getContentSummary(path).getLength()))
+        return tuple(out)
+
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.dir, self.state, name)
+        if key not in _kept:
+            _kept[key] = materialise(make(), name.lower().replace(" ", "-"))
+        return _kept[key]
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
@@ -57,6 +83,9 @@ class Star:
 
     def edges_of(self, relation: str) -> DataFrame:
         """(type, label_a, id_a, label_b, id_b, weight, origin), each edge once."""
+        return self.kept(f"edges {relation}", lambda: self._derived(relation))
+
+    def _derived(self, relation: str) -> DataFrame:
         none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
 
         def edge(df: DataFrame, la: str, a: Column, lb: str, b: Column, weight: Column = none, origin: Column = text) -> DataFrame:

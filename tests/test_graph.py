@@ -81,6 +81,33 @@ def test_growth_by_joins_equals_kernel(spark):
     assert sorted(map(tuple, a.select(*cols).collect())) == sorted(map(tuple, b.select(*cols).collect()))
 
 
+@pytest.mark.parametrize("method", ["diamond", "c3", "diamond_c3"])
+def test_growth_above_the_bound(spark, monkeypatch, method):
+    """The same rows with the bound at ten edges as without."""
+    rng = random.Random(21)
+    pairs = list({tuple(sorted(rng.sample([f"n{i:03d}" for i in range(160)], 2))) for _ in range(190)})
+    runs = spark.createDataFrame([(f"r{k}", rng.sample([f"n{i:03d}" for i in range(160)], 7), 2) for k in range(6)] + [("z", ["none"], 2)], "run string, seeds array<string>, steps int")
+    cols = ["run", "iteration", "node", "k", "kb", F.round("p_value", 9).alias("p"), "method"]
+    want = sorted(map(tuple, expand.run_all(plane_of(spark, pairs), runs, method).select(*cols).collect()))
+    monkeypatch.setattr(expand, "BROADCAST_EDGES", 10)
+    got = sorted(map(tuple, expand.run_all(plane_of(spark, pairs), runs, method).select(*cols).collect()))
+    assert got == want and (want or method == "c3")
+    with pytest.raises(ValueError):
+        expand.small_network(plane_of(spark, pairs))
+
+
+def test_joining_by_joins_equals_kernel(spark):
+    """Whole runs of joining components, with a limit that lets nodes and edges in."""
+    rng = random.Random(3)
+    pairs = list({tuple(sorted(rng.sample([f"n{i:02d}" for i in range(40)], 2))) for _ in range(46)})
+    net = net_of(pairs)
+    seeds = {f"r{k}": sorted({s for s in rng.sample([f"n{i:02d}" for i in range(40)], 5) if s in net.ids}) for k in range(6)}
+    want = [(r, i, net.ids[x[0]], x[1], x[2], round(x[3], 9)) for r, s in seeds.items() for i, x in enumerate(expand.connect(net, net.positions(s), limit=0.9)[0], 1)]
+    cluster = spark.createDataFrame([(r, n) for r, s in seeds.items() for n in s], "run string, node string")
+    got = expand.connect_many(plane_of(spark, pairs), cluster, limit=0.9).select("run", "iteration", "node", "k", "kb", F.round("p_value", 9)).collect()
+    assert len(want) > 6 and sorted(map(tuple, got)) == sorted(want)
+
+
 def test_pruning_keeps_the_best(spark):
     rng = random.Random(9)
     pairs = list({tuple(sorted(rng.sample([f"n{i:02d}" for i in range(25)], 2))) for _ in range(70)})
