@@ -10,7 +10,7 @@ from ..operators import expand, graph, select, units
 from ..sources.schema import STEPS
 from ..sources.star import Star
 from ..storage import materialise
-from .network import planes, transition
+from .network import ROUNDS, planes, transition
 from .registry import query
 
 _ENT = "x_ent AS (SELECT label, id FROM g_nodes WHERE id IN ('S1', 'C7', 'P3'))"
@@ -210,7 +210,7 @@ def select_subgraph(s: Star, asked: DataFrame, method: str = "diamond_c3", rwr:
     if not rwr:
         return got
     matrix = transition(s)
-    return materialise(select.refine(got, matrix, rounds=20, digits=10), "selection")
+    return materialise(select.refine(got, matrix, rounds=ROUNDS, digits=10), "selection")
 
 
 @query()
