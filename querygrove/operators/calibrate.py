@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import expand
+from .joins import number_from
 
 #: Names of the three bins.
 BINS = ("bajo", "medio", "alto")
@@ -27,8 +28,23 @@ def buildable(seeds: DataFrame, population: int) -> tuple[DataFrame, DataFrame]:
 
 def bins(seeds: DataFrame, least: int = 5, by: list[str] | None = None) -> DataFrame:
     """Three bins of equal size by (n_seeds, entity) of entities with enough seeds; larger first."""
-    w = W.partitionBy(*(by or [F.lit(0)])).orderBy("n_seeds", "entity")
-    return seeds.where(F.col("n_seeds") >= least).withColumn("bin", F.element_at(F.array(*map(F.lit, BINS)), F.ntile(3).over(w)))
+    names, some = F.array(*map(F.lit, BINS)), seeds.where(F.col("n_seeds") >= least)
+    if by:
+        return some.withColumn("bin", F.element_at(names, F.ntile(3).over(W.partitionBy(*by).orderBy("n_seeds", "entity"))))
+    n = number_from(some, 0, "n_seeds", "entity", into="__place")
+    total = some.count()
+    size, more = divmod(total, 3)
+    edge = more * (size + 1)
+    tile = F.when(F.col("__place") < edge, F.floor(F.col("__place") / (size + 1))).otherwise(more + F.floor((F.col("__place") - edge) / max(size, 1)))
+    return n.withColumn("bin", F.element_at(names, (tile + 1).cast("int"))).drop("__place")
+
+
+def enough(binned: DataFrame, n_per_bin: int, by: list[str] | None = None) -> DataFrame:
+    """binned, or an error where a cell has fewer than three bins of n_per_bin cases."""
+    few = binned.groupBy(*(by or [])).agg(F.count("*").alias("n")).where(F.col("n") < 3 * n_per_bin).first()
+    if few is not None:
+        raise ValueError(f"{few['n']} cases are too few for three bins of {n_per_bin}")
+    return binned
 
 
 def borders(binned: DataFrame, by: list[str] | None = None) -> DataFrame:

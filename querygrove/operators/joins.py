@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.schema import RELATION_OF
+from ..storage import materialise
 
 
 def band_pairs(df: DataFrame, key: str, same: list[str], value: str, width: float) -> DataFrame:
@@ -43,7 +44,11 @@ def either_key(left: DataFrame, right: DataFrame, keys: list[str], keep: list[st
 def bridge(groups: DataFrame, direct: DataFrame, index: DataFrame, mapping: DataFrame) -> DataFrame:
     """(target, source): groups by id, then mapped ids whose source no group has taken.
 
-    groups(id, target), index(id, source), direct(id, target), mapping(id, source)."""
+    groups(id, target), index(id, source), direct(id, target), mapping(id, source). A group that the
+    index lacks is an error."""
+    lost = [r[0] for r in groups.join(index, "id", "left_anti").orderBy("id").select("id").take(5)]
+    if lost:
+        raise ValueError(f"groups without a source: {', '.join(map(str, lost))}")
     first = groups.join(index, "id").select("target", "source")
     rest = direct.join(mapping, "id").select("target", "source").join(first.select("source"), "source", "left_anti").select("target", "source")
     return first.unionByName(rest)
@@ -79,9 +84,27 @@ def fan_out(edges: DataFrame, members: DataFrame) -> DataFrame:
     return edges.where("c1 <> c2").join(m1, "c1").join(m2, "c2").select("a", "b", F.bround("weight", 4).alias("weight"))
 
 
-def number_from(df: DataFrame, start: int, order: Column | str, into: str = "node_index") -> DataFrame:
-    """Consecutive numbers from start by an order of the whole (small) table."""
-    return df.withColumn(into, F.lit(start) + F.row_number().over(W.orderBy(order)) - 1)
+def number_from(df: DataFrame, start: int, *order: Column | str, into: str = "node_index") -> DataFrame:
+    """Consecutive numbers from start by an order of the whole table, nulls first and ties as they
+    come. Rows are sorted in ranges and counted by range, so no task sees all of them."""
+    by = [F.col(o) if isinstance(o, str) else o for o in order]
+    dealt = df.select("*", *(o.alias(f"__o{i}") for i, o in enumerate(by)))
+    keys = [f"__o{i}" for i in range(len(by))]
+    parts = dealt.repartitionByRange(*keys).withColumn("__part", F.spark_partition_id())
+    parts = materialise(parts, "ranges")
+    size = parts.groupBy("__part").agg(F.count("*").alias("__n"))
+    ahead = size.select("__part", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__ahead"))  # a row for each range
+    place = F.col("__ahead") + F.row_number().over(W.partitionBy("__part").orderBy(*keys))
+    numbered = parts.join(F.broadcast(ahead), "__part").withColumn(into, F.lit(start) + place - 1)
+    return numbered.drop("__part", "__ahead", *keys)
+
+
+def require_one_to_one(df: DataFrame, key: str) -> DataFrame:
+    """df, or an error that names some keys that occur more than once."""
+    bad = [r[0] for r in not_one_to_one(df, key).orderBy(key).select(key).take(5)]
+    if bad:
+        raise ValueError(f"{key} isn't one to one: {', '.join(map(str, bad))}")
+    return df
 
 
 def stack(*families: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from .joins import number_from
 
 
 def factoid(answers: DataFrame, gold: DataFrame) -> DataFrame:
@@ -169,7 +170,7 @@ def hash_bootstrap(df: DataFrame, key: str, value: str, draws: int = 200) -> Dat
     """(draw, mean): resampled means whose picks follow from a digest of draw and place, so SQL can
     check them."""
     n = df.count()
-    numbered = df.select(F.row_number().over(W.orderBy(key)).alias("i"), value)
+    numbered = number_from(df.select(key, value), 1, key, into="i").select("i", value)
     places = df.sparkSession.range(draws).select(F.col("id").alias("draw")).withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(n))))
     pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("draw").cast("string"), F.col("place").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % n + 1
     return places.withColumn("i", pick).join(numbered, "i").groupBy("draw").agg(F.avg(value).alias("mean"))

@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .joins import number_from
+
+#: Words to which a node's own text is cut, and the document that holds all units.
+MOST_WORDS, DOCUMENT = 150, "subgrafo"
 
 
 def titles(nodes: DataFrame) -> DataFrame:
@@ -27,29 +31,50 @@ def relationships(edges: DataFrame, titled: DataFrame) -> DataFrame:
     ends = edges.select(F.explode(F.array("id_a", "id_b")).alias("id"))
     d = ends.groupBy("id").agg(F.count("*").alias("degree"))
     e = e.join(d.select(F.col("id").alias("id_a"), F.col("degree").alias("d_a")), "id_a").join(d.select(F.col("id").alias("id_b"), F.col("degree").alias("d_b")), "id_b")
-    r = F.row_number().over(W.orderBy("type", "id_a", "id_b")) - 1
     say = X.sentence(F.col("type"), F.col("title_a"), F.col("label_a"), F.col("title_b"))
-    return e.select(r.alias("r"), "type", F.col("title_a").alias("source"), F.col("title_b").alias("target"), "id_a", "id_b", say.alias("description"), F.lit(1.0).alias("weight"), (F.col("d_a") + F.col("d_b")).alias("combined_degree"))
+    e = number_from(e, 0, "type", "id_a", "id_b", into="r")
+    return e.select("r", "type", F.col("title_a").alias("source"), F.col("title_b").alias("target"), "id_a", "id_b", say.alias("description"), F.lit(1.0).alias("weight"), (F.col("d_a") + F.col("d_b")).alias("combined_degree"))
 
 
-def entities(titled: DataFrame, edges: DataFrame, texts: DataFrame | None = None, most_words: int = 150) -> DataFrame:
-    """(id, title, type, description, degree): the label, the title, and a shortened text if there is one."""
-    ends = edges.select(F.explode(F.array("id_a", "id_b")).alias("id"))
-    d = ends.groupBy("id").agg(F.count("*").alias("degree"))
-    e = titled.join(d, "id", "left")
-    e = e.join(texts.select("label", "id", X.shortened(F.col("text"), most_words).alias("text")), ["label", "id"], "left") if texts is not None else e.withColumn("text", F.lit(None).cast("string"))
+def _own(titled: DataFrame, texts: DataFrame | None, most_words: int) -> DataFrame:
+    """titled with `text`: the node's own, cut to whole sentences of most_words words; null without one."""
+    if texts is None:
+        return titled.withColumn("text", F.lit(None).cast("string"))
+    return titled.join(texts.select("label", "id", X.shortened(F.col("text"), most_words).alias("text")), ["label", "id"], "left")
+
+
+def entities(titled: DataFrame, edges: DataFrame, texts: DataFrame | None = None, most_words: int = MOST_WORDS) -> DataFrame:
+    """(id, title, type, description, degree): the label, the title, and a shortened text if there is
+    one. Degrees are those of a node, by label and id."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("label_a").alias("label"), F.col("id_a").alias("id")), F.struct(F.col("label_b").alias("label"), F.col("id_b").alias("id")))).alias("e")).select("e.*")
+    e = _own(titled.join(ends.groupBy("label", "id").agg(F.count("*").alias("degree")), ["label", "id"], "left"), texts, most_words)
     say = F.concat("label", F.lit(" "), "title", F.lit("."), F.coalesce(F.concat(F.lit(" "), "text"), F.lit("")))
-    return e.select("id", "title", F.upper("label").alias("type"), say.alias("description"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    return e.select("label", "id", "title", F.upper("label").alias("type"), say.alias("description"), F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
-def text_units(titled: DataFrame, relations: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """(id, text, n_tokens, relationship_ids): a node's text, if any, and the sentences of its edges in
-    the order of the relationships; tokens are words."""
+def text_units(titled: DataFrame, relations: DataFrame, texts: DataFrame | None = None, most_words: int = MOST_WORDS) -> DataFrame:
+    """(label, id, text, n_tokens, relationship_ids): a node's shortened text, if any, and the sentences
+    of its edges in the order of the relationships; tokens are words."""
     sent = relations.select(F.explode(F.array("id_a", "id_b")).alias("id"), "r", "description")
     s = sent.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("r", "description"))).alias("s"))
-    u = titled.join(s, "id", "left")
-    u = u.join(texts.select("label", "id", "text"), ["label", "id"], "left") if texts is not None else u.withColumn("text", F.lit(None).cast("string"))
-    parts = F.concat(F.when(F.col("text").isNotNull(), F.array("text")).otherwise(F.array().cast("array<string>")), F.coalesce(F.transform("s", lambda x: x["description"]), F.array().cast("array<string>")))
+    u = _own(titled.join(s, "id", "left"), texts, most_words)
+    none = F.array().cast("array<string>")
+    parts = F.concat(F.when(F.col("text").isNotNull(), F.array("text")).otherwise(none), F.coalesce(F.transform("s", lambda x: x["description"]), none))
     text = F.array_join(parts, " ")
     tokens = F.when(F.trim(text) == "", 0).otherwise(F.size(F.split(F.trim(text), r"\s+")))
-    return u.select("id", text.alias("text"), tokens.alias("n_tokens"), F.coalesce(F.transform("s", lambda x: F.concat(F.lit("r"), x["r"].cast("string"))), F.array().cast("array<string>")).alias("relationship_ids"))
+    return u.select("label", "id", text.alias("text"), tokens.alias("n_tokens"), F.coalesce(F.transform("s", lambda x: F.concat(F.lit("r"), x["r"].cast("string"))), none).alias("relationship_ids"))
+
+
+def unit_tables(nodes: DataFrame, edges: DataFrame, texts: DataFrame | None = None, most_words: int = MOST_WORDS) -> dict[str, DataFrame]:
+    """The tables of entities, relationships and text_units of a subgraph, nodes(label, id, name) and
+    its edges, with all of their columns. Rows are numbered by label and id, or by type and ends."""
+    titled = titles(nodes).select("label", "id", "title")
+    rel = relationships(edges, titled)
+    tag = lambda head, c: F.concat(F.lit(head), c)
+    e = number_from(entities(titled, edges, texts, most_words), 0, "label", "id", into="human_readable_id")
+    u = number_from(text_units(titled, rel, texts, most_words), 0, "label", "id", into="human_readable_id")
+    return {
+        "entities": e.select(tag("e_", F.col("id")).alias("id"), "human_readable_id", "title", "type", "description", F.array(tag("t_", F.col("id"))).alias("text_unit_ids"), F.lit(1).alias("frequency"), "degree"),
+        "relationships": rel.select(tag("r", F.col("r").cast("string")).alias("id"), F.col("r").alias("human_readable_id"), "source", "target", "description", "weight", "combined_degree", F.array(tag("t_", F.col("id_a")), tag("t_", F.col("id_b"))).alias("text_unit_ids")),
+        "text_units": u.select(tag("t_", F.col("id")).alias("id"), "human_readable_id", "text", "n_tokens", F.lit(DOCUMENT).alias("document_id"), F.array(tag("e_", F.col("id"))).alias("entity_ids"), "relationship_ids", F.array().cast("array<string>").alias("covariate_ids")),
+    }

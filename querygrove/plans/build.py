@@ -297,3 +297,22 @@ def indication_fanout(s: Star) -> DataFrame:
     """Indications of drugs as indications of their compounds."""
     d = s.edges("INDICATION").select(F.col("id_a").alias("compound"), F.col("id_b").alias("disease"))
     return d.join(s.table("supplier").where("s_acctbal > 0").select(sid("s_suppkey").alias("compound")), "compound").distinct()
+
+
+@query("""SELECT DISTINCT drug, gene, tag FROM (SELECT 'S' || l_suppkey AS drug, 'A' || unnest([l_partkey, l_partkey + 1]) AS accession, l_returnflag AS tag FROM lineitem WHERE l_quantity >= 45)
+JOIN (SELECT 'A' || p_partkey AS accession, 'P' || unnest([p_partkey, p_partkey + 2]) AS gene FROM part) USING (accession) WHERE gene IN (SELECT 'P' || p_partkey FROM part WHERE p_size > 10)""", graph=False)
+def compound_gene(s: Star) -> DataFrame:
+    """Compounds to genes over accessions, where both sides hold several in one text."""
+    text = lambda head, a, b, sep: F.concat(F.lit(head), a.cast("string"), F.lit(f"{sep} {head}"), b.cast("string"))
+    li, part = s.table("lineitem").where("l_quantity >= 45"), s.table("part")
+    compounds = li.select(sid("l_suppkey").alias("drug"), text("A", F.col("l_partkey"), F.col("l_partkey") + 1, ",").alias("targets"), F.col("l_returnflag").alias("tag"))
+    genes = part.select(F.concat(F.lit("A"), F.col("p_partkey").cast("string")).alias("accession"), text("P", F.col("p_partkey"), F.col("p_partkey") + 2, ";").alias("gene_ids"))
+    return joins.accession_join(compounds, genes, part.where("p_size > 10").select(pid("p_partkey").alias("id")))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 2 THEN 'CHEMBL' || c_custkey END AS chembl_id, CAST(NULL AS VARCHAR) AS ccd, c_mktsegment AS cluster_id FROM customer""", graph=False)
+def optional_ids(s: Star) -> DataFrame:
+    """Optional ids as texts or null: empty ones, texts for none, and a column that isn't there."""
+    k = F.col("c_custkey")
+    written = F.when(k % 3 == 0, "nan").when(k % 3 == 1, "  ").otherwise(F.concat(F.lit(" CHEMBL"), k.cast("string"), F.lit(" ")))
+    return joins.project_ids(s.table("customer").select("c_custkey", written.alias("chembl_id"), F.col("c_mktsegment").alias("cluster_id")), ["chembl_id", "ccd", "cluster_id"], ["c_custkey"])

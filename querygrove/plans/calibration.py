@@ -120,3 +120,9 @@ def half_even(s: Star) -> DataFrame:
     """Rounding halves to even."""
     x = (F.col("l_linenumber") + 0.5).alias("half")
     return s.table("lineitem").select(x).distinct().select("half", F.bround("half").cast("long").alias("rounded"))
+
+
+@query("SELECT event_type, round(avg(value), 6) AS value, count(*) AS cases FROM (SELECT event_type, user_id, avg(value) AS value FROM events WHERE value IS NOT NULL GROUP BY 1, 2) GROUP BY 1", graph=False)
+def mean_of_means(s: Star) -> DataFrame:
+    """The mean over cases of each case's mean."""
+    return K.mean_of_means(s.table("events").where("value IS NOT NULL"), "user_id", ["event_type"], "value").withColumn("value", F.round("value", 6))

@@ -79,7 +79,7 @@ def _rouge_scores(s: Star, skip: int, singles: bool) -> DataFrame:
     a = s.table("conversations").select("conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("question"), X.words(F.col("text")).alias("w"))
     b = s.table("benchmark").select(F.col("item_id").alias("reference"), X.words(F.col("text")).alias("w"))
     n = max(b.count(), 1)
-    place = number_from(b.select("reference"), 0, "reference", "place").withColumn("place", F.col("place").cast("long"))
+    place = number_from(b.select("reference"), 0, "reference", into="place").withColumn("place", F.col("place").cast("long"))
     dealt = a.withColumn("place", F.pmod("conv_id", F.lit(n)).cast("long")).join(place, "place").select("question", "reference", "w")
     scores = M.best_of(M.rouge_dealt(dealt, b, skip, singles, small=n <= SMALL), ["recall", "f1"])
     return scores.select("question", F.round("recall", 9).alias("recall"), F.round("f1", 9).alias("f1"))

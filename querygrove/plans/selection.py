@@ -176,7 +176,7 @@ def relationships_table(s: Star) -> DataFrame:
 @query(_REL + " SELECT c.id, title, upper(c.label) AS type, c.label || ' ' || title || '.' AS description, coalesce(degree, 0) AS degree FROM x_chosen c JOIN x_titles USING (label, id) LEFT JOIN x_deg ON x_deg.id = c.id")
 def entities_table(s: Star) -> DataFrame:
     titled, e, _ = _relations(s)
-    return units.entities(titled.join(_chosen(s).select("label", "id"), ["label", "id"], "left_semi"), e)
+    return units.entities(titled.join(_chosen(s).select("label", "id"), ["label", "id"], "left_semi"), e).drop("label")
 
 
 @query(_REL + """, x_sent AS (SELECT id_a AS id, r, description FROM x_rel UNION ALL SELECT id_b, r, description FROM x_rel)
@@ -188,6 +188,49 @@ def text_units(s: Star) -> DataFrame:
     return u.select("id", "text", F.col("n_tokens").cast("long").alias("n_tokens"), F.size("relationship_ids").cast("long").alias("n_relationships"))
 
 
+#: Texts of some nodes: of every part whose number a document bears, that document.
+_OWN = r"""x_doc AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS l, text FROM documents WHERE text IS NOT NULL),
+x_ss AS (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM x_doc), x_sn AS (SELECT *, sum(len(regexp_extract_all(s, '[^ \t\n\r\f\v]+'))) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM x_ss),
+x_sf AS (SELECT doc_id, string_agg(s, ' ' ORDER BY i) FILTER (run <= 150) AS t FROM x_sn GROUP BY 1),
+x_own AS (SELECT 'Gene' AS label, 'P' || doc_id AS id, coalesce(t, array_to_string(list_slice(regexp_extract_all(text, '[^ \t\n\r\f\v]+'), 1, 150), ' ')) AS own FROM x_sf JOIN x_doc USING (doc_id))"""
+
+
+def _tables(s: Star) -> dict[str, DataFrame]:
+    texts = s.table("documents").where("text IS NOT NULL").select(F.lit("Gene").alias("label"), F.concat(F.lit("P"), F.col("doc_id").cast("string")).alias("id"), "text")
+    return units.unit_tables(_chosen(s), select.induced(s.edges(), _chosen(s)), texts)
+
+
+_CHOSEN_TITLES = _TITLES.replace("FROM g_nodes)", "FROM g_nodes JOIN x_chosen USING (label, id))")
+_REL_OWN = _REL.replace(_TITLES, _CHOSEN_TITLES)
+
+
+@query(f"""{_REL_OWN}, {_OWN} SELECT 'e_' || c.id AS id, row_number() OVER (ORDER BY c.label, c.id) - 1 AS human_readable_id, title, upper(c.label) AS type, c.label || ' ' || title || '.' || coalesce(' ' || own, '') AS description,
+'t_' || c.id AS text_unit_ids, 1 AS frequency, coalesce(degree, 0) AS degree FROM x_chosen c JOIN x_titles USING (label, id) LEFT JOIN x_deg ON x_deg.id = c.id LEFT JOIN x_own o ON o.label = c.label AND o.id = c.id""")
+def unit_entities(s: Star) -> DataFrame:
+    """The table of entities, with texts of their own."""
+    e = _tables(s)["entities"]
+    return e.withColumn("text_unit_ids", F.array_join("text_unit_ids", ",")).withColumn("human_readable_id", F.col("human_readable_id").cast("long"))
+
+
+@query(_REL_OWN + """ SELECT 'r' || r AS id, r AS human_readable_id, a AS source, b AS target, description, 1.0::DOUBLE AS weight, combined_degree, 't_' || id_a || ',t_' || id_b AS text_unit_ids FROM x_rel""")
+def unit_relationships(s: Star) -> DataFrame:
+    """The table of relationships."""
+    r = _tables(s)["relationships"]
+    return r.withColumn("text_unit_ids", F.array_join("text_unit_ids", ",")).withColumn("human_readable_id", F.col("human_readable_id").cast("long"))
+
+
+@query(_REL_OWN + f""", {_OWN}, x_sent AS (SELECT id_a AS id, r, description FROM x_rel UNION ALL SELECT id_b, r, description FROM x_rel),
+x_body AS (SELECT c.label, c.id, string_agg(description, ' ' ORDER BY r) AS body, string_agg('r' || r, ',' ORDER BY r) AS rels FROM x_chosen c LEFT JOIN x_sent x ON x.id = c.id GROUP BY 1, 2),
+x_unit AS (SELECT b.label, b.id, concat_ws(' ', own, body) AS text, rels FROM x_body b LEFT JOIN x_own o ON o.label = b.label AND o.id = b.id)
+SELECT 't_' || id AS id, row_number() OVER (ORDER BY label, id) - 1 AS human_readable_id, text, CAST(len(regexp_extract_all(text, '[^ \\t\\n\\r\\f\\v]+')) AS BIGINT) AS n_tokens, 'subgrafo' AS document_id, 'e_' || id AS entity_ids, coalesce(rels, '') AS relationship_ids, '' AS covariate_ids FROM x_unit""")
+def unit_texts(s: Star) -> DataFrame:
+    """The table of text units: a node's own text, cut, and the sentences of its edges."""
+    u = _tables(s)["text_units"]
+    for c in ("entity_ids", "relationship_ids", "covariate_ids"):
+        u = u.withColumn(c, F.array_join(c, ","))
+    return u.withColumn("human_readable_id", F.col("human_readable_id").cast("long")).withColumn("n_tokens", F.col("n_tokens").cast("long"))
+
+
 @query(r"""x_s AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)), 1) AS i FROM documents),
 x_n AS (SELECT *, sum(len(regexp_extract_all(s, '[^ \t\n\r\f\v]+'))) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM x_s),
 x_f AS (SELECT doc_id, string_agg(s, ' ' ORDER BY i) FILTER (run <= 60) AS t FROM x_n GROUP BY 1)
