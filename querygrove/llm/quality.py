@@ -32,6 +32,8 @@ _LETTER[128:] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 
+#: Bytes of texts that are counted at a time.
+SLICE = 1 << 19
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -227,7 +229,7 @@ def cascade(texts: pa.Array, counts: dict[str, np.ndarray], rules: Sequence[Rule
 def verdicts(texts: pa.Array, rules: Sequence[Rule], tally: dict[str, int] | None = None) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """The contract's counts, base_failed and kept of each text."""
     parts = []
-    for part in K.slices(texts):
+    for part in K.slices(texts, SLICE):
         c = base_counts(part)
         failed = base_failed(c)
         alive = np.flatnonzero(~failed)
@@ -247,7 +249,7 @@ def measure(docs: DataFrame, rules: Sequence[Rule], rows: int, seed: int = 5) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = {n: [0, 0, 0.0] for n in by_name}
         for batch in batches:
-            for part in K.slices(batch.column(0)):
+            for part in K.slices(batch.column(0), SLICE):
                 c = base_counts(part)
                 alive = np.flatnonzero(~base_failed(c))
                 texts, c = part.take(pa.array(alive)), {k: v[alive] for k, v in c.items()}
