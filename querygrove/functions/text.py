@@ -6,7 +6,8 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,6 +119,26 @@ def slug(name: Column, ident: Column) -> Column:
     return F.concat(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), F.lit("_"), F.substring(ident, -6, 6))
 
 
+def unique_slugs(df: DataFrame, name: str, ident: str, into: str = "slug") -> DataFrame:
+    """df with a name for each row: the name in lower case and the id's end; where two rows would share
+    one, the whole id in all of them but the first by id."""
+    base = F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), "^_|_$", "")
+    short = F.concat(base, F.lit("_"), F.substring(ident, -6, 6))
+    place = F.row_number().over(W.partitionBy("__short").orderBy(ident))
+    return df.withColumn("__short", short).withColumn(into, F.when(place == 1, F.col("__short")).otherwise(F.concat(base, F.lit("_"), ident))).drop("__short")
+
+
+def run_name(report_words: int, map_words: int, answer_words: int, batch_tokens: int, community_size: int, with_text: bool = False) -> str:
+    """The name of a run's folder. The parts' names and their order."""
+    parts = {"reportes": report_words, "map": map_words, "respuesta": answer_words, "lotes": batch_tokens, "comunidades": community_size}
+    return "_".join([*(f"{k}{v}" for k, v in parts.items()), *(["texto"] if with_text else [])])
+
+
+def level_suffix(level: int, usual: int) -> str:
+    """What a file's name ends in for a level of communities; nothing for the usual one."""
+    return f"_nivel{level}" if level != usual else ""
+
+
 def share_group(x: Column) -> Column:
     """Names of shares; a half is in the upper group."""
     return F.when(x == 0, "nada").when(x < 0.5, "menos_de_la_mitad").otherwise("la_mitad_o_mas")

@@ -51,6 +51,35 @@ def borders(binned: DataFrame, by: list[str] | None = None) -> DataFrame:
     return binned.groupBy(*(by or []), "bin").agg(F.min("n_seeds").alias("low"), F.max("n_seeds").alias("high"), F.count("*").alias("n"))
 
 
+def attempt(binned: DataFrame, n_per_bin: int, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Cells with three bins of n_per_bin cases, and (by, cases, reason) of the others."""
+    n = binned.groupBy(*by).agg(F.count("*").alias("cases"))
+    few = n.where(F.col("cases") < 3 * n_per_bin)
+    reason = F.format_string(f"%d cases are too few for three bins of {n_per_bin}", "cases").alias("reason")
+    return binned.join(few, by, "left_anti"), few.select(*by, "cases", reason)
+
+
+def plan(seeds: DataFrame, populations: DataFrame, least: int = 5, n_per_bin: int = CASES) -> dict[str, DataFrame]:
+    """The cases to run and what was left out, from seeds(cell, entity, n_seeds) and
+    populations(cell, population), the nodes from which controls are drawn.
+
+    cases(cell, entity, n_seeds, bin), cells(cell, candidates, eligible, low, middle, high: the most
+    seeds of each bin), without_controls(cell, entity, n_seeds, population) and
+    too_few(cell, cases, reason)."""
+    s = seeds.join(F.broadcast(populations), "cell")  # a row for each cell
+    fits = F.col("n_seeds") * 2 <= F.col("population")
+    binned, few = attempt(bins(s.where(fits).select("cell", "entity", "n_seeds"), least, ["cell"]), n_per_bin, ["cell"])
+    top = lambda i, name: F.max(F.when(F.col("bin") == BINS[i], F.col("n_seeds"))).alias(name)
+    edges = binned.groupBy("cell").agg(F.count("*").alias("eligible"), top(0, "low"), top(1, "middle"), top(2, "high"))
+    candidates = s.where(fits).groupBy("cell").agg(F.count("*").alias("candidates"))
+    return {
+        "cases": sample(binned, ["cell", "bin"], "entity", n_per_bin).select("cell", "entity", "n_seeds", "bin"),
+        "cells": candidates.join(edges, "cell"),
+        "without_controls": s.where(~fits).select("cell", "entity", "n_seeds", "population"),
+        "too_few": few,
+    }
+
+
 def digest_order(*cols: Column | str, seed: int = 42) -> Column:
     """An order that looks random and is the same everywhere."""
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *cols).cast("binary"))
@@ -176,33 +205,35 @@ def growth_trace(net: expand.Network, seeds: list[int], added: list[int]) -> lis
     return out
 
 
-TRACE = "cell string, entity string, source string, draw int, iteration int, node string, in_lcc long, share double, lcc long"
+TRACE = "cell string, entity string, source string, draw int, iteration int, node string, in_lcc long, share double, lcc long, n_seeds int, moved int"
 
 
-def run_cases(cases: DataFrame, net: expand.Network, budget: int = 100, draws: int = RUNS, seed: int = 42) -> DataFrame:
+def run_cases(cases: DataFrame, net: expand.Network, budget: int = 100, draws: int = RUNS, seed: int = 42, forbidden: tuple[str, ...] = ()) -> DataFrame:
     """cases(cell, entity, seeds) to traces of real seeds and of both kinds of controls, case by case,
-    side by side over the cluster."""
+    side by side over the cluster; moved counts the
+    matched seeds from another class. Forbidden nodes are never drawn as controls."""
     shared = cases.sparkSession.sparkContext.broadcast(net)
 
     def go(batches):
         for pdf in batches:
             rows = []
             g = shared.value
+            never = g.positions(sorted(forbidden))
             for c in pdf.itertuples(index=False):
                 seeds = g.positions(sorted(c.seeds))
-                pool = np.setdiff1d(np.arange(len(g)), seeds)
+                pool = np.setdiff1d(np.arange(len(g)), [*seeds, *never])
                 case = zlib.crc32(f"{c.cell}|{c.entity}".encode()) ^ seed
-                todo = [("real", 0, seeds)]
+                todo = [("real", 0, seeds, None)]
                 for d in range(draws):
                     rng = np.random.default_rng([case, d])
                     if len(pool) >= len(seeds):
-                        todo.append(("uniform", d, uniform_controls(rng, pool, len(seeds)).tolist()))
-                        todo.append(("matched", d, matched_controls(rng, g, seeds, pool)[0]))
-                for source, d, s in todo:
+                        todo.append(("uniform", d, uniform_controls(rng, pool, len(seeds)).tolist(), None))
+                        todo.append(("matched", d, *matched_controls(rng, g, seeds, pool)))
+                for source, d, s, moved in todo:
                     added = [x[0] for x in expand.grow(g, s, budget)]
                     for i, n, share, size in growth_trace(g, s, added):
-                        rows.append((c.cell, c.entity, source, d, i, g.ids[added[i - 1]] if i else None, n, share, size))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in TRACE.split(", ")])
+                        rows.append((c.cell, c.entity, source, d, i, g.ids[added[i - 1]] if i else None, n, share, size, len(s), moved))
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in TRACE.split(", ")]).astype({"moved": "Int32"})
 
     return cases.repartition("cell", "entity").mapInPandas(go, TRACE)
 
@@ -221,7 +252,7 @@ def reach(net: expand.Network, seeds: list[int]) -> int:
 RECALL = "cell string, entity string, source string, draw int, share double, fold int, rank int, recall double, hidden long, universe long"
 
 
-def hidden_recall(cases: DataFrame, net: expand.Network, shares: tuple[float, ...] = (0.1, 0.2, 0.3), budget: int = 100, n: int = 5, nulls: int = 5, seed: int = 42) -> DataFrame:
+def hidden_recall(cases: DataFrame, net: expand.Network, shares: tuple[float, ...] = (0.1, 0.2, 0.3), budget: int = 100, n: int = 5, nulls: int = 5, seed: int = 42, forbidden: tuple[str, ...] = ()) -> DataFrame:
     """Recall of hidden seeds by rank: n folds of the real seeds for each share, from one generator of
     the case, smaller shares first; and, as what chance gives, n folds of the largest share of each
     of the first `nulls` matched control sets of the traces. universe: nodes that the visible seeds can reach."""
@@ -231,12 +262,13 @@ def hidden_recall(cases: DataFrame, net: expand.Network, shares: tuple[float, ..
         for pdf in batches:
             rows = []
             g = shared.value
+            never = g.positions(sorted(forbidden))
             for c in pdf.itertuples(index=False):
                 seeds = g.positions(sorted(c.seeds))
                 case = zlib.crc32(f"{c.cell}|{c.entity}".encode()) ^ seed
                 rng = np.random.default_rng(case)
                 todo = [("real", 0, s, f, seeds, hidden) for s in shares for f, hidden in enumerate(folds(rng, seeds, s, n) if len(seeds) > 1 else [])]
-                pool = np.setdiff1d(np.arange(len(g)), seeds)
+                pool = np.setdiff1d(np.arange(len(g)), [*seeds, *never])
                 for d in range(nulls if 1 < len(seeds) <= len(pool) else 0):
                     draw = np.random.default_rng([case, d])
                     uniform_controls(draw, pool, len(seeds))  # as in the traces, whose matched set comes second

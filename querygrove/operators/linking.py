@@ -98,3 +98,11 @@ def link(found: DataFrame, words: DataFrame, node_names: DataFrame, normal=X.nor
     hits = exact(c, words, node_names, normal).withColumn("how", F.lit("diccionario"))
     missed = found.join(hits, ["mention", "kind"], "left_anti").select("mention", "kind", X.without_brackets(F.col("english")).alias("name"))
     return hits.unionByName(segments(missed, words, node_names, normal).withColumn("how", F.lit("segmentos")))
+
+
+def same_sets(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """(question, same): whether both have the same (label, id) for a question; a question that one of
+    them lacks has none there."""
+    both = found.select("question", "label", "id", F.lit(1).alias("f"), F.lit(0).alias("e")).unionByName(expected.select("question", "label", "id", F.lit(0).alias("f"), F.lit(1).alias("e")))
+    one = both.groupBy("question", "label", "id").agg(F.max("f").alias("f"), F.max("e").alias("e"))
+    return one.groupBy("question").agg(F.min((F.col("f") == F.col("e")).cast("int")).cast("boolean").alias("same"))

@@ -7,16 +7,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+
+from ..sources.io import write
 from .joins import number_from
 
 
-def factoid(answers: DataFrame, gold: DataFrame) -> DataFrame:
+def factoid(answers: DataFrame, gold: DataFrame, item_nodes: DataFrame | None = None, gold_nodes: DataFrame | None = None) -> DataFrame:
     """answers(question, items array) and gold(question, synonym) to strict (first item), lax (any of
-    five) and mrr (1 / place of the first hit)."""
+    five) and mrr (1 / place of the first hit), and lax_synonyms, lax by synonyms alone. Where
+    item_nodes(item, node) and gold_nodes(question, gold, node) are given, a shared node is a hit too."""
     p = answers.select("question", F.posexplode(F.slice("items", 1, 5)).alias("pos", "item"))
-    hit = p.join(gold.select("question", F.col("synonym").alias("item")).distinct(), ["question", "item"], "left_semi").groupBy("question").agg(F.min("pos").alias("pos"))
-    m = answers.select("question").join(hit, "question", "left")
-    return m.select("question", F.coalesce((F.col("pos") == 0).cast("int"), F.lit(0)).alias("strict"), F.col("pos").isNotNull().cast("int").alias("lax"), F.coalesce(1.0 / (F.col("pos") + 1), F.lit(0.0)).alias("mrr"))
+    hit = p.join(gold.select("question", F.col("synonym").alias("item")).distinct(), ["question", "item"], "left_semi").select("question", "pos", F.lit(1).alias("synonym"))
+    if item_nodes is not None and gold_nodes is not None:
+        by_node = p.join(item_nodes, "item").join(gold_nodes.select("question", "node").distinct(), ["question", "node"], "left_semi")
+        hit = hit.unionByName(by_node.select("question", "pos", F.lit(0).alias("synonym")))
+    m = answers.select("question").join(hit.groupBy("question").agg(F.min("pos").alias("pos"), F.max("synonym").alias("synonym")), "question", "left")
+    return m.select("question", F.coalesce((F.col("pos") == 0).cast("int"), F.lit(0)).alias("strict"), F.col("pos").isNotNull().cast("int").alias("lax"), F.coalesce(1.0 / (F.col("pos") + 1), F.lit(0.0)).alias("mrr"), F.coalesce("synonym", F.lit(0)).alias("lax_synonyms"))
 
 
 def hits(answers: DataFrame, gold: DataFrame, item_nodes: DataFrame | None = None, gold_nodes: DataFrame | None = None) -> DataFrame:
@@ -29,15 +35,35 @@ def hits(answers: DataFrame, gold: DataFrame, item_nodes: DataFrame | None = Non
     return h.distinct()
 
 
-def lists(answers: DataFrame, gold: DataFrame, item_nodes: DataFrame | None = None, gold_nodes: DataFrame | None = None) -> DataFrame:
-    """precision (items that hit), recall (gold items hit) and f1 of each question."""
-    h = hits(answers, gold, item_nodes, gold_nodes).groupBy("question").agg(F.countDistinct("item").alias("hit"), F.countDistinct("gold").alias("found"))
+def _prf(answers: DataFrame, gold: DataFrame, hit: DataFrame) -> DataFrame:
+    h = hit.groupBy("question").agg(F.countDistinct("item").alias("hit"), F.countDistinct("gold").alias("found"))
     n = gold.groupBy("question").agg(F.countDistinct("gold").alias("golds"))
     m = answers.select("question", F.size(F.array_distinct("items")).alias("n")).join(n, "question", "left").join(h, "question", "left").na.fill(0)
     m = m.withColumn("precision", F.when(F.col("n") > 0, F.col("hit") / F.col("n")).otherwise(0.0)).withColumn("recall", F.when(F.col("golds") > 0, F.col("found") / F.col("golds")).otherwise(0.0))
     return m.select("question", "precision", "recall", f1(F.col("precision"), F.col("recall")).alias("f1"))
 
 
+def lists(answers: DataFrame, gold: DataFrame, item_nodes: DataFrame | None = None, gold_nodes: DataFrame | None = None) -> DataFrame:
+    """precision (items that hit), recall (gold items hit) and f1 of each question; with nodes also
+    f1_synonyms, the f1 that synonyms alone give."""
+    m = _prf(answers, gold, hits(answers, gold, item_nodes, gold_nodes))
+    if item_nodes is None or gold_nodes is None:
+        return m
+    return m.join(_prf(answers, gold, hits(answers, gold)).select("question", F.col("f1").alias("f1_synonyms")), "question")
+
+
+def dictionary_only(answers: DataFrame, gold: DataFrame, item_nodes: DataFrame, gold_nodes: DataFrame) -> DataFrame:
+    """(question, item, gold): hits of the gold items that no item of the answer hits by a synonym."""
+    by_name = hits(answers, gold).select("question", "gold").distinct()
+    return hits(answers, gold, item_nodes, gold_nodes).join(by_name, ["question", "gold"], "left_anti").select("question", "item", "gold")
+
+
+def accuracy(df: DataFrame, by: list[str], predicted: str, actual: str) -> DataFrame:
+    """(by, accuracy, answers): a null prediction is wrong."""
+    right = F.coalesce((F.col(predicted) == F.col(actual)).cast("int"), F.lit(0))
+    return df.groupBy(*by).agg(F.avg(right).alias("accuracy"), F.count("*").alias("answers"))
+
+
 def f1(p: Column, r: Column) -> Column:
     return F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
 
@@ -97,6 +123,16 @@ def best_of(scores: DataFrame, measures: list[str]) -> DataFrame:
     return scores.groupBy("question").agg(*(F.max(m).alias(m) for m in measures))
 
 
+def rouge_ideals(answers: DataFrame, ideals: DataFrame, references: DataFrame, skip: int, singles: bool = False, small: bool = False) -> DataFrame:
+    """(question, recall, f1, f1_first): each measure's largest over a question's ideals, on its own,
+    and f1 against the first. answers(question, abstains, w), ideals(question, reference, first);
+    an abstention, and an answer without words, has 0 in all."""
+    said = answers.where(~F.col("abstains")).select("question", "w").join(ideals.select("question", "reference"), "question")
+    scores = rouge_dealt(said, references, skip, singles, small).join(ideals, ["question", "reference"])
+    best = scores.groupBy("question").agg(F.max("recall").alias("recall"), F.max("f1").alias("f1"), F.max(F.when(F.col("first"), F.col("f1"))).alias("f1_first"))
+    return answers.select("question").join(best, "question", "left").na.fill(0.0, ["recall", "f1", "f1_first"])
+
+
 def coverage(gold_nodes: DataFrame, chosen: DataFrame) -> DataFrame:
     """(question, configuration, share): gold items with a node in the subgraph, of gold_nodes(question,
     gold, node) and chosen(question, configuration, node)."""
@@ -124,6 +160,36 @@ def compare(means: DataFrame, references: list[str], value: str = "value") -> Da
     return both.groupBy("configuration", "reference").agg(F.count("*").alias("questions"), F.avg(value).alias("mean"), F.avg(F.col(value) - F.col("ref")).alias("difference"))
 
 
+def compare_intervals(means: DataFrame, references: list[str], value: str = "value", draws: int = 10_000, seed: int = 42) -> DataFrame:
+    """compare with low and high, the percentile interval of the paired difference."""
+    ref = means.where(F.col("configuration").isin(*references)).select("question", F.col("configuration").alias("reference"), F.col(value).alias("ref"))
+    d = means.join(ref, "question").select("configuration", "reference", (F.col(value) - F.col("ref")).alias("difference"))
+    spread = bootstrap(d, ["configuration", "reference"], "difference", draws, seed).select("configuration", "reference", "low", "high")
+    return compare(means, references, value).join(spread, ["configuration", "reference"])
+
+
+def compare_groups(means: DataFrame, groups: DataFrame, references: list[str], inside: DataFrame, value: str = "value") -> DataFrame:
+    """(group, configuration, reference, questions, mean, difference, inside) of each group of
+    questions, groups(question, group); inside(question, configuration, share) is the share of the
+    gold in a subgraph, null where a configuration has none of its own."""
+    ref = means.where(F.col("configuration").isin(*references)).select("question", F.col("configuration").alias("reference"), F.col(value).alias("ref"))
+    m = means.join(groups, "question").join(inside.select("question", "configuration", "share"), ["question", "configuration"], "left").join(ref, "question")
+    return m.groupBy("group", "configuration", "reference").agg(F.count("*").alias("questions"), F.avg(value).alias("mean"), F.avg(F.col(value) - F.col("ref")).alias("difference"), F.avg("share").alias("inside"))
+
+
+def evaluate(responses: DataFrame, measured: DataFrame, values: list[str], configurations: int, references: list[str], folder: str | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Measures beside their responses, and for each value the comparison over the questions that have
+    all configurations. Both share (question, configuration, rep). With a folder, measures and
+    comparisons are written there as csv. Without responses the tables are empty."""
+    m = responses.join(measured, ["question", "configuration", "rep"])
+    out = {v: compare_intervals(complete(per_question(m.select("question", "configuration", F.col(v).cast("double").alias("value"))), configurations), references) for v in values}
+    if folder:
+        write(m, f"{folder}/measures", "csv")
+        for v, c in out.items():
+            write(c, f"{folder}/comparison_{v}", "csv")
+    return m, out
+
+
 def with_backoff(facts: DataFrame, alone: str, value: str = "value") -> DataFrame:
     """Means per question and configuration, replaced by the model's alone where any repetition abstains."""
     m = facts.groupBy("question", "configuration").agg(F.avg(value).alias(value), F.avg("abstains").alias("abstains"))
@@ -208,6 +274,18 @@ def total_cost(questions: DataFrame, query: DataFrame, index: DataFrame, linking
     return c.withColumn("total", F.col("query_cost") + F.col("index_cost") + F.col("link_cost"))
 
 
+def subgraph_costs(selection: DataFrame, index: DataFrame, logs: DataFrame) -> DataFrame:
+    """(key, configuration, seconds_selection, seconds, calls, tokens): an empty subgraph's index costs
+    nothing; one that was used again (origin) has its origin's log; one without a log has null.
+
+    selection(key, configuration, seconds_selection), index(key, configuration, seconds, empty,
+    origin), logs(key, configuration, calls, tokens)."""
+    i = index.withColumn("log", F.coalesce("origin", "key")).drop("origin")
+    use = i.join(logs.withColumnRenamed("key", "log"), ["log", "configuration"], "left")
+    cost = lambda c: F.when(F.col("empty"), F.lit(0)).otherwise(F.col(c)).alias(c)
+    return selection.join(use.select("key", "configuration", cost("seconds"), cost("calls"), cost("tokens")), ["key", "configuration"], "left")
+
+
 def amortised(costs: DataFrame) -> DataFrame:
     """(configuration, cost): an index counts once for its key, a query each time, over the questions."""
     index = costs.groupBy("configuration", "key").agg(F.max("index_cost").alias("index_cost")).groupBy("configuration").agg(F.sum("index_cost").alias("i"))

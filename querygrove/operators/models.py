@@ -8,22 +8,57 @@ from __future__ import annotations
 
 import json
 import re
+import subprocess
 import time
 import urllib.request
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import ABSTENTION
+from ..storage import materialise
+from .linking import same_sets
 
 #: Temperature and seed of every call.
 TEMPERATURE, SEED = 0, 42
 
 
+#: What an answer has to look like, by the form's name.
+FORMS = {
+    "prosa": "Several paragraphs of prose.",
+    "lista": "Nothing but names that answer, the likeliest on top, each on its own line, with neither introduction nor comment.",
+    "lista_anterior": "Names that answer, each on its own line, without comment.",
+    "exacta_factoid": "At most five names that answer, from the surest down, each on its own line in its shortest usual form and only once; no other words. If there is none: None",
+    "exacta_list": "Every name that answers and no other, each on its own line in its shortest usual form and only once; no other words. If there is none: None",
+}
+#: The form, and what the last call is told, for each kind of question.
+TASKS = {
+    "factoid": FORMS["exacta_factoid"],
+    "list": FORMS["exacta_list"],
+    "yesno": "One word in lower case, yes or no, even when unsure.",
+    "summary": "One plain paragraph of 200 words or fewer with what matters most.",
+}
+MARKED = " Mark what the reports don't say with [LLM: verify]."
+
+
+def task_prompt(task: str, with_graph: bool) -> str:
+    """What a question of a kind asks for: with a graph, knowledge from elsewhere has to be marked."""
+    return TASKS[task] + (MARKED if with_graph else "")
+
+
+def reduce_prompt(form: str, usual: str, own: str | None = None) -> str:
+    """The last call's prompt: the caller's own if given, else the form's for exact answers, which the
+    usual prompt's prose would contradict, else the usual one."""
+    if own is not None:
+        return own
+    return f"Take the names that answer from the points.\n{FORMS[form]}" if form.startswith("exacta") else f"{usual}\n{FORMS[form]}"
+
+
 class Model(Protocol):
     name: str
 
@@ -118,6 +153,92 @@ def global_answers(questions: DataFrame, reports: DataFrame, model: Model, form:
     return out.select("question", F.coalesce("answer", F.lit(ABSTENTION)).alias("answer"), F.coalesce("code", F.lit(0)).alias("code"), F.coalesce("prompt_tokens", F.lit(0)).alias("prompt_tokens"), F.coalesce("completion_tokens", F.lit(0)).alias("completion_tokens"))
 
 
+def local_answers(questions: DataFrame, entities: DataFrame, units: DataFrame, reports: DataFrame, model: Model, form: str = "prosa", most_units: int = 10) -> DataFrame:
+    """One call for each question, over the texts around the entities that it names.
+
+    questions(question, key, body), entities(key, id, title, description), units(key, id, text, where
+    id is the entity's), reports(key, report). Entities count as named if the question has their title;
+    the most_units with the longest titles are read. A question that names none abstains."""
+    named = questions.join(entities, "key").where(F.contains(F.lower("body"), F.lower("title")))
+    place = F.row_number().over(W.partitionBy("question").orderBy(F.desc(F.length("title")), "id"))
+    top = named.withColumn("place", place).where(F.col("place") <= most_units)
+    own = top.join(units.select("key", "id", "text"), ["key", "id"], "left").groupBy("question").agg(F.array_sort(F.collect_list(F.struct("place", F.concat_ws(" ", "description", "text").alias("say")))).alias("u"))
+    around = reports.groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("report")), "\n").alias("around"))
+    text = F.concat(F.lit(FORMS[form] + "\n"), F.array_join(F.transform("u", lambda x: F.concat(F.lit("- "), F.regexp_replace(x["say"], r"\s+", " "))), "\n"), F.lit("\n"), F.coalesce("around", F.lit("")), F.lit("\nQuestion: "), "body")
+    asked = ask(questions.join(own, "question").join(around, "key", "left").select("question", text.alias("prompt")), "prompt", model)
+    out = questions.select("question").join(asked.drop("prompt", "seconds"), "question", "left")
+    return out.select("question", F.coalesce("answer", F.when(F.coalesce("code", F.lit(0)) == 0, ABSTENTION)).alias("answer"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("code", "prompt_tokens", "completion_tokens")))
+
+
+def alone(questions: DataFrame, model: Model, task: str) -> DataFrame:
+    """(question, answer, code, ...): the model's own answer to questions(question, body), without a graph."""
+    prompt = F.concat(F.lit(task_prompt(task, False) + "\n\nQuestion: "), "body")
+    return ask(questions.select("question", prompt.alias("prompt")), "prompt", model).drop("prompt")
+
+
+def respond(todo: DataFrame, edges: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(question, key, configuration, answer, code, empty) of todo(question, key, configuration, body):
+    a subgraph without an edge in edges(key, ...) abstains without a call; the others are answered by
+    `answer`, which keeps question and configuration."""
+    full = todo.join(edges.select("key").distinct(), "key", "left_semi")
+    said = answer(full).select("question", "configuration", "answer", "code")
+    none = todo.join(edges.select("key").distinct(), "key", "left_anti")
+    return full.select("question", "key", "configuration").join(said, ["question", "configuration"]).withColumn("empty", F.lit(False)).unionByName(none.select("question", "key", "configuration", F.lit(ABSTENTION).alias("answer"), F.lit(0).alias("code"), F.lit(True).alias("empty")))
+
+
+def linking_costs(questions: DataFrame, model: Model, link: Callable[[DataFrame], DataFrame], expected: DataFrame) -> tuple[DataFrame, float]:
+    """(question, prompt_tokens, completion_tokens, seconds, same) of questions(question, body), and the
+    seconds of linking all of them: `link` takes the model's answers to (question, label, id), and
+    `same` says whether these are the expected ones. A question with neither has the same."""
+    said = materialise(extract(questions, model), "mentions")
+    began = time.perf_counter()
+    found = materialise(link(said), "linked")
+    took = time.perf_counter() - began
+    out = said.select("question", "prompt_tokens", "completion_tokens", "seconds").join(same_sets(found, expected), "question", "left")
+    return out.withColumn("same", F.coalesce("same", F.lit(True))), took
+
+
+def run_tool(command: list[str], answers: bool, kept: int = 3000) -> dict:
+    """An outside indexing or query program: its answer, code, seconds and the end of what it printed.
+    A query that ends well without an answer is an error, code 1."""
+    began = time.perf_counter()
+    done = subprocess.run(command, capture_output=True, text=True, check=False)
+    text = done.stdout.strip()
+    failed = answers and not text and done.returncode == 0
+    return {"answer": text if answers else None, "code": 1 if failed else done.returncode, "seconds": round(time.perf_counter() - began, 1), "output": (done.stderr if answers else done.stdout + done.stderr)[-kept:]}
+
+
+class Judge(Protocol):
+    """An outside scorer of an answer against reference texts, such as similarity of embeddings or
+    claims that a second model checks."""
+
+    measures: tuple[str, ...]
+
+    def score(self, answer: str, references: list[str]) -> dict[str, float]: ...
+
+
+def judged(answers: DataFrame, judge: Judge) -> DataFrame:
+    """answers(question, answer, abstains, references array) with the judge's measures: an abstention
+    has 0 in all and isn't sent."""
+    names = list(judge.measures)
+    kinds = {f.name: f.dataType.simpleString() for f in answers.schema.fields}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [dict.fromkeys(names, 0.0) if a.abstains else judge.score(a.answer, list(a.references)) for a in pdf.itertuples(index=False)]
+            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
+
+    return answers.mapInPandas(run, ", ".join([*(f"`{c}` {k}" for c, k in kinds.items()), *(f"{n} double" for n in names)]))
+
+
+def write_project(folder: str, config: str, tables: dict[str, DataFrame]) -> None:
+    """A subgraph's indexing project: the settings and a Parquet file set for each table of units."""
+    df = next(iter(tables.values()))
+    df.sparkSession.createDataFrame([(config,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/settings.yaml")
+    for name, table in tables.items():
+        table.write.mode("overwrite").parquet(f"{folder}/output/{name}.parquet")
+
+
 def settings(model: str, embeddings: str, with_reports: bool = True, community_size: int = 10, report_words: int = 1000, batch_tokens: int = 2500) -> str:
     """The index's settings as YAML; without reports their workflow goes and their share is 0."""
     flows = ["create_communities", *(["create_community_reports"] if with_reports else []), "generate_text_embeddings"]

@@ -126,3 +126,39 @@ def half_even(s: Star) -> DataFrame:
 def mean_of_means(s: Star) -> DataFrame:
     """The mean over cases of each case's mean."""
     return K.mean_of_means(s.table("events").where("value IS NOT NULL"), "user_id", ["event_type"], "value").withColumn("value", F.round("value", 6))
+
+
+#: Every step as a cell, with its seeds and the size of its plane.
+_CELLS = "x_st(step, origin, target, relation, plane) AS (VALUES " + ", ".join(f"('{t.name}', '{t.origin}', '{t.target}', '{t.relation}', '{t.plane}')" for t in STEPS.values()) + """), x_pop AS (SELECT plane, count(DISTINCT src) AS population FROM g_plane GROUP BY 1), x_grp AS (SELECT label, id FROM g_nodes WHERE is_group),
+x_seed AS (SELECT step AS cell, id_a AS entity, count(DISTINCT id_b) AS n_seeds, any_value(population) AS population FROM x_st JOIN g_both b ON b.type = relation AND label_a = origin AND label_b = target JOIN x_pop USING (plane) WHERE id_a <> id_b AND (label_a, id_a) NOT IN (SELECT (label, id) FROM x_grp) AND (label_b, id_b) NOT IN (SELECT (label, id) FROM x_grp) AND (plane, id_b) IN (SELECT (plane, src) FROM g_plane) GROUP BY 1, 2),
+x_bin AS (SELECT cell, entity, n_seeds, ['bajo', 'medio', 'alto'][ntile(3) OVER (PARTITION BY cell ORDER BY n_seeds, entity)] AS bin FROM x_seed WHERE n_seeds * 2 <= population AND n_seeds >= 2), x_few AS (SELECT cell, count(*) AS cases FROM x_bin GROUP BY 1 HAVING count(*) < 150)"""
+
+
+def _plan(s: Star) -> dict[str, DataFrame]:
+    p, sd, sizes = planes(s), None, None
+    for t in STEPS.values():
+        one = select.all_seeds(s.edges(t.relation), s.nodes, t, p[t.plane]).select(F.lit(t.name).alias("cell"), "entity", "n_seeds")
+        n = p[t.plane].agg(F.countDistinct("src").alias("population")).select(F.lit(t.name).alias("cell"), "population")
+        sd, sizes = (one, n) if sd is None else (sd.unionByName(one), sizes.unionByName(n))
+    return K.plan(sd, sizes, least=2)
+
+
+@query(_CELLS + """ SELECT cell, candidates, eligible, low, middle, high FROM (SELECT cell, count(*) AS eligible, max(n_seeds) FILTER (bin = 'bajo') AS low, max(n_seeds) FILTER (bin = 'medio') AS middle, max(n_seeds) FILTER (bin = 'alto') AS high FROM x_bin WHERE cell NOT IN (SELECT cell FROM x_few) GROUP BY 1)
+JOIN (SELECT cell, count(*) AS candidates FROM x_seed WHERE n_seeds * 2 <= population GROUP BY 1) USING (cell)""")
+def plan_cells(s: Star) -> DataFrame:
+    """The cells that can be run, and their bins' borders."""
+    return _plan(s)["cells"]
+
+
+@query(_CELLS + """ SELECT cell, entity, n_seeds, bin FROM (SELECT *, row_number() OVER (PARTITION BY cell, bin ORDER BY md5('42|' || entity), entity) AS place FROM x_bin WHERE cell NOT IN (SELECT cell FROM x_few)) WHERE place <= 50""")
+def plan_cases(s: Star) -> DataFrame:
+    """Fifty cases of each bin of each cell."""
+    return _plan(s)["cases"]
+
+
+@query(_CELLS + " SELECT cell, cases, cases || ' cases are too few for three bins of 50' AS reason FROM x_few UNION ALL SELECT cell, count(*), count(*) || ' without controls' FROM x_seed WHERE n_seeds * 2 > population GROUP BY 1")
+def plan_rejects(s: Star) -> DataFrame:
+    """Cells with too few cases, and entities whose controls can't be drawn, counted."""
+    p = _plan(s)
+    n = p["without_controls"].groupBy("cell").agg(F.count("*").alias("cases"))
+    return p["too_few"].unionByName(n.withColumn("reason", F.format_string("%d without controls", "cases")))

@@ -156,6 +156,22 @@ def slug_names(s: Star) -> DataFrame:
     return s.table("conversations").select("conv_id", "turn", X.slug(F.concat("role", F.lit(" "), F.substring("text", 1, 20)), ident).alias("slug"))
 
 
+@query(r"""x_b AS (SELECT conv_id, turn, trim(regexp_replace(lower(role), '[^a-z0-9]+', '_', 'g'), '_') AS base, 'q' || lpad(CAST(turn AS VARCHAR), 4, '0') || 'x' || lpad(CAST(conv_id AS VARCHAR), 12, '0') AS ident FROM conversations), x_r AS (SELECT *, base || '_' || right(ident, 6) AS short FROM x_b)
+SELECT conv_id, turn, CASE WHEN row_number() OVER (PARTITION BY short ORDER BY ident) = 1 THEN short ELSE base || '_' || ident END AS slug FROM x_r""")
+def unique_slugs(s: Star) -> DataFrame:
+    """Names of questions, with the whole id where the short ones clash."""
+    ident = F.concat(F.lit("q"), F.lpad(F.col("turn").cast("string"), 4, "0"), F.lit("x"), F.lpad(F.col("conv_id").cast("string"), 12, "0"))
+    return X.unique_slugs(s.table("conversations").select("conv_id", "turn", "role", ident.alias("ident")), "role", "ident").select("conv_id", "turn", "slug")
+
+
+@query("""x_f AS (SELECT DISTINCT o_custkey AS question, l_partkey AS id FROM g_sold WHERE l_quantity >= 45), x_e AS (SELECT DISTINCT o_custkey AS question, l_partkey AS id FROM g_sold WHERE l_quantity >= 45 AND (l_returnflag <> 'R' OR o_custkey % 2 = 0)), x_all AS (SELECT DISTINCT question FROM x_f)
+SELECT question, NOT EXISTS (SELECT 1 FROM x_f f WHERE f.question = a.question AND NOT EXISTS (SELECT 1 FROM x_e e WHERE e.question = f.question AND e.id = f.id)) AS same FROM x_all a""")
+def same_entities(s: Star) -> DataFrame:
+    """Whether linking again finds the entities of before."""
+    found = s.sold.where("l_quantity >= 45").select(F.col("o_custkey").alias("question"), F.lit("Gene").alias("label"), F.col("l_partkey").alias("id"), "l_returnflag")
+    return L.same_sets(found.drop("l_returnflag"), found.where("l_returnflag <> 'R' OR question % 2 = 0").drop("l_returnflag"))
+
+
 @query("""x_k AS (SELECT l_suppkey, string_agg(DISTINCT 'Gene_P' || l_partkey, '__' ORDER BY 'Gene_P' || l_partkey) AS k FROM lineitem WHERE l_quantity >= 49 GROUP BY 1)
 SELECT l_suppkey, CASE WHEN length(k) > 150 THEN substr(k, 1, 100) || '_' || substr(md5(k), 1, 8) ELSE k END AS key FROM x_k""")
 def set_key(s: Star) -> DataFrame:

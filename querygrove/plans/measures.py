@@ -40,7 +40,7 @@ def _answers(s: Star) -> tuple[DataFrame, DataFrame]:
 @query(_ANS + """, x_h AS (SELECT i.question, min(pos) AS pos FROM x_i i JOIN (SELECT DISTINCT question, synonym FROM x_g) g ON g.question = i.question AND g.synonym = i.item WHERE pos < 5 GROUP BY 1)
 SELECT question, CASE WHEN pos = 0 THEN 1 ELSE 0 END AS strict, CASE WHEN pos IS NOT NULL THEN 1 ELSE 0 END AS lax, coalesce(1.0::DOUBLE / (pos + 1), 0) AS mrr FROM x_a LEFT JOIN x_h USING (question)""")
 def factoid_scores(s: Star) -> DataFrame:
-    return M.factoid(*_answers(s))
+    return M.factoid(*_answers(s)).drop("lax_synonyms")
 
 
 @query(_ANS + """, x_h AS (SELECT i.question, count(DISTINCT item) AS hit, count(DISTINCT gold) AS found FROM x_i i JOIN x_g g ON g.question = i.question AND g.synonym = i.item GROUP BY 1), x_n AS (SELECT question, count(DISTINCT gold) AS golds FROM x_g GROUP BY 1),
@@ -51,6 +51,49 @@ def list_prf(s: Star) -> DataFrame:
     return m.select("question", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
 
 
+#: The dictionary knows the even items; answers hold what was sold in smaller numbers than the gold.
+_NODES = _ANS.replace("FROM g_sold GROUP BY 1)", "FROM g_sold WHERE l_quantity < 45 GROUP BY 1)") + """, x_n AS (SELECT DISTINCT item, item % 25 AS node FROM x_i WHERE item % 2 = 0), x_gn AS (SELECT DISTINCT o_custkey AS question, l_suppkey AS gold, l_partkey % 25 AS node FROM g_sold WHERE l_quantity >= 45),
+x_hs AS (SELECT DISTINCT i.question, i.item, i.pos, g.gold FROM x_i i JOIN x_g g ON g.question = i.question AND g.synonym = i.item), x_hn AS (SELECT DISTINCT i.question, i.item, i.pos, g.gold FROM x_i i JOIN x_n n ON n.item = i.item JOIN x_gn g ON g.question = i.question AND g.node = n.node), x_hb AS (SELECT * FROM x_hs UNION SELECT * FROM x_hn)"""
+
+
+def _with_nodes(s: Star) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    _, g = _answers(s)
+    a = s.sold.where("l_quantity < 45").groupBy(F.col("o_custkey").alias("question")).agg(F.array_sort(F.collect_set("l_partkey")).alias("items"))
+    items = a.select(F.explode("items").alias("item")).distinct().where("item % 2 = 0")
+    return a, g, items.select("item", (F.col("item") % 25).alias("node")), g.select("question", "gold", (F.col("synonym") % 25).alias("node")).distinct()
+
+
+@query(_NODES + """, x_first AS (SELECT question, min(pos) AS pos FROM x_hb WHERE pos < 5 GROUP BY 1), x_syn AS (SELECT DISTINCT question, 1 AS y FROM x_hs WHERE pos < 5)
+SELECT question, CASE WHEN pos = 0 THEN 1 ELSE 0 END AS strict, CASE WHEN pos IS NOT NULL THEN 1 ELSE 0 END AS lax, coalesce(1.0::DOUBLE / (pos + 1), 0) AS mrr, coalesce(y, 0) AS lax_synonyms FROM x_a LEFT JOIN x_first USING (question) LEFT JOIN x_syn USING (question)""")
+def factoid_node_hits(s: Star) -> DataFrame:
+    """First answers that hit by a synonym or by a node."""
+    return M.factoid(*_with_nodes(s))
+
+
+def _prf_sql(hits: str) -> str:
+    return f"SELECT question, p, r, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM (SELECT question, coalesce(hit, 0) / len(items)::DOUBLE AS p, CASE WHEN golds > 0 THEN coalesce(found, 0) / golds::DOUBLE ELSE 0 END AS r FROM x_a LEFT JOIN (SELECT question, count(DISTINCT item) AS hit, count(DISTINCT gold) AS found FROM {hits} GROUP BY 1) USING (question) LEFT JOIN (SELECT question, count(DISTINCT gold) AS golds FROM x_g GROUP BY 1) USING (question))"
+
+
+@query(_NODES + f" SELECT question, round(b.p, 9) AS precision, round(b.r, 9) AS recall, round(b.f, 9) AS f1, round(y.f, 9) AS f1_synonyms FROM ({_prf_sql('x_hb')}) b JOIN ({_prf_sql('x_hs')}) y USING (question)")
+def list_node_hits(s: Star) -> DataFrame:
+    """Lists that hit by a synonym or by a node, beside synonyms alone."""
+    m = M.lists(*_with_nodes(s))
+    return m.select("question", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "f1_synonyms")))
+
+
+@query(_NODES + " SELECT DISTINCT question, item, gold FROM x_hn WHERE (question, gold) NOT IN (SELECT (question, gold) FROM x_hs)")
+def list_dictionary_only(s: Star) -> DataFrame:
+    """Gold items that only the dictionary finds in an answer."""
+    return M.dictionary_only(*_with_nodes(s))
+
+
+@query("""SELECT lang, round(avg(CASE WHEN p = quality THEN 1.0::DOUBLE ELSE 0 END), 9) AS accuracy, count(*) AS answers FROM (SELECT lang, quality, CASE WHEN n_chars > 2000 THEN 1 WHEN n_chars > 300 THEN 0 END AS p FROM documents JOIN labels USING (doc_id)) GROUP BY 1""", graph=False)
+def yesno_accuracy(s: Star) -> DataFrame:
+    """Share of right answers; none given is wrong."""
+    d = s.table("documents").select("doc_id", "lang", F.when(F.col("n_chars") > 2000, 1).when(F.col("n_chars") > 300, 0).alias("predicted")).join(s.table("labels"), "doc_id")
+    return M.accuracy(d, ["lang"], "predicted", "quality").withColumn("accuracy", F.round("accuracy", 9))
+
+
 @query("""SELECT lang, round(((CASE WHEN tp1 > 0 THEN 2.0::DOUBLE * tp1 / (p1 + a1) ELSE 0 END) + (CASE WHEN tp0 > 0 THEN 2.0::DOUBLE * tp0 / (p0 + a0) ELSE 0 END)) / 2, 9) AS macro_f1 FROM (
 SELECT lang, count(*) FILTER (p = 1 AND quality = 1) AS tp1, count(*) FILTER (p = 1) AS p1, count(*) FILTER (quality = 1) AS a1, count(*) FILTER (p = 0 AND quality = 0) AS tp0, count(*) FILTER (p = 0) AS p0, count(*) FILTER (quality = 0) AS a0
 FROM (SELECT lang, quality, CASE WHEN n_chars > 2000 THEN 1 WHEN n_chars > 300 THEN 0 END AS p FROM documents JOIN labels USING (doc_id)) GROUP BY 1)""", graph=False)
@@ -97,6 +140,32 @@ def rouge_su4(s: Star) -> DataFrame:
     return _rouge_scores(s, 4, True)
 
 
+#: Ideals of a question.
+IDEALS = 3
+
+
+def _rouge_ideals(skip: int, singles: bool) -> str:
+    head = _rouge(skip, singles).rpartition("x_s AS (")[0]
+    return head + f"""x_id AS (SELECT question, (question // 1000 + k) % (SELECT count(*) FROM benchmark) AS reference, min(k) = 0 AS first_ FROM x_w, (SELECT unnest(range(0, {IDEALS})) AS k) WHERE (question // 1000) % 11 <> 0 GROUP BY 1, 2),
+x_s AS (SELECT i.question, first_, coalesce(both_, 0) / nullif(na, 0)::DOUBLE AS p, coalesce(both_, 0) / nullif(nb, 0)::DOUBLE AS r FROM x_id i JOIN x_b b USING (reference) LEFT JOIN x_na USING (question) LEFT JOIN x_nb ON x_nb.reference = i.reference LEFT JOIN x_both o ON o.question = i.question AND o.reference = i.reference),
+x_f1 AS (SELECT question, first_, coalesce(r, 0) AS r, CASE WHEN coalesce(p, 0) + coalesce(r, 0) > 0 THEN 2 * p * r / (p + r) ELSE 0 END AS f FROM x_s)
+SELECT question, round(coalesce(max(r), 0), 9) AS recall, round(coalesce(max(f), 0), 9) AS f1, round(coalesce(max(f) FILTER (first_), 0), 9) AS f1_first FROM x_w LEFT JOIN x_f1 USING (question) GROUP BY 1"""
+
+
+@query(_rouge_ideals(4, True))
+def rouge_several_ideals(s: Star) -> DataFrame:
+    """Every turn against three items of the benchmark, each measure's best on its own, and against the
+    first; the turns of every eleventh conversation abstain."""
+    a = s.table("conversations").select("conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("question"), X.words(F.col("text")).alias("w"), (F.col("conv_id") % 11 == 0).alias("abstains"))
+    b = s.table("benchmark").select(F.col("item_id").alias("reference"), X.words(F.col("text")).alias("w"))
+    n = max(b.count(), 1)
+    place = number_from(b.select("reference"), 0, "reference", into="place").withColumn("place", F.col("place").cast("long"))
+    dealt = a.select("question", "conv_id", F.explode(F.sequence(F.lit(0), F.lit(IDEALS - 1))).alias("k")).withColumn("place", F.pmod(F.col("conv_id") + F.col("k"), F.lit(n)).cast("long"))
+    ideals = dealt.join(place, "place").groupBy("question", "reference").agg((F.min("k") == 0).alias("first"))
+    m = M.rouge_ideals(a, ideals, b, 4, True, small=n <= SMALL)
+    return m.select("question", *(F.round(c, 9).alias(c) for c in ("recall", "f1", "f1_first")))
+
+
 @query("""x_gold AS (SELECT DISTINCT o_custkey AS question, l_suppkey AS gold, l_partkey AS node FROM g_sold WHERE l_quantity >= 40), x_ch AS (SELECT DISTINCT o_custkey AS question, l_returnflag AS configuration, l_partkey AS node FROM g_sold)
 SELECT c.question, configuration, round(coalesce(found, 0) / golds::DOUBLE, 9) AS share FROM (SELECT DISTINCT question, configuration FROM x_ch) c JOIN (SELECT question, count(DISTINCT gold) AS golds FROM x_gold GROUP BY 1) USING (question)
 LEFT JOIN (SELECT question, configuration, count(DISTINCT gold) AS found FROM x_gold JOIN x_ch USING (question, node) GROUP BY 1, 2) USING (question, configuration)""")
@@ -144,6 +213,26 @@ def backoff(s: Star) -> DataFrame:
     return M.with_backoff(f, f.agg(F.min("configuration")).first()[0]).withColumn("value", F.round("value", 6))
 
 
+@query(_FACTS + """, x_gr AS (SELECT question, CASE WHEN share = 0 THEN 'nada' WHEN share < 0.5 THEN 'menos_de_la_mitad' ELSE 'la_mitad_o_mas' END AS "group" FROM (SELECT user_id AS question, avg(CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE 0 END)::DOUBLE AS share FROM events GROUP BY 1)),
+x_sub AS (SELECT user_id AS question, event_type AS configuration, avg(CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE 0 END)::DOUBLE AS share FROM events WHERE event_type <> (SELECT min(event_type) FROM events) GROUP BY 1, 2)
+SELECT "group", a.configuration, b.configuration AS reference, count(*) AS questions, round(avg(a.value), 6) AS mean, round(avg(a.value - b.value), 6) AS difference, round(avg(share), 6) AS inside FROM x_c a JOIN x_c b USING (question) JOIN x_gr USING (question) LEFT JOIN x_sub ON x_sub.question = a.question AND x_sub.configuration = a.configuration
+WHERE b.configuration IN (SELECT min(configuration) FROM x_f UNION ALL SELECT max(configuration) FROM x_f) GROUP BY 1, 2, 3""")
+def gold_group_comparison(s: Star) -> DataFrame:
+    """Means, paired differences and the gold inside of the subgraph, by groups of questions."""
+    e, even = s.table("events"), F.avg(F.when(F.col("event_id") % 2 == 0, 1.0).otherwise(0.0)).alias("share")
+    low, high = facts(s).agg(F.min("configuration"), F.max("configuration")).first()
+    groups = e.groupBy(F.col("user_id").alias("question")).agg(even).select("question", X.share_group(F.col("share")).alias("group"))
+    inside = e.where(F.col("event_type") != low).groupBy(F.col("user_id").alias("question"), F.col("event_type").alias("configuration")).agg(even)
+    m = M.compare_groups(_complete(s), groups, [low, high], inside)
+    return m.select("group", "configuration", "reference", "questions", *(F.round(c, 6).alias(c) for c in ("mean", "difference", "inside")))
+
+
+@query()
+def comparison_intervals(s: Star) -> DataFrame:
+    """Paired differences to two references with their intervals."""
+    return M.compare_intervals(_complete(s), list(facts(s).agg(F.min("configuration"), F.max("configuration")).first()))
+
+
 @query(_FACTS + """, x_d AS (SELECT question, value, row_number() OVER (ORDER BY question) AS i, count(*) OVER () AS n FROM x_c WHERE configuration = (SELECT min(configuration) FROM x_f)),
 x_pl AS (SELECT draw, unnest(range(1, (SELECT max(n) FROM x_d) + 1)) AS place FROM (SELECT unnest(range(0, 200)) AS draw))
 SELECT draw, round(avg(value), 6) AS mean FROM (SELECT draw, CAST('0x' || substr(md5(draw || ':' || place), 1, 8) AS BIGINT) % (SELECT max(n) FROM x_d) + 1 AS i FROM x_pl) JOIN x_d USING (i) GROUP BY 1""")
@@ -193,6 +282,19 @@ def cost_total(s: Star) -> DataFrame:
     return _costs(s).select("question", "key", "configuration", *(F.round(c, 6).alias(c) for c in ("query_cost", "index_cost", "link_cost", "total")))
 
 
+@query("""SELECT s.key, s.configuration, seconds_selection, CASE WHEN empty THEN 0 ELSE seconds END AS seconds, CASE WHEN empty THEN 0 ELSE coalesce(calls, -1) END AS calls, CASE WHEN empty THEN 0 ELSE coalesce(tokens, -1) END AS tokens
+FROM (SELECT user_id % 50 AS key, event_type AS configuration, max(event_id) AS seconds_selection, min(event_id) AS seconds, min(event_id) % 5 = 0 AS empty, CASE WHEN user_id % 50 % 4 = 1 THEN user_id % 50 - 1 ELSE user_id % 50 END AS log FROM events GROUP BY user_id % 50, event_type) s
+LEFT JOIN (SELECT user_id % 50 AS log, event_type AS configuration, count(*) AS calls, CAST(sum(event_id % 100) AS BIGINT) AS tokens FROM events WHERE user_id % 50 % 7 <> 3 GROUP BY 1, 2) l ON l.log = s.log AND l.configuration = s.configuration""", graph=False)
+def subgraph_costs(s: Star) -> DataFrame:
+    """What indexes cost: nothing for empty ones, the origin's log where one was used again, -1 without
+    a log."""
+    e = s.table("events").select((F.col("user_id") % 50).alias("key"), F.col("event_type").alias("configuration"), "event_id")
+    one = e.groupBy("key", "configuration").agg(F.max("event_id").alias("seconds_selection"), F.min("event_id").alias("seconds"))
+    index = one.select("key", "configuration", "seconds", (F.col("seconds") % 5 == 0).alias("empty"), F.when(F.col("key") % 4 == 1, F.col("key") - 1).alias("origin"))
+    logs = e.where("key % 7 <> 3").groupBy("key", "configuration").agg(F.count("*").alias("calls"), F.sum(F.col("event_id") % 100).alias("tokens"))
+    return M.subgraph_costs(one.drop("seconds"), index, logs).na.fill(-1, ["calls", "tokens"])
+
+
 @query(_COSTS + " SELECT configuration, round(cost, 6) AS cost FROM x_am")
 def cost_amortized(s: Star) -> DataFrame:
     return M.amortised(_costs(s)).withColumn("cost", F.round("cost", 6))

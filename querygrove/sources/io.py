@@ -26,9 +26,17 @@ def parquet(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
-def questions(spark: SparkSession, path: str) -> DataFrame:
-    """One row per question of a nested file {"questions": [...]}."""
-    return spark.read.option("multiLine", True).json(path).select(F.explode("questions").alias("q")).select("q.*")
+def questions(spark: SparkSession, path: str, kind: str = "type", gold: str = "exact_answer") -> DataFrame:
+    """One row per question of a nested file {"questions": [...]}. `gold` holds JSON, whose shape
+    depends on the kind; a factoid's one item is wrapped into a list as `gold_items`, null for those
+    without items."""
+    raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "questions array<string>")["questions"]).alias("q"))
+    one = F.get_json_object("q", f"$.{gold}")
+    names = spark.read.option("multiLine", True).json(path).select(F.explode("questions").alias("q")).select("q.*").schema
+    rows = raw.select(F.from_json("q", names).alias("r"), one.alias("__gold"), F.get_json_object("q", f"$.{kind}").alias("__kind")).select("r.*", "__gold", "__kind")
+    nested, flat = F.from_json("__gold", "array<array<string>>"), F.from_json("__gold", "array<string>")
+    items = F.when(F.col("__kind") == "factoid", F.array(flat)).when(F.col("__gold").startswith("[["), nested).when(F.col("__gold").startswith("["), F.transform(flat, lambda x: F.array(x)))
+    return rows.withColumn("gold_items", F.when(F.col("__gold").isNotNull(), items)).drop("__gold", "__kind")
 
 
 def json_lines(spark: SparkSession, path: str, schema: T.StructType, key: str, order: str | None = None) -> DataFrame:
@@ -38,10 +46,26 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType, key: str, o
     return df.withColumn("__at", by).withColumn("__rank", F.row_number().over(W.partitionBy(key).orderBy(F.desc("__at")))).where("__rank = 1").drop("__at", "__rank")
 
 
-def responses(spark: SparkSession, glob: str, schema: T.StructType, pattern: str, groups: dict[str, int]) -> DataFrame:
-    """Response files that ended well, with keys taken from their paths."""
+def responses(spark: SparkSession, glob: str, schema: T.StructType, pattern: str, groups: dict[str, int], abstention: str | None = None, answer: str = "answer") -> DataFrame:
+    """Response files that ended well, with keys taken from their paths; with the text of an
+    abstention, `abstains` says which answers hold it."""
     df = spark.read.schema(schema).option("multiLine", True).json(glob).withColumn("__path", F.col("_metadata.file_path")).where("code = 0")
-    return df.select("*", *(F.regexp_extract("__path", pattern, g).alias(k) for k, g in groups.items())).drop("__path")
+    df = df.select("*", *(F.regexp_extract("__path", pattern, g).alias(k) for k, g in groups.items())).drop("__path")
+    return df if abstention is None else df.withColumn("abstains", F.coalesce(F.col(answer).contains(abstention), F.lit(False)))
+
+
+def cells(spark: SparkSession, path: str, cell: str = "cell", only: list[str] | None = None) -> DataFrame:
+    """Traces of all cases, kept as one dataset that is partitioned by cell; only the cells named are
+    read."""
+    df = spark.read.parquet(path)
+    return df.where(F.col(cell).isin(*only)) if only else df
+
+
+def static_index(spark: SparkSession, path: str, log: str, marker: str) -> DataFrame:
+    """(seconds, calls, tokens) of the whole graph's index, from its record and its log."""
+    s = spark.read.schema("seconds_total double").option("multiLine", True).json(path).select(F.col("seconds_total").alias("seconds"))
+    u = log_usage(spark, log, marker).agg(F.sum("calls").alias("calls"), F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"))
+    return s.unionByName(u, allowMissingColumns=True).agg(*(F.max(c).alias(c) for c in ("seconds", "calls", "tokens")))
 
 
 def log_usage(spark: SparkSession, glob: str, marker: str) -> DataFrame:

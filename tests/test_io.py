@@ -80,3 +80,30 @@ def test_bootstrap_is_the_same_again(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(20)], "c string, v double")
     a, b = (measures.bootstrap(df, ["c"], "v", 500).first() for _ in range(2))
     assert a == b and a["low"] < a["mean"] < a["high"]
+
+
+def test_gold_of_questions_is_nested(spark, tmp_path):
+    q = [{"id": "1", "type": "factoid", "exact_answer": ["a", "b"]}, {"id": "2", "type": "list", "exact_answer": [["a"], ["b", "c"]]}, {"id": "3", "type": "yesno", "exact_answer": "yes"}, {"id": "4", "type": "summary"}]
+    (tmp_path / "q.json").write_text(json.dumps({"questions": q}))
+    got = {r["id"]: r["gold_items"] for r in io.questions(spark, str(tmp_path / "q.json")).collect()}
+    assert got == {"1": [["a", "b"]], "2": [["a"], ["b", "c"]], "3": None, "4": None}
+
+
+def test_abstentions_are_marked(spark, tmp_path):
+    for k, a in (("a", "yes"), ("b", "I can't say"), ("c", None)):
+        (tmp_path / k).mkdir()
+        (tmp_path / k / "r.json").write_text(json.dumps({"answer": a, "code": 0}))
+    got = io.responses(spark, str(tmp_path / "*" / "r.json"), "answer string, code int", r"/([^/]+)/r\.json$", {"question": 1}, abstention="can't say")
+    assert {r["question"]: r["abstains"] for r in got.collect()} == {"a": False, "b": True, "c": False}
+
+
+def test_cells_are_pruned(spark, tmp_path):
+    io.write(spark.createDataFrame([("x", 1), ("y", 2), ("y", 3)], "cell string, n int"), str(tmp_path / "t"), partition=["cell"])
+    assert {r["n"] for r in io.cells(spark, str(tmp_path / "t"), only=["y"]).collect()} == {2, 3}
+    assert io.cells(spark, str(tmp_path / "t")).count() == 3
+
+
+def test_static_index_cost(spark, tmp_path):
+    (tmp_path / "index.json").write_text('{"seconds_total": 12.5}')
+    (tmp_path / "log.txt").write_text('x\nMETRICS\n{\n "calls": 3, "prompt_tokens": 10, "completion_tokens": 4\n}\n')
+    assert io.static_index(spark, str(tmp_path / "index.json"), str(tmp_path / "log.txt"), "METRICS").collect() == [(12.5, 3, 14)]
