@@ -18,6 +18,9 @@ BINS = ("bajo", "medio", "alto")
 RUNS = 20
 #: Cases of a bin.
 CASES = 50
+#: Which of a case's generators hide seeds, of real sets and of control sets. Those of
+#: the control sets themselves are numbered by draw; a draw takes the matched set first.
+FOLD_STREAMS = (10_001, 10_002)
 
 
 def buildable(seeds: DataFrame, population: int) -> tuple[DataFrame, DataFrame]:
@@ -227,8 +230,8 @@ def run_cases(cases: DataFrame, net: expand.Network, budget: int = 100, draws: i
                 for d in range(draws):
                     rng = np.random.default_rng([case, d])
                     if len(pool) >= len(seeds):
-                        todo.append(("uniform", d, uniform_controls(rng, pool, len(seeds)).tolist(), None))
                         todo.append(("matched", d, *matched_controls(rng, g, seeds, pool)))
+                        todo.append(("uniform", d, uniform_controls(rng, pool, len(seeds)).tolist(), None))
                 for source, d, s, moved in todo:
                     added = [x[0] for x in expand.grow(g, s, budget)]
                     for i, n, share, size in growth_trace(g, s, added):
@@ -266,14 +269,12 @@ def hidden_recall(cases: DataFrame, net: expand.Network, shares: tuple[float, ..
             for c in pdf.itertuples(index=False):
                 seeds = g.positions(sorted(c.seeds))
                 case = zlib.crc32(f"{c.cell}|{c.entity}".encode()) ^ seed
-                rng = np.random.default_rng(case)
+                rng, chance = (np.random.default_rng([case, stream]) for stream in FOLD_STREAMS)
                 todo = [("real", 0, s, f, seeds, hidden) for s in shares for f, hidden in enumerate(folds(rng, seeds, s, n) if len(seeds) > 1 else [])]
                 pool = np.setdiff1d(np.arange(len(g)), [*seeds, *never])
                 for d in range(nulls if 1 < len(seeds) <= len(pool) else 0):
-                    draw = np.random.default_rng([case, d])
-                    uniform_controls(draw, pool, len(seeds))  # as in the traces, whose matched set comes second
-                    own = sorted(matched_controls(draw, g, seeds, pool)[0])
-                    todo += [("matched", d, max(shares), f, own, hidden) for f, hidden in enumerate(folds(np.random.default_rng([case, d, 1]), own, max(shares), n))]
+                    own = sorted(matched_controls(np.random.default_rng([case, d]), g, seeds, pool)[0])  # as in the traces
+                    todo += [("matched", d, max(shares), f, own, hidden) for f, hidden in enumerate(folds(chance, own, max(shares), n))]
                 for source, d, share, f, own, hidden in todo:
                     gone, got = set(hidden), 0
                     visible = [s for s in own if s not in gone]
