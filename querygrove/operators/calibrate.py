@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import materialise
 from . import expand
 from .joins import number_from
 
@@ -30,16 +31,20 @@ def buildable(seeds: DataFrame, population: int) -> tuple[DataFrame, DataFrame]:
 
 
 def bins(seeds: DataFrame, least: int = 5, by: list[str] | None = None) -> DataFrame:
-    """Three bins of equal size by (n_seeds, entity) of entities with enough seeds; larger first."""
-    names, some = F.array(*map(F.lit, BINS)), seeds.where(F.col("n_seeds") >= least)
+    """Three bins of equal size by (n_seeds, entity) of entities with enough seeds, of each cell if by
+    names some; larger bins first. Places come from ranges of the whole table, so a large cell isn't
+    one task's work."""
+    by, some = by or [], seeds.where(F.col("n_seeds") >= least)
+    n = materialise(number_from(some, 0, *by, "n_seeds", "entity", into="__place"), "places")
+    sizes = n.groupBy(*by).agg(F.min("__place").alias("__first"), F.count("*").alias("__n"))
     if by:
-        return some.withColumn("bin", F.element_at(names, F.ntile(3).over(W.partitionBy(*by).orderBy("n_seeds", "entity"))))
-    n = number_from(some, 0, "n_seeds", "entity", into="__place")
-    total = some.count()
-    size, more = divmod(total, 3)
+        n = n.join(F.broadcast(sizes), by)  # a row for each cell
+    else:
+        n = n.withColumn("__first", F.lit(0)).withColumn("__n", F.lit(n.count()))
+    place, size, more = F.col("__place") - F.col("__first"), F.floor(F.col("__n") / 3), F.col("__n") % 3
     edge = more * (size + 1)
-    tile = F.when(F.col("__place") < edge, F.floor(F.col("__place") / (size + 1))).otherwise(more + F.floor((F.col("__place") - edge) / max(size, 1)))
-    return n.withColumn("bin", F.element_at(names, (tile + 1).cast("int"))).drop("__place")
+    tile = F.when(place < edge, F.floor(place / (size + 1))).otherwise(more + F.floor((place - edge) / F.greatest(size, F.lit(1))))
+    return n.withColumn("bin", F.element_at(F.array(*map(F.lit, BINS)), (tile + 1).cast("int"))).drop("__place", "__first", "__n")
 
 
 def enough(binned: DataFrame, n_per_bin: int, by: list[str] | None = None) -> DataFrame:

@@ -194,3 +194,47 @@ def test_matched_controls_and_trace():
 def test_folds_round_half_even():
     assert [len(f) for f in calibrate.folds(np.random.default_rng(0), list(range(5)), 0.5)] == [2] * 5
     assert [len(f) for f in calibrate.folds(np.random.default_rng(0), list(range(5)), 0.1)] == [1] * 5
+
+
+def test_bins_of_cells_are_equal_splits(spark):
+    rng = random.Random(3)
+    rows = [(c, f"e{i:03}", rng.randint(1, 9)) for c, n in (("a", 50), ("b", 7), ("c", 2)) for i in range(n)]
+    df = spark.createDataFrame(rows, "cell string, entity string, n_seeds int")
+    got = {(r["cell"], r["entity"]): r["bin"] for r in calibrate.bins(df, 2, ["cell"]).collect()}
+    want = {}
+    for c in "abc":
+        own = sorted((n, e) for k, e, n in rows if k == c and n >= 2)
+        for name, part in zip(calibrate.BINS, np.array_split(np.arange(len(own)), 3), strict=True):
+            want |= {(c, own[i][1]): name for i in part}
+    assert got == want
+    alone = {r["entity"]: r["bin"] for r in calibrate.bins(df.where("cell = 'a'"), 2).collect()}
+    assert alone == {e: b for (c, e), b in want.items() if c == "a"}
+    assert calibrate.bins(df.where("false"), 2, ["cell"]).count() == calibrate.bins(df.where("false"), 2).count() == 0
+
+
+def test_hidden_seeds_and_traces_by_definition(spark):
+    import zlib
+
+    rng = random.Random(5)
+    names = [f"n{i:02}" for i in range(40)]
+    net = net_of(sorted({tuple(sorted(rng.sample(names, 2))) for _ in range(110)}))
+    own = sorted(rng.sample(list(net.ids), 8))
+    cases = spark.createDataFrame([("cell", "e", own)], "cell string, entity string, seeds array<string>")
+    case = zlib.crc32(b"cell|e") ^ 42
+    got = calibrate.hidden_recall(cases, net, budget=10, nulls=2).toPandas()
+    assert len(got.groupby(["source", "draw", "share", "fold"])) == 3 * 5 + 2 * 5
+    draw = np.random.default_rng([case, 10_001])
+    for share in (0.1, 0.2, 0.3):
+        for fold in range(5):
+            gone = set(draw.choice(net.positions(own), size=max(1, round(8 * share)), replace=False).tolist())
+            added = [x[0] for x in expand.grow(net, [s for s in net.positions(own) if s not in gone], 10)]
+            one = got[(got.source == "real") & (got.share == share) & (got.fold == fold)].sort_values("rank")
+            assert one["recall"].tolist() == [len(gone & set(added[: k + 1])) / len(gone) for k in range(len(added))]
+    others = [x for x in net.ids if x not in own]
+    traces = calibrate.run_cases(cases, net, budget=10, draws=3).toPandas()
+    assert traces.groupby("source")["draw"].nunique().to_dict() == {"real": 1, "uniform": 3, "matched": 3}
+    assert traces[traces.source == "matched"]["moved"].notna().all() and traces[traces.source != "matched"]["moved"].isna().all()
+    added = [net.ids[x[0]] for x in expand.grow(net, net.positions(own), 10)]
+    assert traces[traces.source == "real"].sort_values("iteration")["node"].tolist() == [None, *added]
+    few = calibrate.run_cases(cases, net, budget=5, draws=2, forbidden=tuple(others[:-7])).toPandas()
+    assert set(few["source"]) == {"real"}  # seven nodes are left for eight control seeds
