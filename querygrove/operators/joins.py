@@ -23,7 +23,8 @@ def band_pairs(df: DataFrame, key: str, same: list[str], value: str, width: floa
 
 
 def jaccard_pairs(sets: DataFrame, key: str, item: str) -> DataFrame:
-    """(a, b, similarity) of keys that share an item."""
+    """(a, b, similarity) of keys that share an item: as many rows as there are such pairs. Where only
+    similar ones are wanted, similar_pairs doesn't make the others."""
     s = sets.select(F.col(key).alias("k"), F.col(item).alias("i")).distinct()
     n = s.groupBy("k").agg(F.count("*").alias("n"))
     both = s.alias("x").join(s.alias("y"), (F.col("x.i") == F.col("y.i")) & (F.col("x.k") < F.col("y.k")))
@@ -32,6 +33,27 @@ def jaccard_pairs(sets: DataFrame, key: str, item: str) -> DataFrame:
     return both.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("similarity"))
 
 
+def similar_pairs(sets: DataFrame, key: str, item: str, least: float) -> DataFrame:
+    """(a, b, similarity) of keys whose sets have a Jaccard similarity of least, above 0, or more.
+
+    With items from the rarest to the commonest, two such sets share one of the first n - ceil(least n)
+    + 1 of their items, so pairs come from these alone and common items hardly join. Every pair is
+    then counted on the full sets. Repeated rows count once; null keys and items take no part."""
+    if not 0 < least <= 1:
+        raise ValueError("least has to be above 0 and no more than 1")
+    s = sets.select(F.col(key).alias("k"), F.col(item).alias("i")).dropna().distinct()
+    own = W.partitionBy("k")
+    ranked = s.join(s.groupBy("i").agg(F.count("*").alias("f")), "i").select("k", "i", F.row_number().over(own.orderBy("f", "i")).alias("place"), F.count("*").over(own).alias("n"))
+    ranked = materialise(ranked, "ranked")
+    first = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    x, y = first.select("i", F.col("k").alias("a"), F.col("n").alias("na")), first.select("i", F.col("k").alias("b"), F.col("n").alias("nb"))
+    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)
+    pairs = x.join(y, "i").where(near).select("a", "b", "na", "nb").distinct()
+    both = pairs.join(ranked.select(F.col("k").alias("a"), "i"), "a").join(ranked.select(F.col("k").alias("b"), "i"), ["b", "i"], "left_semi")
+    similarity = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
+    return both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both")).select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= least)
+
+
 def either_key(left: DataFrame, right: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
     """Distinct pairs that agree in any of the keys, nulls aside: a union of equi-joins."""
     out = None

@@ -316,3 +316,10 @@ def optional_ids(s: Star) -> DataFrame:
     k = F.col("c_custkey")
     written = F.when(k % 3 == 0, "nan").when(k % 3 == 1, "  ").otherwise(F.concat(F.lit(" CHEMBL"), k.cast("string"), F.lit(" ")))
     return joins.project_ids(s.table("customer").select("c_custkey", written.alias("chembl_id"), F.col("c_mktsegment").alias("cluster_id")), ["chembl_id", "ccd", "cluster_id"], ["c_custkey"])
+
+
+@query("""SELECT a, b, round(n / (na + nb - n)::DOUBLE, 9) AS similarity FROM (SELECT x.k AS a, y.k AS b, count(*) AS n FROM (SELECT DISTINCT l_orderkey AS k, l_partkey AS i FROM lineitem) x JOIN (SELECT DISTINCT l_orderkey AS k, l_partkey AS i FROM lineitem) y ON x.i = y.i AND x.k < y.k GROUP BY 1, 2)
+JOIN (SELECT l_orderkey AS a, count(DISTINCT l_partkey) AS na FROM lineitem GROUP BY 1) USING (a) JOIN (SELECT l_orderkey AS b, count(DISTINCT l_partkey) AS nb FROM lineitem GROUP BY 1) USING (b) WHERE n / (na + nb - n)::DOUBLE >= 0.5""", graph=False)
+def similar_sets(s: Star) -> DataFrame:
+    """Orders whose parts agree to a half or more."""
+    return joins.similar_pairs(s.table("lineitem"), "l_orderkey", "l_partkey", 0.5).withColumn("similarity", F.round("similarity", 9))

@@ -238,3 +238,13 @@ def test_hidden_seeds_and_traces_by_definition(spark):
     assert traces[traces.source == "real"].sort_values("iteration")["node"].tolist() == [None, *added]
     few = calibrate.run_cases(cases, net, budget=5, draws=2, forbidden=tuple(others[:-7])).toPandas()
     assert set(few["source"]) == {"real"}  # seven nodes are left for eight control seeds
+
+
+@pytest.mark.parametrize("least", [0.2, 0.5, 0.8, 1.0])
+def test_similar_pairs_by_brute_force(spark, least):
+    rng = random.Random(7)
+    sets = {k: {0, *rng.sample(range(12), rng.randint(0, 6))} for k in range(60)} | {100: set(range(12)), 101: set(range(12))}
+    rows = [(k, i) for k, v in sets.items() for i in v] * 2 + [(None, 1), (5, None)]
+    got = {(r["a"], r["b"]): r["similarity"] for r in joins.similar_pairs(spark.createDataFrame(rows, "k int, i int"), "k", "i", least).collect()}
+    jaccard = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(sorted(sets), 2)}
+    assert got == {p: v for p, v in jaccard.items() if v >= least}

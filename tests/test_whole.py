@@ -23,7 +23,7 @@ def larger():
 @pytest.mark.parametrize("name", [
     "rouge_2", "rouge_su4", "config_filter", "origin_of_node", "union_provenance", "provenance_json", "link_tiebreak", "link_exact", "link_segments", "link_mentions", "question_links", "gold_linking",
     "synonym_table", "answer_not_entity", "gold_coverage", "set_overlap", "truncate_text", "sentence_count", "relation_mapping",
-    "factoid_node_hits", "list_node_hits", "list_dictionary_only", "rouge_several_ideals", "gold_group_comparison", "unique_slugs", "same_entities", "plan_cells", "plan_cases", "plan_rejects",
+    "factoid_node_hits", "list_node_hits", "list_dictionary_only", "rouge_several_ideals", "gold_group_comparison", "unique_slugs", "same_entities", "plan_cells", "plan_cases", "plan_rejects", "similar_sets",
 ])
 def test_whole_tables(spark, larger, same, name):
     same(QUERIES[name](spark, LARGER), ORACLES[name], larger)
