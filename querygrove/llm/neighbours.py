@@ -109,17 +109,17 @@ def grouped(key: tuple[str, ...], work: Callable[[list[pa.RecordBatch]], pa.Reco
     return run
 
 
-_LISTS = "node long, nbrs array<long>, sims array<float>, fresh array<boolean>"
+_LISTS = "node long, code binary, nbrs array<long>, sims array<float>, fresh array<boolean>"
 
 
-def _lists(node: np.ndarray, size: np.ndarray, nbrs: np.ndarray, sims: np.ndarray, fresh: np.ndarray) -> pa.RecordBatch:
+def _lists(node: np.ndarray, code: list[bytes | None], size: np.ndarray, nbrs: np.ndarray, sims: np.ndarray, fresh: np.ndarray) -> pa.RecordBatch:
     offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
-    columns = [pa.array(node), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (nbrs, sims.astype(np.float32), fresh))]
-    return pa.RecordBatch.from_arrays(columns, ["node", "nbrs", "sims", "fresh"])
+    columns = [pa.array(node), pa.array(code, pa.binary()), *(pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (nbrs, sims.astype(np.float32), fresh))]
+    return pa.RecordBatch.from_arrays(columns, ["node", "code", "nbrs", "sims", "fresh"])
 
 
-def best(u: np.ndarray, c: np.ndarray, s: np.ndarray, fresh: np.ndarray, k: int) -> pa.RecordBatch:
-    """The k nearest of each u, each once; what is known already isn't fresh."""
+def best(u: np.ndarray, c: np.ndarray, s: np.ndarray, fresh: np.ndarray, k: int, codes: dict[int, bytes]) -> pa.RecordBatch:
+    """The k nearest of each u, each once; what is known already isn't fresh. codes: of the u known."""
     order = np.lexsort((fresh, c, u))
     u, c, s, fresh = u[order], c[order], s[order], fresh[order]
     one = np.ones(len(u), bool)
@@ -129,7 +129,7 @@ def best(u: np.ndarray, c: np.ndarray, s: np.ndarray, fresh: np.ndarray, k: int)
     u, c, s, fresh = u[order], c[order], s[order], fresh[order]
     node, first, size = np.unique(u, return_index=True, return_counts=True)
     keep = np.arange(len(u)) - np.repeat(first, size) < k
-    return _lists(node, np.minimum(size, k), c[keep], s[keep], fresh[keep])
+    return _lists(node, [codes.get(n) for n in node.tolist()], np.minimum(size, k), c[keep], s[keep], fresh[keep])
 
 
 def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
@@ -138,23 +138,26 @@ def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
 
 
 def merge(lists: DataFrame, k: int) -> DataFrame:
-    """One list of the k best for each node."""
+    """One list of the k best for each node, with the code that any of its lists has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
+        codes: dict[int, bytes] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             part = _flat(batch)
+            codes |= {n: code for n, code in zip(batch.column("node").to_pylist(), batch.column("code").to_pylist(), strict=True) if code is not None}
             if held is not None:
                 part = tuple(np.concatenate([a, b]) for a, b in zip(held, part, strict=True))
             open_node = batch.column("node")[batch.num_rows - 1].as_py()
             done = part[0] != open_node  # the last node may go on in the next batch
             if done.any():
-                yield best(*(x[done] for x in part), k)
+                yield best(*(x[done] for x in part), k, codes)
             held = tuple(x[~done] for x in part)
+            codes = {n: code for n, code in codes.items() if n == open_node}
         if held is not None and len(held[0]):
-            yield best(*held, k)
+            yield best(*held, k, codes)
 
     return lists.repartition("node").sortWithinPartitions("node").mapInArrow(run, _LISTS)
 
@@ -180,7 +183,8 @@ def first_graph(nodes: DataFrame, p: Params) -> DataFrame:
         ids = np.concatenate([g.column("node").to_numpy() for g in group])
         if len(ids) < 2:
             return None
-        x = decode([c for g in group for c in g.column("code").to_pylist()])
+        codes = [c for g in group for c in g.column("code").to_pylist()]
+        x = decode(codes)
         k = min(p.neighbours, len(ids) - 1)
         who, sim = [], []
         for i in range(0, len(ids), 512):
@@ -190,7 +194,7 @@ def first_graph(nodes: DataFrame, p: Params) -> DataFrame:
             who.append(ids[j].reshape(-1))
             sim.append(np.take_along_axis(s, j, axis=1).reshape(-1))
         total = len(ids) * k
-        return _lists(ids, np.full(len(ids), k), np.concatenate(who), np.concatenate(sim), np.ones(total, bool))
+        return _lists(ids, codes, np.full(len(ids), k), np.concatenate(who), np.concatenate(sim), np.ones(total, bool))
 
     placed = nodes.select("node", "code", F.explode(leaves("code")).alias("leaf"))
     size = nodes.select(F.explode(leaves("code")).alias("leaf")).groupBy("leaf").count()
@@ -200,15 +204,17 @@ def first_graph(nodes: DataFrame, p: Params) -> DataFrame:
     return merge(placed.select("leaf", "part", "node", "code").mapInArrow(grouped(("leaf", "part"), near), _LISTS), p.neighbours)
 
 
-def introduce(nodes: DataFrame, graph: DataFrame, p: Params) -> DataFrame:
-    """One round: the graph with what nodes learned from neighbours of neighbours."""
-    edge = graph.select("node", F.explode(F.arrays_zip("nbrs", "fresh")).alias("e")).select("node", F.col("e.nbrs").alias("m"), F.col("e.fresh").alias("fresh"))
-    back = edge.select(F.col("m").alias("node"), F.col("node").alias("m"), "fresh")
-    place = F.row_number().over(W.partitionBy("node").orderBy(F.desc("fresh"), F.xxhash64("m", "node"), "m"))
-    back = back.withColumn("place", place).where(F.col("place") <= p.reverse).drop("place")
+def introduce(graph: DataFrame, p: Params) -> DataFrame:
+    """One round: the graph with what nodes learned from neighbours of neighbours. An edge takes its
+    node's code along, so that one join, on the neighbour, gives both ends what they need."""
     worst = F.when(F.size("sims") >= p.neighbours, F.element_at("sims", -1)).otherwise(F.lit(-2.0)).cast("float")
-    known = nodes.select(F.col("node").alias("m"), "code").join(graph.select(F.col("node").alias("m"), worst.alias("worst")), "m")
-    met = edge.unionByName(back).join(known, "m").repartition("node").sortWithinPartitions("node")
+    edge = graph.select("node", F.col("code").alias("own"), worst.alias("low"), F.explode(F.arrays_zip("nbrs", "fresh")).alias("e")).select("node", "own", "low", F.col("e.nbrs").alias("m"), F.col("e.fresh").alias("fresh"))
+    place = F.row_number().over(W.partitionBy("m").orderBy(F.desc("fresh"), F.xxhash64("node", "m"), "node"))
+    ends = edge.join(graph.select(F.col("node").alias("m"), "code", worst.alias("worst")), "m").withColumn("place", place)
+    there = F.struct("node", "m", "fresh", "code", "worst")
+    back = F.struct(F.col("m").alias("node"), F.col("node").alias("m"), "fresh", F.col("own").alias("code"), F.col("low").alias("worst"))
+    met = ends.select(F.explode(F.when(F.col("place") <= p.reverse, F.array(there, back)).otherwise(F.array(there))).alias("e")).select("e.*")
+    met = met.repartition("node").sortWithinPartitions("node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []
@@ -219,7 +225,7 @@ def introduce(nodes: DataFrame, graph: DataFrame, p: Params) -> DataFrame:
             u, c, s = (np.concatenate([f[k] for f in found]) for k in range(3))
             found.clear()
             held = 0
-            return best(u, c, s, np.ones(len(u), bool), p.neighbours)
+            return best(u, c, s, np.ones(len(u), bool), p.neighbours, {})
 
         def pairs(group: list[pa.RecordBatch]) -> pa.RecordBatch | None:
             nonlocal held
@@ -240,16 +246,16 @@ def introduce(nodes: DataFrame, graph: DataFrame, p: Params) -> DataFrame:
             yield flush()
 
     learned = met.select("node", "m", "fresh", "code", "worst").mapInArrow(run, _LISTS)
-    kept = graph.select("node", "nbrs", "sims", F.transform("fresh", lambda _: F.lit(False)).alias("fresh"))
+    kept = graph.select("node", "code", "nbrs", "sims", F.transform("fresh", lambda _: F.lit(False)).alias("fresh"))
     return merge(kept.unionByName(learned), p.neighbours)
 
 
 def build(nodes: DataFrame, p: Params = Params()) -> DataFrame:
-    """(node, nbrs, sims, fresh): the neighbour graph."""
+    """(node, code, nbrs, sims, fresh): the neighbour graph."""
     graph = materialise(first_graph(nodes, p), "graph")
     done = 0
     while p.rounds is None or done < p.rounds:
-        after = materialise(introduce(nodes, graph, p), "graph")
+        after = materialise(introduce(graph, p), "graph")
         drop(nodes.sparkSession, graph)
         graph, done = after, done + 1
         new, entries = graph.agg(F.sum(F.size(F.filter("fresh", lambda f: f))), F.sum(F.size("fresh"))).first()
@@ -258,6 +264,9 @@ def build(nodes: DataFrame, p: Params = Params()) -> DataFrame:
     return graph
 
 
+#: Pairs that a hop broadcasts, at most; more are joined by a shuffle.
+BROADCAST = 100_000
+
 _STATE = "q long, code binary, ids array<long>, sims array<float>, opened array<boolean>, front array<long>"
 
 
@@ -322,13 +331,16 @@ def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, p: Params = P
     state = state.select("q", "code", one.alias("ids"), F.array(F.lit(1.0).cast("float")).alias("sims"), F.array(F.lit(True)).alias("opened"), one.alias("front"))
     state = materialise(state, "beams")
     while True:  # what fell off a beam can't come back, so a hop opens nodes that never were open, and this ends
-        reached = state.select("q", F.explode("front").alias("node")).join(adjacent, "node").select("q", F.explode("nbrs").alias("cand")).distinct()
-        got = reached.join(codes, "cand").groupBy("q").agg(F.collect_list(F.struct("cand", "code")).alias("new"))
+        opened = state.agg(F.sum(F.size("front"))).first()[0] or 0
+        if not opened:
+            return state.select("q", F.explode(F.slice("ids", 1, p.exact)).alias("node"))
+        front = state.select("q", F.explode("front").alias("node"))
+        reached = (F.broadcast(front) if opened <= BROADCAST else front).join(adjacent, "node").select("q", F.explode("nbrs").alias("cand"))
+        few = opened * 2 * p.neighbours <= BROADCAST  # no node has more neighbours both ways
+        got = (F.broadcast(reached) if few else reached.repartition("cand").distinct()).join(codes, "cand").groupBy("q").agg(F.collect_list(F.struct("cand", "code")).alias("new"))
         after = materialise(state.join(got, "q", "left").mapInArrow(_advance(p, width), _STATE), "beams")
         drop(nodes.sparkSession, state)
         state = after
-        if state.where("size(front) > 0").isEmpty():
-            return state.select("q", F.explode(F.slice("ids", 1, p.exact)).alias("node"))
 
 
 def cosine(a: str, b: str) -> Column:

@@ -646,6 +646,36 @@ def test_neighbours_recall(spark):
     assert share[0] + 0.1 < share[1] < share[None] and share[None] > 0.95, share
 
 
+def test_neighbours_shuffles(spark, monkeypatch):
+    """A round and a hop shuffle four times at most: on many partitions these take the time. A third of
+    the vectors are near copies; answers against brute force, and the same when nothing is broadcast."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 16))
+    x[::3] = x[0] + 0.05 * rng.normal(size=x[::3].shape)
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    shuffles, write = {"graph": [], "beams": []}, neighbours.materialise
+
+    def counted(df, name):
+        shuffles.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning"))
+        return write(df, name)
+
+    monkeypatch.setattr(neighbours, "materialise", counted)
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = neighbours.nearest(v).toPandas()
+        assert 0 < max(shuffles["graph"][1:]) <= 4 and 0 < max(shuffles["beams"]) <= 4, shuffles
+        monkeypatch.setattr(neighbours, "BROADCAST", 0)
+        assert sorted(neighbours.nearest(v).toPandas().itertuples(index=False)) == sorted(got.itertuples(index=False))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 400, 50):
+        s = x @ x[q]
+        s[q] = -9
+        assert list(got[got.query_id == q].sort_values("rank").vec_id) == np.argsort(-s)[:5].tolist()
+
+
 def test_pipeline_by_brute_force(spark, duck, tmp_path):
     """run() against each stage done plainly."""
     sql = quality.ORACLE
