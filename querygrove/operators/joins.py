@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.schema import RELATION_OF
-from ..storage import materialise
+from ..storage import materialise, slices
 
 
 def band_pairs(df: DataFrame, key: str, same: list[str], value: str, width: float) -> DataFrame:
@@ -33,25 +33,51 @@ def jaccard_pairs(sets: DataFrame, key: str, item: str) -> DataFrame:
     return both.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("similarity"))
 
 
+#: Items that similar_pairs names as common, at most, and the longest set that goes along with its rows.
+MOST_COMMON, CARRIED = 100_000, 16
+
+
 def similar_pairs(sets: DataFrame, key: str, item: str, least: float) -> DataFrame:
     """(a, b, similarity) of keys whose sets have a Jaccard similarity of least, above 0, or more.
 
-    With items from the rarest to the commonest, two such sets share one of the first n - ceil(least n)
-    + 1 of their items, so pairs come from these alone and common items hardly join. Every pair is
-    then counted on the full sets. Repeated rows count once; null keys and items take no part."""
+    With items in one order for all sets, two such sets share one of the first n - ceil(least n) + 1
+    of their items, so pairs come from these alone; common items come last and hardly join. Enough
+    items have to follow the first that a pair shares. Sets of CARRIED items or fewer go along with
+    their rows, so their pairs are counted in full where they meet, each at its first shared item,
+    and never stored; pairs with a larger set are counted by joins. Repeated rows count once; null
+    keys and items take no part."""
     if not 0 < least <= 1:
         raise ValueError("least has to be above 0 and no more than 1")
-    s = sets.select(F.col(key).alias("k"), F.col(item).alias("i")).dropna().distinct()
-    own = W.partitionBy("k")
-    ranked = s.join(s.groupBy("i").agg(F.count("*").alias("f")), "i").select("k", "i", F.row_number().over(own.orderBy("f", "i")).alias("place"), F.count("*").over(own).alias("n"))
-    ranked = materialise(ranked, "ranked")
-    first = ranked.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
-    x, y = first.select("i", F.col("k").alias("a"), F.col("n").alias("na")), first.select("i", F.col("k").alias("b"), F.col("n").alias("nb"))
-    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)
-    pairs = x.join(y, "i").where(near).select("a", "b", "na", "nb").distinct()
-    both = pairs.join(ranked.select(F.col("k").alias("a"), "i"), "a").join(ranked.select(F.col("k").alias("b"), "i"), ["b", "i"], "left_semi")
-    similarity = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    return both.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both")).select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= least)
+    given = sets.select(F.col(key).alias("k"), F.col(item).alias("i")).dropna()
+    rows = given.count()
+    parts, some = slices(sets.sparkSession, rows), max(1, min(16, rows // 1_000_000))
+    # the order decides how many pairs meet, not which are found, so a sample of the keys is enough for it; it is stored, so that all read one order
+    seen = given.where(F.pmod(F.xxhash64("k"), F.lit(some)) == 0).groupBy("i").agg(F.count("*").alias("f")).where(F.col("f") > rows // some // MOST_COMMON + 4)
+    common = materialise(seen.orderBy(F.desc("f"), "i").limit(MOST_COMMON), "common")
+    s = given.repartition(parts, "k").distinct()  # an exchange by key, which the windows use as well
+    own = W.partitionBy("k").orderBy("f", "i")
+    placed = s.join(F.broadcast(common), "i", "left").select("k", "i", F.coalesce("f", F.lit(0)).alias("f")).withColumn("place", F.row_number().over(own))
+    whole = own.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    ranked = placed.select("k", "i", "place", F.count("*").over(whole).alias("n"), F.collect_list(F.when(F.col("place") <= CARRIED, F.col("i"))).over(whole).alias("held"))
+    prefix = F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
+    first = ranked.where(prefix).withColumn("held", F.when(F.col("n") <= CARRIED, F.col("held")))
+    long = not given.groupBy("k").count().where(F.col("count") > CARRIED).isEmpty()
+    first = materialise(first, "prefixes") if long else first
+    once = first.repartition(parts, "i")  # serves both sides of the join
+    x, y = (once.select("i", *(F.col(c).alias(c + end) for c in ("k", "n", "place", "held"))) for end in "ab")
+    na, nb = F.col("na"), F.col("nb")
+    enough = lambda both: both >= (na + nb - both) * least - 1e-9
+    near = (F.col("ka") < F.col("kb")) & enough(1 + F.least(na - F.col("placea"), nb - F.col("placeb")))
+    similarity = F.col("both") / (na + nb - F.col("both"))
+    small = (na <= CARRIED) & (nb <= CARRIED)
+    new = ~F.arrays_overlap(F.slice("helda", 1, F.col("placea") - 1), F.slice("heldb", 1, F.col("placeb") - 1))
+    both = F.size(F.array_intersect("helda", "heldb"))
+    out = x.join(y, "i").where(near & small & new & enough(both)).select(F.col("ka").alias("a"), F.col("kb").alias("b"), "na", "nb", both.cast("long").alias("both"))
+    if long:
+        pairs = x.join(y, "i").where(near & ~small).select(F.col("ka").alias("a"), F.col("kb").alias("b"), "na", "nb").distinct()
+        large = pairs.join(s.select(F.col("k").alias("a"), "i"), "a").join(s.select(F.col("k").alias("b"), "i"), ["b", "i"], "left_semi")
+        out = out.unionByName(large.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both")))
+    return out.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= least)
 
 
 def either_key(left: DataFrame, right: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:

@@ -49,6 +49,16 @@ def _delete(spark: SparkSession, where: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows that a task is to hold at a time, where how many there are is known.
+ROWS_A_TASK = 250_000
+
+
+def slices(spark: SparkSession, rows: int, each: int | None = None) -> int:
+    """Partitions for that many rows: as many as the session shuffles into, more where a task would
+    hold more than `each` rows, so that a task's memory doesn't grow with the table."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // (each or ROWS_A_TASK)))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends there, executors may be lost."""
     path = scratch(df.sparkSession, name)

@@ -248,3 +248,22 @@ def test_similar_pairs_by_brute_force(spark, least):
     got = {(r["a"], r["b"]): r["similarity"] for r in joins.similar_pairs(spark.createDataFrame(rows, "k int, i int"), "k", "i", least).collect()}
     jaccard = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(sorted(sets), 2)}
     assert got == {p: v for p, v in jaccard.items() if v >= least}
+
+
+def test_similar_pairs_of_long_and_short_sets(spark, monkeypatch):
+    """Sets shorter than, as long as and longer than those that go along with their rows."""
+    rng = random.Random(29)
+    rows = [(k, i) for k in range(90) for i in rng.sample(range(12), rng.randint(1, 9))]
+    sets = {k: {i for j, i in rows if j == k} for k in range(90)}
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(range(90), 2)}
+    want = {p: x for p, x in want.items() if x >= 0.5}
+    for carried in (0, 4, 5, 16):
+        monkeypatch.setattr(joins, "CARRIED", carried)
+        got = joins.similar_pairs(spark.createDataFrame(rows + rows[:50], "k int, i int"), "k", "i", 0.5).collect()
+        assert len(got) == len(want) and {(r["a"], r["b"]): r["similarity"] for r in got} == pytest.approx(want)
+
+
+def test_similar_pairs_store_no_candidates(spark):
+    """Short sets are counted where they meet: what is shuffled follows the rows, not the pairs."""
+    df = joins.similar_pairs(spark.createDataFrame([(k, i) for k in range(40) for i in (k % 3, k % 5, k % 7)], "k int, i int"), "k", "i", 0.5)
+    assert "left_semi" not in (plan := df._jdf.queryExecution().optimizedPlan().toString().lower()) and "leftsemi" not in plan and "aggregate [ka" not in plan
