@@ -47,7 +47,12 @@ def entities(titled: DataFrame, edges: DataFrame, texts: DataFrame | None = None
     """(id, title, type, description, degree): the label, the title, and a shortened text if there is
     one. Degrees are those of a node, by label and id."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("label_a").alias("label"), F.col("id_a").alias("id")), F.struct(F.col("label_b").alias("label"), F.col("id_b").alias("id")))).alias("e")).select("e.*")
-    e = _own(titled.join(ends.groupBy("label", "id").agg(F.count("*").alias("degree")), ["label", "id"], "left"), texts, most_words)
+    return described(titled, ends.groupBy("label", "id").agg(F.count("*").alias("degree")), texts, most_words)
+
+
+def described(titled: DataFrame, degrees: DataFrame, texts: DataFrame | None = None, most_words: int = MOST_WORDS) -> DataFrame:
+    """The rows of entities from degrees(label, id, degree); nodes without one have 0."""
+    e = _own(titled.join(degrees, ["label", "id"], "left"), texts, most_words)
     say = F.concat("label", F.lit(" "), "title", F.lit("."), F.coalesce(F.concat(F.lit(" "), "text"), F.lit("")))
     return e.select("label", "id", "title", F.upper("label").alias("type"), say.alias("description"), F.coalesce("degree", F.lit(0)).alias("degree"))
 

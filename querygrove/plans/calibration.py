@@ -138,7 +138,7 @@ def _plan(s: Star) -> dict[str, DataFrame]:
     p, sd, sizes = planes(s), None, None
     for t in STEPS.values():
         one = select.all_seeds(s.edges(t.relation), s.nodes, t, p[t.plane]).select(F.lit(t.name).alias("cell"), "entity", "n_seeds")
-        n = p[t.plane].agg(F.countDistinct("src").alias("population")).select(F.lit(t.name).alias("cell"), "population")
+        n = graph.members(p[t.plane]).agg(F.count("*").alias("population")).select(F.lit(t.name).alias("cell"), "population")
         sd, sizes = (one, n) if sd is None else (sd.unionByName(one), sizes.unionByName(n))
     return K.plan(sd, sizes, least=2)
 
