@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.schema import RELATION_OF
 from ..storage import materialise, slices
-from .bands import Band
+from .bands import PAIRS_A_TASK, ROWS_A_SIDE, Band
 
 
 def band_pairs(df: DataFrame, key: str, same: list[str], value: str, width: float) -> DataFrame:
@@ -76,12 +76,26 @@ def similar_pairs(sets: DataFrame, key: str, item: str, least: float) -> DataFra
 
 
 def either_key(left: DataFrame, right: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
-    """Distinct pairs that agree in any of the keys, nulls aside: a union of equi-joins."""
+    """Distinct pairs that agree in any of the keys, nulls aside: a union of equi-joins, each without
+    the pairs of those before it. Where rows of one side repeat what is kept of it, pairs are made
+    distinct afterwards. Keys with many rows are dealt, so no task has one alone."""
+    spark, own = left.sparkSession, [c for c in keep if c in left.columns]
+    other = [c for c in keep if c not in left.columns]
+    x = left.select(*own, *(F.col(k).alias(f"x_{k}") for k in keys))
+    y = right.select(*other, *(F.col(k).alias(f"y_{k}") for k in keys))
     out = None
-    for k in keys:
-        one = left.where(F.col(k).isNotNull()).join(right.select(k, *[c for c in right.columns if c not in left.columns]), k).select(*keep)
-        out = one if out is None else out.unionByName(one)
-    return out.distinct()
+    for i, k in enumerate(keys):
+        sizes = x.groupBy(F.col(f"x_{k}").alias("k")).agg(F.count("*").alias("nx")).join(y.groupBy(F.col(f"y_{k}").alias("k")).agg(F.count("*").alias("ny")), "k")
+        pairs, most = sizes.agg(F.sum(F.col("nx").cast("double") * F.col("ny")), F.max("nx")).first()
+        parts, deal = min(100_000, slices(spark, int(pairs or 0), PAIRS_A_TASK)), max(1, -(-(most or 0) // ROWS_A_SIDE))
+        p = x.withColumn("k", F.col(f"x_{k}")).withColumn("deal", F.pmod(F.xxhash64(*own), F.lit(deal)))
+        q = y.withColumn("k", F.col(f"y_{k}")).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(deal - 1).cast("long"))))
+        one = p.repartition(parts, "k", "deal").join(q.repartition(parts, "k", "deal").hint("shuffle_hash"), ["k", "deal"])
+        for before in keys[:i]:
+            one = one.where(~F.coalesce(F.col(f"x_{before}") == F.col(f"y_{before}"), F.lit(False)))
+        out = one.select(*keep) if out is None else out.unionByName(one.select(*keep))
+    whole = all(df.groupBy(*c).count().where("count > 1").isEmpty() for df, c in ((x, own), (y, other)))
+    return out if whole else out.distinct()
 
 
 def bridge(groups: DataFrame, direct: DataFrame, index: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -121,10 +135,20 @@ def join_ordered(value: Column | str, order: Column | str, sep: str = " | ") ->
 
 def fan_out(edges: DataFrame, members: DataFrame) -> DataFrame:
     """edges(c1, c2, weight) between clusters, over members(cluster, member): an edge for each pair
-    of members; edges within a cluster are dropped."""
-    m1 = members.select(F.col("cluster").alias("c1"), F.col("member").alias("a"))
-    m2 = members.select(F.col("cluster").alias("c2"), F.col("member").alias("b"))
-    return edges.where("c1 <> c2").join(m1, "c1").join(m2, "c2").select("a", "b", F.bround("weight", 4).alias("weight"))
+    of members; edges within a cluster are dropped. Members are dealt to blocks, and a task has pairs
+    of blocks, so pairs spread evenly however few the clusters."""
+    e = edges.where("c1 <> c2")
+    n = members.groupBy("cluster").agg(F.count("*").alias("n"))
+    size = lambda c, name: n.select(F.col("cluster").alias(c), F.col("n").alias(name))
+    pairs = e.join(size("c1", "p"), "c1").join(size("c2", "q"), "c2").agg(F.sum(F.col("p").cast("double") * F.col("q"))).first()[0] or 0
+    most = n.agg(F.max("n")).first()[0] or 0
+    blocks = max(1, -(-most // ROWS_A_SIDE))
+    parts = min(100_000, slices(edges.sparkSession, int(pairs), PAIRS_A_TASK))
+    held = lambda c, m, b: members.select(F.col("cluster").alias(c), F.col("member").alias(m), F.pmod(F.xxhash64("member"), F.lit(blocks)).alias(b))
+    other = lambda b: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias(b)
+    x = e.join(held("c1", "a", "b1"), "c1").select("*", other("b2")).repartition(parts, "c1", "c2", "b1", "b2")
+    y = e.select("c1", "c2").distinct().join(held("c2", "b", "b2"), "c2").select("*", other("b1")).repartition(parts, "c1", "c2", "b1", "b2")
+    return x.join(y.hint("shuffle_hash"), ["c1", "c2", "b1", "b2"]).select("a", "b", F.bround("weight", 4).alias("weight"))
 
 
 def number_from(df: DataFrame, start: int, *order: Column | str, into: str = "node_index") -> DataFrame:
