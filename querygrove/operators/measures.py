@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.io import write
+from ..storage import materialise, slices
 from .joins import number_from
 
 
@@ -235,11 +236,12 @@ def interaction(df: DataFrame, value: str, inside: str, draws: int = 10_000, see
 def hash_bootstrap(df: DataFrame, key: str, value: str, draws: int = 200) -> DataFrame:
     """(draw, mean): resampled means whose picks follow from a digest of draw and place, so SQL can
     check them."""
-    n = df.count()
-    numbered = number_from(df.select(key, value), 1, key, into="i").select("i", value)
-    places = df.sparkSession.range(draws).select(F.col("id").alias("draw")).withColumn("place", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("draw").cast("string"), F.col("place").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % n + 1
-    return places.withColumn("i", pick).join(numbered, "i").groupBy("draw").agg(F.avg(value).alias("mean"))
+    numbered = materialise(number_from(df.select(key, value), 1, key, into="i").select("i", value), "numbered")
+    spark, n = df.sparkSession, numbered.count()
+    # a row for each draw and place, made where it is used; no array of all places, and no table at the driver
+    places = spark.range(0, draws * n, 1, slices(spark, draws * n, PLACES_A_TASK)).select(F.floor(F.col("id") / F.lit(max(n, 1))).alias("draw"), (F.col("id") % F.lit(max(n, 1)) + 1).alias("place"))
+    pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("draw").cast("string"), F.col("place").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % max(n, 1) + 1
+    return places.select("draw", pick.alias("i")).join(numbered.hint("shuffle_hash"), "i").groupBy("draw").agg(F.avg(value).alias("mean"))
 
 
 def centred(df: DataFrame, by: list[str], value: str) -> Column:
