@@ -12,6 +12,9 @@ from ..sources.io import write
 from ..storage import materialise, slices
 from .joins import number_from
 
+#: Places of resamples that a task makes, and that numpy holds at a time.
+PLACES_A_TASK, PLACES_AT_ONCE = 1_000_000, 2_000_000
+
 
 def factoid(answers: DataFrame, gold: DataFrame, item_nodes: DataFrame | None = None, gold_nodes: DataFrame | None = None) -> DataFrame:
     """answers(question, items array) and gold(question, synonym) to strict (first item), lax (any of
@@ -198,6 +201,13 @@ def with_backoff(facts: DataFrame, alone: str, value: str = "value") -> DataFram
     return m.join(solo, "question", "left").select("question", "configuration", F.when(F.col("abstains") == 0, F.col(value)).otherwise(F.col("solo")).alias(value))
 
 
+def resampled(x: np.ndarray, rng: np.random.Generator, draws: int) -> np.ndarray:
+    """Means of `draws` resamples. As many at a time as PLACES_AT_ONCE allows, which doesn't change
+    what the generator gives."""
+    each = max(1, PLACES_AT_ONCE // len(x))
+    return np.concatenate([x[rng.integers(0, len(x), (min(each, draws - i), len(x)))].mean(axis=1) for i in range(0, draws, each)])
+
+
 def bootstrap(df: DataFrame, by: list[str], value: str, draws: int = 10_000, seed: int = 42) -> DataFrame:
     """(by, mean, low, high): percentile intervals of the mean of each group, by numpy in chunks of
     draws. A group is one comparison's questions."""
@@ -205,8 +215,7 @@ def bootstrap(df: DataFrame, by: list[str], value: str, draws: int = 10_000, see
 
     def one(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         x, rng = np.sort(pdf[value].to_numpy(np.float64)), np.random.default_rng(seed)
-        means = np.concatenate([x[rng.integers(0, len(x), (min(500, draws - i), len(x)))].mean(axis=1) for i in range(0, draws, 500)])
-        low, high = np.percentile(means, [2.5, 97.5])
+        low, high = np.percentile(resampled(x, rng, draws), [2.5, 97.5])
         return pd.DataFrame([[*key, x.mean(), low, high]], columns=[*by, "mean", "low", "high"])
 
     schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", mean double, low double, high double"
@@ -218,16 +227,13 @@ def interaction(df: DataFrame, value: str, inside: str, draws: int = 10_000, see
     the first, then all of the second. Each group, the questions of one comparison, is sorted first,
     so it doesn't matter in which order its rows come. Null values take no part."""
 
-    def means(x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-        return np.concatenate([x[rng.integers(0, len(x), (min(500, draws - i), len(x)))].mean(axis=1) for i in range(0, draws, 500)])
-
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = (np.sort(pdf.loc[pdf[inside] == k, value].to_numpy(np.float64)) for k in (True, False))
         if not len(a) or not len(b):
             return pd.DataFrame([], columns=["difference", "low", "high"])
         rng = np.random.default_rng(seed)
-        first = means(a, rng)
-        low, high = np.percentile(first - means(b, rng), [2.5, 97.5])
+        first = resampled(a, rng, draws)
+        low, high = np.percentile(first - resampled(b, rng, draws), [2.5, 97.5])
         return pd.DataFrame([[a.mean() - b.mean(), low, high]], columns=["difference", "low", "high"])
 
     return df.select(F.lit(1).alias("one"), value, inside).where(F.col(value).isNotNull()).groupBy("one").applyInPandas(one, "difference double, low double, high double")

@@ -9,11 +9,12 @@ from collections import Counter
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from querygrove.catalogue import ORACLES, QUERIES
-from querygrove.operators import bands, expand, graph
+from querygrove.operators import bands, expand, graph, joins, measures
 from querygrove.sources.star import Star
 
 from .conftest import DATA
@@ -126,3 +127,36 @@ def test_reciprocal_edges_by_a_join(spark):
     want = sum(p[0] == q[1] and p[1] == q[0] for p in rows for q in rows if None not in p + q)
     assert graph.reciprocal(d).first()[0] == want
     assert "Join" not in graph.reciprocal(d)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_resamples_in_small_pieces(monkeypatch):
+    """The generator gives the same means however few places are held at a time."""
+    x = np.sort(np.random.default_rng(3).normal(size=301))
+    want = np.concatenate([x[r.integers(0, 301, (500, 301))].mean(axis=1) for r in [np.random.default_rng(42)] for _ in range(2)])
+    for places in (1, 1000, 10**7):
+        monkeypatch.setattr(measures, "PLACES_AT_ONCE", places)
+        assert (measures.resampled(x, np.random.default_rng(42), 1000) == want).all()
+
+
+def test_places_are_never_broadcast(spark):
+    df = spark.createDataFrame([(i, float(i)) for i in range(30)], "k long, v double")
+    out = measures.hash_bootstrap(df, "k", "v", draws=7)
+    assert "BroadcastExchange" not in (plan := out._jdf.queryExecution().executedPlan().toString()) and "BroadcastHashJoin" not in plan
+    assert out.count() == 7
+
+
+@pytest.mark.parametrize("side", [2000, 3])
+def test_either_key_and_fan_out_by_brute_force(spark, monkeypatch, side):
+    monkeypatch.setattr(joins, "ROWS_A_SIDE", side)
+    rng = random.Random(8)
+    left = [(i, rng.choice([None, 1, 2, 3]), rng.choice("xyz")) for i in range(25)]
+    right = [(i, rng.choice([None, 1, 2, 3]), rng.choice("xyzw")) for i in range(30)]
+    for again in ([], [(0, 1, "x"), (0, 2, "y")]):  # repeated rows of one id
+        l, r = left + again, right
+        want = {(a[0], b[0]) for a in l for b in r if (a[1] is not None and a[1] == b[1]) or a[2] == b[2]}
+        got = joins.either_key(spark.createDataFrame(l, "a long, p int, q string"), spark.createDataFrame(r, "b long, p int, q string"), ["p", "q"], ["a", "b"])
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        assert again or "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    edges, members = [(1, 2, 0.12345), (1, 1, 0.5), (2, 3, 0.25)], [(rng.choice([1, 2, 3]), i) for i in range(40)]
+    out = joins.fan_out(spark.createDataFrame(edges, "c1 int, c2 int, weight double"), spark.createDataFrame(members, "cluster int, member long"))
+    assert sorted((r["a"], r["b"]) for r in out.collect()) == sorted((m, n) for x, y, _ in edges if x != y for c, m in members if c == x for d, n in members if d == y)
